@@ -14,18 +14,17 @@ def is_plausible(max_kwh: float = MAX_PLAUSIBLE_KWH) -> Column:
     return F.col("energy_kwh").between(F.lit(Decimal(0)), F.lit(Decimal(str(max_kwh))))
 
 
+def is_identified() -> Column:
+    """Household, day and value are known. The timestamp may be missing."""
+    return F.col("lclid").isNotNull() & F.col("day").isNotNull() & F.col("energy_kwh").isNotNull()
+
+
 def is_complete() -> Column:
-    return (
-        F.col("lclid").isNotNull()
-        & F.col("day").isNotNull()
-        & F.col("energy_kwh").isNotNull()
-        & F.col("timestamp").isNotNull()
-    )
+    return is_identified() & F.col("timestamp").isNotNull()
 
 
 def identified(readings: DataFrame) -> DataFrame:
-    """Drop readings without household, day or value. The timestamp may be missing."""
-    return readings.dropna(subset=["lclid", "day", "energy_kwh"])
+    return readings.where(is_identified())
 
 
 def clean_readings(readings: DataFrame, max_kwh: float = MAX_PLAUSIBLE_KWH) -> DataFrame:

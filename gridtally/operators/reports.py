@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtally.functions.measures import mean_of
 from gridtally.functions.periods import day_in, time_in
@@ -113,24 +113,19 @@ def household_histogram(stats: DataFrame, bins: int = 20, top_n: int | None = 50
     left out. By default over the top households only; ``top_n=None`` takes all.
     """
     chosen = stats if top_n is None else top_households(stats, top_n)
-    value = F.col("avg_daily_consumption")
-    bounds = chosen.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    placed = chosen.select(
-        value,
-        bounds.select("low").scalar().alias("low"),
-        bounds.select("high").scalar().alias("high"),
-    )
-    width = F.col("high") - F.col("low")
+    value, low, high = F.col("avg_daily_consumption"), F.col("bounds.low"), F.col("bounds.high")
+    values = chosen.groupBy(value).agg(F.count("*").alias("household_count"))
+    bounds = values.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")))
     # Exact in decimals; the largest value would open one bin too many.
-    offset = F.floor((value - F.col("low")) * bins / F.nullif(width, F.lit(0)))
-    bin_number = F.least(F.coalesce(offset, F.lit(0)) + 1, F.lit(bins)).cast("int")
+    offset = F.when(high > low, F.floor((value - low) * bins / (high - low))).otherwise(F.lit(0))
 
-    def edge(number):
-        return (F.col("low") + width * number / F.lit(bins)).cast(ENERGY)
+    def edge(number: Column) -> Column:
+        return (low + (high - low) * number / F.lit(bins)).cast(ENERGY)
 
     return (
-        placed.groupBy(bin_number.alias("bin"), "low", "high")
-        .agg(F.count("*").alias("household_count"))
+        values.withColumn("bounds", bounds.scalar())
+        .groupBy(F.least(offset + 1, F.lit(bins)).cast("int").alias("bin"), "bounds")
+        .agg(F.sum("household_count").alias("household_count"))
         .select(
             "bin",
             edge(F.col("bin") - 1).alias("bin_start"),

@@ -190,8 +190,8 @@ def oracle_sql() -> dict[str, str]:
         "overview": f"""
             SELECT CAST(COALESCE(SUM(household_count), 0) AS BIGINT) AS total_households,
                    CAST(COALESCE(SUM(total_consumption), 0) AS DECIMAL(20,4)) AS total_energy,
-                   COALESCE({MEAN_OF_AVERAGES}, 0) AS avg_consumption,
-                   COALESCE(MAX(max_consumption), 0) AS peak_consumption
+                   CAST(COALESCE({MEAN_OF_AVERAGES}, 0) AS DECIMAL(10,4)) AS avg_consumption,
+                   CAST(COALESCE(MAX(max_consumption), 0) AS DECIMAL(10,4)) AS peak_consumption
             FROM ({DAILY}) WHERE day {PERIOD}""",
         "daily_series": f"""
             SELECT day, {MEASURES}, household_count FROM ({DAILY})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtally.operators.anomalies import detect_anomalies, household_baseline
@@ -17,11 +19,14 @@ from gridtally.operators.rollups import (
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
 from gridtally.session import materialize
 from gridtally.sources.csv_readings import read_csv_readings
+from gridtally.sources.jdbc import write_jdbc_dataset
 from gridtally.sources.tables import (
     append_readings,
     load_dataset,
+    read_dataset,
     read_raw,
     read_table,
+    run_together,
     write_dataset,
 )
 
@@ -63,8 +68,15 @@ def transform(
 
 def load(spark: SparkSession, processed: str, warehouse: str) -> None:
     """Replace all six warehouse tables by the stored datasets."""
+    run_together(
+        spark, [partial(load_dataset, spark, processed, name, warehouse) for name in DATASETS]
+    )
+
+
+def load_jdbc(spark: SparkSession, processed: str, url: str, **properties: str) -> None:
+    """The same into a database, one table after the other."""
     for name in DATASETS:
-        load_dataset(spark, processed, name, warehouse)
+        write_jdbc_dataset(read_dataset(spark, processed, name), name, url, **properties)
 
 
 def run_pipeline(
@@ -78,8 +90,10 @@ def run_pipeline(
     ingest(spark, source, warehouse, *globs, max_kwh=max_kwh)
     raw = read_raw(spark, warehouse)
     processed = f"{warehouse.rstrip('/')}/processed"
-    for name, dataset in transform(raw, max_kwh, processed).items():
-        write_dataset(dataset, processed, name)
+    datasets = transform(raw, max_kwh, processed)
+    run_together(
+        spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
+    )
     load(spark, processed, warehouse)
     return table_counts(spark, warehouse)
 

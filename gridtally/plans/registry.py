@@ -205,7 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ingest_profile": lambda s, d: cleaning.run_profile(events(s, d)),
         "households": lambda s, d: cleaning.households(events(s, d)),
-        "clean_readings": lambda s, d: cleaning.deduplicate(clean(dirty(s, d))),
+        "clean_readings": lambda s, d: conform(cleaning.deduplicate(clean(dirty(s, d))), READING),
         "ingested_readings": lambda s, d: cleaning.deduplicate(cleaning.identified(dirty(s, d))),
         "deduplicated_readings": lambda s, d: cleaning.deduplicate(lineitem(s, d)),
         "hourly_rollup": _hourly,

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -30,6 +34,14 @@ def table_exists(spark: SparkSession, path: str, schema: T.StructType) -> bool:
     return True
 
 
+def run_together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
+    """Start independent writes at once, so that small jobs fill idle executors."""
+    with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+    for write in started:
+        write.result()
+
+
 # --- raw readings ----------------------------------------------------------
 
 
@@ -65,8 +77,9 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
 def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Readings of ``batch`` whose key is not in ``existing``.
 
-    Missing timestamps are equal. Only the months and days that the batch touches
-    are read from ``existing``; months are few, so their list goes to the driver.
+    Missing timestamps are equal. Only the days that the batch spans are read from
+    ``existing``, and of a table in month folders only the months it touches; months
+    are few, so their list goes to the driver.
     """
     span = batch.agg(
         F.min("day").alias("first"),
@@ -75,11 +88,12 @@ def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
     ).first()
     if not span["months"]:
         return batch
-    seen = existing.where(
-        F.col("month").isin(span["months"]) & day_in(F.col("day"), span["first"], span["last"])
-    ).select(*[F.col(name).alias(f"seen_{name}") for name in READING_KEY])
-    household, day, timestamp = (F.col(name).eqNullSafe(F.col(f"seen_{name}")) for name in READING_KEY)
-    return batch.join(seen, household & day & timestamp, "left_anti")
+    if "month" in existing.columns:
+        existing = existing.where(F.col("month").isin(span["months"]))
+    nearby = existing.where(day_in(F.col("day"), span["first"], span["last"]))
+    seen = nearby.select(*[F.col(name).alias(f"seen_{name}") for name in READING_KEY])
+    same = [F.col(name).eqNullSafe(F.col(f"seen_{name}")) for name in READING_KEY]
+    return batch.join(seen, same, "left_anti")
 
 
 # --- derived datasets ------------------------------------------------------

@@ -22,17 +22,23 @@ def ingest_new_files(
     warehouse: str,
     glob: str = "*.csv",
     max_kwh: float = MAX_PLAUSIBLE_KWH,
+    stream_name: str = "readings",
 ) -> None:
     """Add the readings of files that no earlier run has seen, then stop.
 
     The daily run over a growing folder then costs what is new, not the whole
-    history. The stream's checkpoint, kept beside the raw table, remembers the files.
-    A batch that is repeated after a failure adds nothing twice.
+    history. The stream's checkpoint, kept beside the raw table, remembers the files;
+    use one ``stream_name`` per source and glob. A batch that is repeated after a
+    failure adds nothing twice.
     """
     header = csv_header(spark, source, glob)
     validate_header(header)
     files = spark.readStream.schema(text_schema(header)).options(
-        **CSV_OPTIONS, pathGlobFilter=glob, enforceSchema="false"
+        **CSV_OPTIONS,
+        pathGlobFilter=glob,
+        enforceSchema="false",
+        # By default a file a week older than the newest one would be skipped.
+        maxFileAge="36500d",
     )
 
     def add(rows: DataFrame, _batch_id: int) -> None:
@@ -41,7 +47,7 @@ def ingest_new_files(
     stream = (
         files.csv(source)
         .writeStream.foreachBatch(add)
-        .option("checkpointLocation", f"{table_path(warehouse, RAW_TABLE)}_files")
+        .option("checkpointLocation", f"{table_path(warehouse, RAW_TABLE)}_files/{stream_name}")
         .trigger(availableNow=True)
         .start()
     )
