@@ -118,12 +118,12 @@ def _write_csv(readings: DataFrame, path: str) -> None:
     writer.option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
 
 
-def _canonical_csv(readings: DataFrame, path: str) -> None:
+def write_reading_csv(readings: DataFrame, path: str) -> None:
     names = dict(zip(("lclid", "day", "energy_kwh", "timestamp"), READING_HEADER))
     _write_csv(readings.select(*[F.col(old).alias(new) for old, new in names.items()]), path)
 
 
-def _half_hour_csv(readings: DataFrame, path: str) -> None:
+def write_half_hour_csv(readings: DataFrame, path: str) -> None:
     names = dict(zip(("lclid", "timestamp", "energy_kwh"), HALF_HOUR_HEADER))
     text = readings.withColumn("energy_kwh", F.coalesce(F.col("energy_kwh").cast("string"), F.lit("Null")))
     _write_csv(text.select(*[F.col(old).alias(new) for old, new in names.items()]), path)
@@ -131,13 +131,13 @@ def _half_hour_csv(readings: DataFrame, path: str) -> None:
 
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "csv")
-    _canonical_csv(events(spark, sf_dir), folder)
+    write_reading_csv(events(spark, sf_dir), folder)
     return cleaning.deduplicate(cleaning.identified(read_csv_readings(spark, folder)))
 
 
 def csv_ingest_half_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "csv")
-    _half_hour_csv(dirty(spark, sf_dir), folder)
+    write_half_hour_csv(dirty(spark, sf_dir), folder)
     return cleaning.deduplicate(cleaning.identified(read_csv_readings(spark, folder)))
 
 
@@ -156,9 +156,9 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of files, each followed by an ingest of what is new."""
     folder, warehouse = new_folder(spark, "deliveries"), new_folder(spark, "warehouse")
     readings = events(spark, sf_dir)
-    _canonical_csv(readings.where(F.col("day") <= F.lit(dt.date(2024, 1, 15))), f"{folder}/first")
+    write_reading_csv(readings.where(F.col("day") <= F.lit(dt.date(2024, 1, 15))), f"{folder}/first")
     ingest_new_files(spark, f"{folder}/*", warehouse)
-    _canonical_csv(readings.where(F.col("day") > F.lit(dt.date(2024, 1, 10))), f"{folder}/second")
+    write_reading_csv(readings.where(F.col("day") > F.lit(dt.date(2024, 1, 10))), f"{folder}/second")
     ingest_new_files(spark, f"{folder}/*", warehouse)
     return tables.read_raw(spark, warehouse)
 
@@ -174,7 +174,7 @@ def parquet_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _warehouse(spark: SparkSession, readings: DataFrame, max_kwh: float = 100.0) -> str:
     source, warehouse = new_folder(spark, "csv"), new_folder(spark, "warehouse")
-    _canonical_csv(readings, source)
+    write_reading_csv(readings, source)
     run_pipeline(spark, source, warehouse, max_kwh=max_kwh)
     return warehouse
 

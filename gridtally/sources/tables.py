@@ -68,9 +68,11 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
     stamped = conform(batch, READING).select(
         "*", F.current_timestamp().alias("created_at"), month_of(F.col("day")).alias("month")
     )
-    # One folder per month. The rebalance gives files of even size: a month with
-    # most of the readings is split over many tasks, small ones share a task.
-    arranged = stamped.hint("rebalance", F.col("month")).sortWithinPartitions("month", "day")
+    # One folder per month. Ranges of the unique key are even however large a month or
+    # a household is, and a task meets few months, so few files. The readings of a
+    # household and day stay side by side: later sums shrink them before any shuffle.
+    order = ("month", *READING_KEY)
+    arranged = stamped.repartitionByRange(*order).sortWithinPartitions(*order)
     arranged.write.mode("append").partitionBy("month").parquet(path)
 
 
