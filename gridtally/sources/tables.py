@@ -24,14 +24,14 @@ def table_path(warehouse: str, table: str) -> str:
     return f"{warehouse.rstrip('/')}/{table.replace('.', '/')}"
 
 
-def table_exists(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet."""
     try:
-        spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return False
+            return None
         raise
-    return True
 
 
 def run_together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
@@ -63,8 +63,9 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
     """
     spark = batch.sparkSession
     path = table_path(warehouse, RAW_TABLE)
-    if table_exists(spark, path, RAW):
-        batch = new_readings(materialize(batch, "batch"), spark.read.schema(RAW).parquet(path))
+    stored = stored_table(spark, path, RAW)
+    if stored is not None:
+        batch = new_readings(materialize(batch, "batch"), stored)
     stamped = conform(batch, READING).select(
         "*", F.current_timestamp().alias("created_at"), month_of(F.col("day")).alias("month")
     )
@@ -133,7 +134,7 @@ def register_tables(spark: SparkSession, warehouse: str) -> None:
         tables[table] = T.StructType([*DATASETS[name].fields, CREATED_AT])
     for table, schema in tables.items():
         path = table_path(warehouse, table)
-        if not table_exists(spark, path, schema):
+        if stored_table(spark, path, schema) is None:
             continue
         database = table.split(".")[0]
         folder = table_path(warehouse, database)
