@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from gridtally.functions.measures import sample_stddev, z_score
+from gridtally.functions.measures import average, sample_stddev, z_score
 from gridtally.operators.household_join import join_households
 from gridtally.schema import ANOMALY_THRESHOLD, ANOMALY_TYPE, DATASETS, conform
 
@@ -15,7 +16,7 @@ def household_baseline(days: DataFrame) -> DataFrame:
     total = F.sum("total_kwh")
     return days.groupBy("lclid").agg(
         count.alias("reading_count"),
-        (total.cast("decimal(20,4)") / count).cast("decimal(14,8)").alias("mean_consumption"),
+        average(total, count, T.DecimalType(14, 8)).alias("mean_consumption"),
         sample_stddev(count, total, F.sum("total_kwh_squared")).alias("stddev_consumption"),
         F.max("max_kwh").alias("max_kwh"),
         F.min("min_kwh").alias("min_kwh"),
@@ -36,7 +37,7 @@ def detect_anomalies(
     reading is one; all other households drop out before the join.
     """
 
-    def score(value: str):
+    def score(value: str) -> Column:
         return z_score(F.col(value), F.col("mean_consumption"), F.col("stddev_consumption"))
 
     has_outlier = F.greatest(score("max_kwh"), score("min_kwh")) > threshold

@@ -66,6 +66,22 @@ def transform(
     }
 
 
+def processed_folder(warehouse: str) -> str:
+    """Where the datasets wait to be loaded."""
+    return f"{warehouse.rstrip('/')}/processed"
+
+
+def transform_stored(
+    spark: SparkSession, warehouse: str, max_kwh: float = MAX_PLAUSIBLE_KWH
+) -> None:
+    """Compute the datasets of the raw table and store them."""
+    processed = processed_folder(warehouse)
+    datasets = transform(read_raw(spark, warehouse), max_kwh, processed)
+    run_together(
+        spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
+    )
+
+
 def load(spark: SparkSession, processed: str, warehouse: str) -> None:
     """Replace all six warehouse tables by the stored datasets."""
     run_together(
@@ -88,13 +104,8 @@ def run_pipeline(
 ) -> DataFrame:
     """Ingest, transform and load; returns the row count of each table."""
     ingest(spark, source, warehouse, *globs, max_kwh=max_kwh)
-    raw = read_raw(spark, warehouse)
-    processed = f"{warehouse.rstrip('/')}/processed"
-    datasets = transform(raw, max_kwh, processed)
-    run_together(
-        spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
-    )
-    load(spark, processed, warehouse)
+    transform_stored(spark, warehouse, max_kwh)
+    load(spark, processed_folder(warehouse), warehouse)
     return table_counts(spark, warehouse)
 
 

@@ -105,6 +105,16 @@ DATASETS: dict[str, T.StructType] = {
     ),
 }
 
+# The columns that reports look rows up by; together unique in each dataset.
+LOOKUP_KEYS = {
+    "hourly": ("hour",),
+    "daily": ("day",),
+    "weekly": ("week_start",),
+    "monthly": ("month",),
+    "household_stats": ("lclid",),
+    "anomalies": ("timestamp", "lclid"),
+}
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the columns of ``schema`` by name and cast them to its types."""

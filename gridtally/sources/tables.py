@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions.periods import day_in, month_of
-from gridtally.schema import ANALYTICS_TABLES, DATASETS, RAW, RAW_TABLE, READING, READING_KEY, conform
+from gridtally.schema import (
+    ANALYTICS_TABLES,
+    DATASETS,
+    LOOKUP_KEYS,
+    RAW,
+    RAW_TABLE,
+    READING,
+    READING_KEY,
+    conform,
+)
 from gridtally.session import materialize
 
 CREATED_AT = T.StructField("created_at", T.TimestampType())
@@ -65,7 +74,8 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
     path = table_path(warehouse, RAW_TABLE)
     stored = stored_table(spark, path, RAW)
     if stored is not None:
-        batch = new_readings(materialize(batch, "batch"), stored)
+        staging = f"{warehouse.rstrip('/')}/staging"
+        batch = new_readings(materialize(batch, "batch", staging), stored)
     stamped = conform(batch, READING).select(
         "*", F.current_timestamp().alias("created_at"), month_of(F.col("day")).alias("month")
     )
@@ -115,11 +125,16 @@ def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, folder: str, name: str, warehouse: str) -> None:
-    """Replace the warehouse table of a stored dataset, stamped with the load time."""
+    """Replace the warehouse table of a stored dataset, stamped with the load time.
+
+    Rows are ordered by the lookup keys across all files, so that a period or a
+    household is found by the value ranges in the file footers.
+    """
     schema = T.StructType([*DATASETS[name].fields, CREATED_AT])
     rows = read_dataset(spark, folder, name).withColumn("created_at", F.current_timestamp())
-    path = table_path(warehouse, ANALYTICS_TABLES[name])
-    conform(rows, schema).write.mode("overwrite").parquet(path)
+    keys = LOOKUP_KEYS[name]
+    ordered = conform(rows, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").parquet(table_path(warehouse, ANALYTICS_TABLES[name]))
 
 
 def read_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:

@@ -101,3 +101,10 @@ def test_no_files(spark, tmp_path, name):
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         available_files(spark, str(tmp_path / name))
+
+
+def test_empty_files_and_files_with_a_header_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    write_file(tmp_path, "b.csv", HEADER)
+    folder = write_file(tmp_path, "c.csv", HEADER, "A,2024-01-01,0.125,2024-01-01 00:30:00")
+    assert rows_of(read_csv_readings(spark, folder)) == [ROW]

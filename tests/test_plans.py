@@ -1,12 +1,13 @@
 """Physical plans: what is pushed down, shuffled and joined."""
 
 import ast
+import datetime
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry_points
-from gridtally.operators import rollups
+from gridtally.operators import reports, rollups
 from gridtally.operators.cleaning import clean_readings, deduplicate, identified
 from gridtally.plans import registry
 from gridtally.sources import tables
@@ -65,6 +66,19 @@ def test_outliers_are_found_without_shuffling_readings(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_periods_reach_the_scan_of_the_stored_tables(spark, tmp_path):
+    hourly = rollups.hourly_rollup(registry.events(spark, SF_DIR))
+    daily = rollups.daily_rollup(rollups.household_days(registry.events(spark, SF_DIR)))
+    for name, frame in (("hourly", hourly), ("daily", daily)):
+        tables.write_dataset(frame, f"{tmp_path}/processed", name)
+        tables.load_dataset(spark, f"{tmp_path}/processed", name, str(tmp_path))
+    day = datetime.date(2024, 1, 5)
+    hours = plan_of(reports.hourly_series(tables.read_table(spark, str(tmp_path), "hourly"), day, day))
+    assert "GreaterThanOrEqual(hour,2024-01-05" in hours and "TakeOrderedAndProject" in hours
+    days = plan_of(reports.daily_series(tables.read_table(spark, str(tmp_path), "daily"), day, day))
+    assert "GreaterThanOrEqual(day,2024-01-05)" in days
+
+
 def test_no_unbounded_collects_in_the_library():
     banned = {"collect", "toPandas", "toLocalIterator", "crossJoin", "localCheckpoint", "rdd", "udf"}
     for path in PACKAGE.rglob("*.py"):

@@ -74,6 +74,32 @@ def test_overwrite_with_an_empty_dataset(spark, tmp_path):
     assert tables.read_table(spark, warehouse, "daily").schema == DATASETS["daily"]
 
 
+def test_loaded_files_hold_separate_ranges(spark, tmp_path):
+    rows = spark.range(1000).selectExpr(
+        "CAST(id AS STRING) AS lclid", "timestamp_seconds(1704067200 + id * 60) AS timestamp",
+        "CAST(1 AS DECIMAL(10,4)) AS energy_kwh", "CAST(4 AS DECIMAL(10,4)) AS z_score", "'outlier' AS anomaly_type",
+    )
+    tables.write_dataset(rows, f"{tmp_path}/processed", "anomalies")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.load_dataset(spark, f"{tmp_path}/processed", "anomalies", str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    table = tables.read_table(spark, str(tmp_path), "anomalies")
+    ranges = (
+        table.selectExpr("_metadata.file_path AS file", "timestamp")
+        .groupBy("file").agg({"timestamp": "min"}).orderBy("min(timestamp)").collect()
+    )
+    ends = (
+        table.selectExpr("_metadata.file_path AS file", "timestamp")
+        .groupBy("file").agg({"timestamp": "max"}).orderBy("max(timestamp)").collect()
+    )
+    assert len(ranges) == 8 and table.count() == 1000
+    for this_end, next_start in zip(ends, ranges[1:]):
+        assert this_end[1] < next_start[1]
+
+
 def test_run_together_raises_the_first_failure(spark):
     def fail():
         raise RuntimeError("disk full")
