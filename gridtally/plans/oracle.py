@@ -36,11 +36,11 @@ def clean(readings: str, max_kwh: int = 100) -> str:
       AND energy_kwh >= 0 AND energy_kwh <= {max_kwh}"""
 
 
-def distinct_keys(readings: str) -> str:
+def distinct_keys(readings: str, max_kwh: int = 100) -> str:
     """Smallest plausible value per key, or smallest of all."""
     return f"""
     SELECT lclid, day,
-           COALESCE(MIN(energy_kwh) FILTER (WHERE energy_kwh BETWEEN 0 AND 100),
+           COALESCE(MIN(energy_kwh) FILTER (WHERE energy_kwh BETWEEN 0 AND {max_kwh}),
                     MIN(energy_kwh)) AS energy_kwh, "timestamp"
     FROM ({readings})
     WHERE lclid IS NOT NULL AND day IS NOT NULL AND energy_kwh IS NOT NULL
@@ -100,18 +100,27 @@ BASELINE = f"""
            CAST(ROUND(STDDEV_SAMP(CAST(energy_kwh AS DOUBLE)), 4) AS DECIMAL(10,4)) AS stddev_consumption
     FROM ({clean(EVENTS, 1000)}) GROUP BY lclid"""
 
-ANOMALIES = f"""
+
+
+def outliers(readings: str) -> str:
+    return f"""
     SELECT lclid, "timestamp", energy_kwh,
            CAST(ROUND(z, 4) AS DECIMAL(10,4)) AS z_score, 'outlier' AS anomaly_type
     FROM (SELECT r.*, CASE WHEN s.stddev > 0
                            THEN abs(CAST(r.energy_kwh AS DOUBLE) - s.mean) / s.stddev
                            ELSE 0 END AS z
-          FROM ({clean(EVENTS, 1000)}) r
+          FROM ({readings}) r
           JOIN (SELECT lclid, AVG(CAST(energy_kwh AS DOUBLE)) AS mean,
                        STDDEV_SAMP(CAST(energy_kwh AS DOUBLE)) AS stddev
-                FROM ({clean(EVENTS, 1000)}) GROUP BY lclid) s USING (lclid))
+                FROM ({readings}) GROUP BY lclid) s USING (lclid))
     WHERE z > 3"""
 
+
+ANOMALIES = outliers(clean(EVENTS, 1000))
+# What a full run stores: de-duplicated, then cleaned.
+STORED = clean(distinct_keys(EVENTS))
+STORED_WIDE = clean(distinct_keys(EVENTS, 1000), 1000)
+
 HOURLY_SERIES = f"""
     SELECT hour, {MEASURES} FROM ({HOURLY})
     WHERE CAST(hour AS DATE) {PERIOD} ORDER BY hour LIMIT 1000"""
@@ -215,18 +224,18 @@ def oracle_sql() -> dict[str, str]:
         "top10_households": f"SELECT * FROM ({TOP50}) ORDER BY total_consumption DESC, lclid LIMIT 10",
         "household_histogram": histogram(TOP50),
         "household_histogram_all": histogram(STATS),
-        "csv_ingest": EVENTS,
+        "csv_ingest": distinct_keys(EVENTS),
         "csv_ingest_half_hour": distinct_keys(HALF_HOURS),
         "idempotent_append": APPENDED,
-        "incremental_ingest": EVENTS,
+        "incremental_ingest": distinct_keys(EVENTS),
         "parquet_reload": DAILY,
-        "pipeline_daily": DAILY,
-        "pipeline_hourly": HOURLY,
-        "pipeline_household_stats": stats(clean(EVENTS)),
-        "pipeline_anomalies": ANOMALIES,
+        "pipeline_daily": rollup(STORED, "day", "day"),
+        "pipeline_hourly": rollup(STORED, "date_trunc('hour', \"timestamp\")", "hour"),
+        "pipeline_household_stats": stats(STORED),
+        "pipeline_anomalies": outliers(STORED_WIDE),
         "adhoc_sql": f"""
             SELECT lclid, total_consumption, days_count,
                    (SELECT COUNT(*) FROM ({distinct_keys(LINEITEM)})) AS raw_rows
-            FROM ({stats(distinct_keys(LINEITEM))})
+            FROM ({stats(clean(distinct_keys(LINEITEM)))})
             ORDER BY total_consumption DESC, lclid LIMIT 10""",
     }
