@@ -1,10 +1,10 @@
 """Consumption per hour, day, week, month and household.
 
-All but the hourly rollup start from ``household_days``: the readings are shuffled
-once, after being summed per household and day on the map side, and the rest works on
-a table that is smaller by the number of readings per day. Every group is summed
-before it is shuffled, so neither a household nor a day with a large share of all
-readings makes a large task.
+All but the hourly rollup start from ``household_days``: the readings are summed per
+household and day on the map side, then shuffled, and the rest works on a table that
+is smaller by the number of readings per day. Every group is summed before it is
+shuffled, so neither a household nor a day with a large share of all readings makes a
+large task.
 """
 
 from __future__ import annotations
@@ -29,13 +29,37 @@ def household_days(readings: DataFrame) -> DataFrame:
 
 
 def hourly_rollup(readings: DataFrame) -> DataFrame:
-    household_hours = readings.groupBy(hour_of(F.col("timestamp")).alias("hour"), "lclid").agg(
-        F.count("*").alias("reading_count"),
-        F.sum("energy_kwh").alias("total_kwh"),
-        F.max("energy_kwh").alias("max_kwh"),
-        F.min("energy_kwh").alias("min_kwh"),
+    """Sums per hour, joined with the households per hour.
+
+    Counting households in the same aggregation would shuffle a row per household
+    and hour with all sums. Apart, the sums need one row per hour and map task, and
+    the count one row per household and day.
+    """
+    hour = hour_of(F.col("timestamp")).alias("hour")
+    sums = readings.groupBy(hour).agg(
+        F.sum("energy_kwh").alias("total_consumption"),
+        average(F.sum("energy_kwh"), F.count("*")).alias("avg_consumption"),
+        F.max("energy_kwh").alias("max_consumption"),
+        F.min("energy_kwh").alias("min_consumption"),
     )
-    return _rollup(household_hours, "hourly", F.col("hour"), F.count("*"))
+    return conform(sums.join(households_per_hour(readings), "hour", "left"), DATASETS["hourly"])
+
+
+def households_per_hour(readings: DataFrame) -> DataFrame:
+    """Number of distinct households in each hour that has readings.
+
+    The hours a household was seen in are one bit each in a number per household and
+    day; days have up to 25 hours where clocks are set back.
+    """
+    seen = readings.select("lclid", "timestamp", F.date_trunc("day", "timestamp").alias("midnight"))
+    position = F.expr("CAST((unix_seconds(timestamp) - unix_seconds(midnight)) DIV 3600 AS INT)")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
+    household_days = seen.groupBy("lclid", "midnight").agg(F.bit_or(bit).alias("hours"))
+    counts = [F.sum(F.getbit("hours", F.lit(hour)).cast("bigint")) for hour in range(25)]
+    days = household_days.groupBy("midnight").agg(F.array(*counts).alias("counts"))
+    hours = days.select("midnight", F.posexplode("counts").alias("hour", "household_count"))
+    start = F.timestamp_seconds(F.unix_seconds("midnight") + F.col("hour") * 3600)
+    return hours.where("household_count > 0").select(start.alias("hour"), "household_count")
 
 
 def daily_rollup(days: DataFrame) -> DataFrame:
@@ -50,10 +74,10 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
     return _rollup(days, "monthly", month_of(F.col("day")), F.countDistinct("lclid"))
 
 
-def _rollup(parts: DataFrame, dataset: str, period: Column, households: Column) -> DataFrame:
-    """Roll partial sums up to ``period``, the first column of ``dataset``."""
+def _rollup(days: DataFrame, dataset: str, period: Column, households: Column) -> DataFrame:
+    """Roll household days up to ``period``, the first column of ``dataset``."""
     schema = DATASETS[dataset]
-    rolled = parts.groupBy(period.alias(schema.names[0])).agg(
+    rolled = days.groupBy(period.alias(schema.names[0])).agg(
         F.sum("total_kwh").alias("total_consumption"),
         average(F.sum("total_kwh"), F.sum("reading_count")).alias("avg_consumption"),
         F.max("max_kwh").alias("max_consumption"),

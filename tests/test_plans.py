@@ -60,6 +60,14 @@ def test_derived_rollups_shuffle_readings_once(raw, rollup):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_hours_shuffle_only_household_days_and_hour_sums(raw):
+    plan = plan_of(rollups.hourly_rollup(clean_readings(raw)))
+    lines = plan.splitlines()
+    keys = [line.split("hashpartitioning(")[1].split(")")[0] for line in lines if "Exchange hashpartitioning" in line]
+    assert sum("lclid" in key for key in keys) == 1
+    assert all("partial_" in lines[i + 1] for i, line in enumerate(lines) if "lclid" in line and "Exchange" in line)
+
+
 def test_outliers_are_found_without_shuffling_readings(spark):
     found = registry.find_anomalies(spark, SF_DIR)
     plan = plan_of(found)

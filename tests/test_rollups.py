@@ -111,3 +111,22 @@ def test_totals_agree_at_every_grain(spark, sample):
         by_day[time(stamp).date()].add(household)
     counted = {row["day"]: row["household_count"] for row in tables[1].collect()}
     assert counted == {day: len(names) for day, names in by_day.items()}
+    by_hour = defaultdict(set)
+    for household, stamp, _ in sample:
+        by_hour[time(stamp).replace(minute=0, second=0, microsecond=0)].add(household)
+    counted = {row["hour"]: row["household_count"] for row in tables[0].collect()}
+    assert counted == {hour: len(names) for hour, names in by_hour.items()}
+
+
+def test_the_day_the_clocks_are_set_back(spark):
+    # 00:30, 01:30, 01:45 and 23:30 UTC; in London the first two are both 01:30.
+    seconds = [1729989000, 1729992600, 1729993500, 1730071800]
+    rows = spark.createDataFrame([(str(i), s) for i, s in enumerate(seconds)], "lclid string, s long").selectExpr(
+        "lclid", "date '2024-10-27' AS day", "CAST(1 AS DECIMAL(8,4)) AS energy_kwh", "timestamp_seconds(s) AS timestamp"
+    )
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        hours = rollups.hourly_rollup(rows).selectExpr("unix_seconds(hour) AS s", "household_count").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(tuple(row) for row in hours) == [(1729987200, 1), (1729990800, 2), (1730070000, 1)]
