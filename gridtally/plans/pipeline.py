@@ -50,8 +50,8 @@ def transform(
 
     The sums per household and day, and the baseline per household, are stored on
     the way, in ``folder`` or else in the shared folder; five of the datasets start from
-    them. Readings are scanned three times: for those sums, for the hours and for the
-    outliers.
+    them. Readings are scanned four times: for those sums, for the sums and for the
+    households of each hour, and for the outliers; only sums are shuffled.
     """
     clean = clean_readings(readings, max_kwh)
     days = materialize(household_days(clean), "household_days", folder)
