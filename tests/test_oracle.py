@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from gridtally.plans import oracle, registry
 from compare import duckdb_rows, normalized
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracle.oracle_sql()
 
 
 def test_every_query_has_sql():
