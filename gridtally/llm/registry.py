@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import mixing
+from gridtally.llm import chat, decontamination, mixing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_warc": warc.op2_warc,
+        "op4_chat": chat.op4_chat,
+        "op9_decontamination": decontamination.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op4_chat": chat.OP4_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
     }
