@@ -15,7 +15,7 @@ from gridtally.llm.common import PLAIN_WORD, PUNCTUATION, ascii_lower, word_coun
 from gridtally.session import materialize
 
 WINDOW = 10
-PROBES = 3
+PROBES = 2
 
 
 def _raw_words(text: Column) -> Column:
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def rarest_probes(windows: DataFrame, vocabulary: DataFrame, postings: DataFrame, most: int = PROBES) -> DataFrame:
-    """``(wid, probes, term, offset)``: up to ``most`` places of each window, rarest first.
+    """``(wid, probes, rank, term, offset)``, stored: up to ``most`` places of each window, rarest first.
 
     Windows with a word that no document has cannot occur and are left out.
     """
@@ -74,18 +74,43 @@ def rarest_probes(windows: DataFrame, vocabulary: DataFrame, postings: DataFrame
     ranked = known.groupBy("wid").agg(F.sort_array(F.collect_list(place)).alias("places"))
     possible = ranked.where(F.col("places")[0]["n"] > 0)
     chosen = possible.select("wid", F.slice("places", 1, most).alias("places"))
-    return chosen.select("wid", F.size("places").alias("probes"), F.explode("places").alias("place")).select(
-        "wid", "probes", "place.term", "place.offset"
+    listed = chosen.select(
+        "wid", F.size("places").alias("probes"), F.posexplode("places").alias("rank", "place")
     )
+    return materialize(listed.select("wid", "probes", "rank", "place.term", "place.offset"), "probes")
 
 
-def phrase_candidates(postings: DataFrame, probes: DataFrame) -> DataFrame:
-    """Starts at which all probes of a window stand at their offsets."""
-    shifted = postings.join(probes, "term").select(
-        "doc_id", "h", "wid", "probes", (F.col("pos") - F.col("offset")).alias("start"), "offset"
-    )
-    found = shifted.where("start >= 0").distinct().groupBy("doc_id", "h", "wid", "start")
-    return found.agg(F.count("*").alias("n"), F.max("probes").alias("probes")).where("n = probes").drop("n", "probes")
+def short_lists(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """The postings of the terms that are probes, stored."""
+    return materialize(postings.join(probes.select("term").distinct(), "term", "left_semi"), "short_lists")
+
+
+def phrase_candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
+    """Starts at which all probes of a window stand at their offsets.
+
+    The list of the rarest term, shifted by its offset, is intersected with that of
+    the next one, and so on.
+    """
+    led = lists.join(probes.where("rank = 0"), "term").select(
+        "doc_id", "h", "wid", "probes", (F.col("pos") - F.col("offset")).alias("start")
+    ).where("start >= 0")
+    most = probes.agg(F.max("rank")).first()[0] or 0
+    for rank in range(1, most + 1):
+        step = probes.where(F.col("rank") == rank).select(F.col("wid").alias("w"), "term", "offset")
+        expected = led.join(step, F.col("wid") == F.col("w")).withColumn("pos", F.col("start") + F.col("offset"))
+        of_rank = lists.join(step.select("term").distinct(), "term", "left_semi").select(
+            F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("term").alias("t"), F.col("pos").alias("p")
+        )
+        there = expected.join(
+            of_rank,
+            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+            & (F.col("pos") == F.col("p")) & (F.col("term") == F.col("t")),
+            "left_semi",
+        )
+        led = there.select("doc_id", "h", "wid", "probes", "start").unionByName(
+            led.where(F.col("probes") <= rank)
+        )
+    return led.select("doc_id", "h", "wid", "start").distinct()
 
 
 def proximity_matches(postings: DataFrame, probes: DataFrame, span: int = 2 * WINDOW) -> DataFrame:
@@ -121,7 +146,8 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``(doc_id, h, wid, start, length)``: every occurrence of a window, exactly."""
     vocabulary, postings = build_index(docs, window_terms(windows))
     probes = rarest_probes(windows, vocabulary, postings)
-    candidates = materialize(phrase_candidates(postings, probes), "phrase_candidates")
+    lists = short_lists(postings, probes)
+    candidates = materialize(phrase_candidates(lists, probes), "phrase_candidates")
     named = candidates.select(
         F.col("doc_id").alias("d"), F.col("h").alias("g"), "wid", "start"
     )
