@@ -154,7 +154,9 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     # Only texts with a candidate are cut into words again.
-    texts = keyed.join(named.select("d", "g").distinct(), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    # The list of such texts grows with the input, so it is never broadcast.
+    wanted = named.select("d", "g").distinct().hint("shuffle_hash")
+    texts = keyed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "h"])
     listed = materialize(texts.select("doc_id", "h", words(F.col("text")).alias("doc_words")), "candidate_texts")
     checked = listed.join(named, same).join(windows, "wid")
     size = F.size("words")
