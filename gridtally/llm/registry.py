@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, mixing, warc
+from gridtally.llm import chat, decontamination, licenses, mixing, neighbours, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_warc": warc.op2_warc,
+        "op3_neighbours": neighbours.op3_neighbours,
         "op4_chat": chat.op4_chat,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_licenses": licenses.op6_licenses,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 
@@ -22,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op2_warc": warc.OP2_SQL,
+        "op3_neighbours": neighbours.OP3_SQL,
         "op4_chat": chat.OP4_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
     }
