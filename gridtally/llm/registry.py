@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, mixing, neighbours, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, mixing, nearduplicates, neighbours, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": chat.op4_chat,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_licenses": licenses.op6_licenses,
+        "op8_minhash": nearduplicates.op8_minhash,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.OP2_SQL,
         "op3_neighbours": neighbours.OP3_SQL,
         "op4_chat": chat.OP4_SQL,
+        "op8_minhash": nearduplicates.OP8_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
     }
