@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, mixing, nearduplicates, neighbours, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, linededup, mixing, nearduplicates, neighbours, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_licenses": licenses.op6_licenses,
         "op8_minhash": nearduplicates.op8_minhash,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op10_lines": linededup.op10_lines,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": chat.OP4_SQL,
         "op8_minhash": nearduplicates.OP8_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
+        "op10_lines": linededup.OP10_SQL,
     }
