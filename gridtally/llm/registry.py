@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, linededup, mixing, nearduplicates, neighbours, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, linededup, mixing, nearduplicates, neighbours, suffixdedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": chat.op4_chat,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_licenses": licenses.op6_licenses,
+        "op7_suffixes": suffixdedup.op7_suffixes,
         "op8_minhash": nearduplicates.op8_minhash,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_lines": linededup.op10_lines,
