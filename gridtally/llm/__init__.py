@@ -1 +1,11 @@
-"""Operators for preparing training data; nothing outside this package imports them."""
+"""Operators for preparing training data; nothing outside this package imports them.
+
+Functions of this package travel to Python workers by value, so executors need the
+libraries it uses but not the package itself.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,16 @@ import pyarrow as pa
 # An odd multiplier; hashes are polynomials in it modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """What a process has computed; it is empty when sent to another."""
+
+    def __reduce__(self) -> tuple:
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 BLOCK_BYTES = 2 * 1024 * 1024
 
