@@ -8,8 +8,9 @@ which is 0.9998 at 0.8 and above 0.99999 at 0.87.
 
 Equal sets are one node from the start. Within a key the smallest node is compared with
 all others first; only keys whose members are still in different components go on, with
-twice as many members to compare per round, until no pair of one key that could join
-two components is left unchecked.
+more members to compare per round, until no pair of one key that could join two
+components is left unchecked. Parity bits of the sets bound their difference from
+below, so most pairs that are too far apart are never formed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ PERCENT = 80
 PARTS = 9
 HASHES = 2
 SEED = 3
+# Numbers of 64 parity bits each that sketch a set.
+SKETCH = 16
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, subs array<long>"
@@ -96,8 +99,19 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Dat
     return rows.mapInArrow(sign, SIGNATURE)
 
 
+def _parity(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set SKETCH numbers whose bits are the parities of its parts."""
+    spread = mixed(values ^ np.uint64(SEED))
+    part = (spread >> np.uint64(6)) % np.uint64(SKETCH)
+    bit = np.uint64(1) << (spread & np.uint64(63))
+    out = np.zeros((len(counts), SKETCH), dtype=np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(counts)), counts), part.astype(np.int64)), bit)
+    return out
+
+
 def full_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``root, n, shingles`` of rows ``root, text``."""
+    """``root, n, shingles, p0 ...`` of rows ``root, text``: the sets and their sketches."""
+    names = [f"p{i}" for i in range(SKETCH)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +121,29 @@ def full_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 ends = np.zeros(len(counts) + 1, dtype=np.int32)
                 np.cumsum(counts, out=ends[1:])
                 sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+                bits = _parity(values, counts).view(np.int64)
                 arrays = [batch.column(0)[low:high], pa.array(counts.astype(np.int64)), sets]
-                yield pa.RecordBatch.from_arrays(arrays, ["root", "n", "shingles"])
+                arrays += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays(arrays, ["root", "n", "shingles", *names])
+
+    schema = "root long, n long, shingles array<long>, " + ", ".join(f"{name} long" for name in names)
+    return texts.select("root", "text").mapInArrow(make, schema)
+
+
+def _sketch(sets: DataFrame, side: str) -> DataFrame:
+    """``root, n`` and sketch under names that begin with ``side``."""
+    columns = ["n", *[f"p{i}" for i in range(SKETCH)]]
+    return sets.select(F.col("root").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+
 
-    return texts.select("root", "text").mapInArrow(make, "root long, n long, shingles array<long>")
+def _possible(percent: int) -> Column:
+    """Whether sets a and b may be similar, by their sizes and by the parities that differ."""
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}")))
+    near = differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    return (small * 100 >= large * percent) & near
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
@@ -200,44 +233,41 @@ def near_duplicates(
     needed = members.select("root").distinct().hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("root"), "text").join(needed, "root", "left_semi")
     sets = materialize(full_sets(texts, shingle), "sets")
-    sizes = sets.select("root", "n")
-
-    def fitting(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-        a = sizes.select(F.col("root").alias("a"), F.col("n").alias("na"))
-        b = sizes.select(F.col("root").alias("b"), F.col("n").alias("nb"))
-        close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        new = pairs.distinct().join(a, "a").join(b, "b").where(close).select("a", "b").distinct()
-        return new if done is None else new.join(done, ["a", "b"], "left_anti")
-
     # Copies of a document that has several texts link their classes.
     several = tagged.where("root IS NOT NULL AND doc_id > root").select(
         F.col("root").alias("a"), F.col("doc_id").alias("b")
     )
     pairs = members.where("root > pivot").select(F.col("pivot").alias("a"), F.col("root").alias("b"))
-    done = materialize(fitting(pairs, None), "pairs")
+    paired = pairs.distinct().join(_sketch(sets, "a"), "a").join(_sketch(sets, "b"), "b").where(_possible(percent))
+    done = materialize(paired.select("a", "b").distinct(), "pairs")
     several = several.join(members.select(F.col("root").alias("b")).distinct(), "b", "left_semi").select("a", "b")
     edges = materialize(confirmed(done, sets, percent).unionByName(several).distinct(), "links")
     labels = components(edges, "components")
-    low, high = 1, 2
+    low, high = 0, 4
     while True:
         open_ = _open_members(members, labels)
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("root", "label"))
-        ranked = open_.withColumn("rank", rank)
         largest = open_.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if largest <= low:
+        if largest - 1 <= low:
             break
-        pivots = ranked.where((F.col("rank") > low - 1) & (F.col("rank") <= high)).select(
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("root", "label"))
+        ranked = open_.select("key", "root", "label").withColumn("rank", rank)
+        first = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
             "key", F.col("root").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra")
         )
-        apart = (F.col("label") != F.col("la")) & (F.col("rank") > F.col("ra")) & (F.col("root") != F.col("a"))
-        met = ranked.join(pivots, "key").where(apart).select("a", F.col("root").alias("b"))
-        new = materialize(fitting(met, done), "pairs")
+        other = ranked.select("key", F.col("root").alias("b"), F.col("label").alias("lb"), F.col("rank").alias("rb"))
+        left, right = first.join(_sketch(sets, "a"), "a"), other.join(_sketch(sets, "b"), "b")
+        apart = (F.col("la") != F.col("lb")) & (F.col("rb") > F.col("ra")) & (F.col("a") != F.col("b"))
+        # The sketches are part of the join, so pairs that cannot be similar are not made.
+        met = left.withColumnRenamed("key", "k").join(
+            right, (F.col("k") == F.col("key")) & apart & _possible(percent)
+        )
+        new = materialize(met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         links = materialize(confirmed(new, sets, percent), "links")
         done = done.unionByName(new)
         if not links.isEmpty():
             edges = edges.unionByName(links)
             labels = components(edges, "components")
-        low, high = high, high * 2
+        low, high = high, high * 8
     return _result(tagged, labels)
 
 
