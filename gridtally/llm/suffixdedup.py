@@ -30,7 +30,7 @@ from gridtally.session import materialize
 
 MIN_BYTES = 100
 GRAM = 24
-CHUNK_BYTES = 2 * 1024 * 1024
+CHUNK_BYTES = 1024 * 1024
 _STRETCH = 1 << 22
 _PLACE_BITS = 24
 _LAST = np.iinfo(np.int64).max
@@ -169,7 +169,9 @@ def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob, ids, ends, repeated in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for chunk, blob, ids, _, ends, repeated in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if not repeated:
+                    continue
                 data, _, _ = _unpacked((blob, ids, ends))
                 order, data, ends = _ordered(ids, data, ends)
                 found = Segments(data, ends, min_bytes)
@@ -187,7 +189,7 @@ def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
                     ["chunk", "anchor", "content", "doc_id", "at", "text"],
                 )
 
-    columns = listed.select("chunk", "blob", "ids", "ends", "repeated")
+    columns = listed.select("chunk", "blob", "ids", "known", "ends", "repeated")
     return columns.mapInArrow(cut, SEGMENTS)
 
 
@@ -359,7 +361,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, texts: bool = Tr
         "chunk", "anchor", F.min("chunk").over(same).alias("lo"), F.max("chunk").over(same).alias("hi"), "twice"
     )
     repeated = seen.where("lo < hi OR twice").groupBy("chunk").agg(F.collect_list("anchor").alias("repeated"))
-    listed = chunks.join(repeated, "chunk")
+    # The same columns and the same kind of join as at the end, so chunks are shuffled once.
+    listed = chunks.join(repeated, "chunk", "left")
     segments = _segments(listed, min_bytes)
     verdict = F.struct("content", "mask")
     verdicts = _verdicts(segments, min_bytes).groupBy("chunk").agg(F.collect_list(verdict).alias("verdicts"))
