@@ -243,7 +243,7 @@ def near_duplicates(
     several = several.join(members.select(F.col("root").alias("b")).distinct(), "b", "left_semi").select("a", "b")
     edges = materialize(confirmed(done, sets, percent).unionByName(several).distinct(), "links")
     labels = components(edges, "components")
-    low, high = 0, 4
+    low, high = 0, 16
     while True:
         open_ = _open_members(members, labels)
         largest = open_.groupBy("key").count().agg(F.max("count")).first()[0] or 0
@@ -267,7 +267,7 @@ def near_duplicates(
         if not links.isEmpty():
             edges = edges.unionByName(links)
             labels = components(edges, "components")
-        low, high = high, high * 8
+        low, high = high, high * 32
     return _result(tagged, labels)
 
 
