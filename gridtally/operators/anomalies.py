@@ -11,12 +11,16 @@ from gridtally.schema import ANOMALY_THRESHOLD, ANOMALY_TYPE, DATASETS, conform
 
 
 def household_baseline(days: DataFrame) -> DataFrame:
-    """Mean and sample deviation per household, and its largest and smallest reading."""
+    """Mean and sample deviation per household, and its largest and smallest reading.
+
+    ``mean_consumption`` is for scores, ``avg_consumption`` is the mean as reported.
+    """
     count = F.sum("reading_count")
     total = F.sum("total_kwh")
     return days.groupBy("lclid").agg(
         count.alias("reading_count"),
         average(total, count, T.DecimalType(14, 8)).alias("mean_consumption"),
+        average(total, count).alias("avg_consumption"),
         sample_stddev(count, total, F.sum("total_kwh_squared")).alias("stddev_consumption"),
         F.max("max_kwh").alias("max_kwh"),
         F.min("min_kwh").alias("min_kwh"),

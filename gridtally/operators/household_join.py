@@ -46,7 +46,9 @@ def join_households(
         .drop("keys", "wanted")
     )
     repeated = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), keys - 1)))
-    return spread.join(repeated.drop("reading_count"), ["lclid", "part"]).drop("part")
+    # Without the hint Spark might still broadcast by its own estimate.
+    few = repeated.drop("reading_count").hint("merge")
+    return spread.join(few, ["lclid", "part"]).drop("part")
 
 
 def _part(readings: DataFrame, parts: Column) -> Column:

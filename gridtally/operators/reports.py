@@ -42,16 +42,16 @@ def daily_series(daily: DataFrame, start: Day = None, end: Day = None) -> DataFr
 
 
 def hourly_series(
-    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = 1000
+    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = None
 ) -> DataFrame:
-    """The first ``max_hours`` hours in order; None for all hours."""
+    """The hours in order, or the first ``max_hours`` of them."""
     hours = hourly.where(time_in(F.col("hour"), start, end)).select("hour", *MEASURES)
     ordered = hours.orderBy("hour")
     return ordered if max_hours is None else ordered.limit(max_hours)
 
 
 def hour_of_day_profile(
-    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = 1000
+    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = None
 ) -> DataFrame:
     """Mean of the hourly averages for each hour of the day."""
     hours = hourly_series(hourly, start, end, max_hours)
@@ -60,7 +60,7 @@ def hour_of_day_profile(
 
 
 def day_hour_heatmap(
-    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = 1000
+    hourly: DataFrame, start: Day = None, end: Day = None, max_hours: int | None = None
 ) -> DataFrame:
     """One row per day, one column per hour ``h00`` to ``h23``; NULL for absent hours."""
     hours = hourly_series(hourly, start, end, max_hours)
@@ -106,11 +106,11 @@ def top_households(stats: DataFrame, n: int = 50) -> DataFrame:
     return stats.orderBy(F.desc("total_consumption"), "lclid").limit(n)
 
 
-def household_histogram(stats: DataFrame, bins: int = 20, top_n: int | None = 50) -> DataFrame:
+def household_histogram(stats: DataFrame, bins: int = 20, top_n: int | None = None) -> DataFrame:
     """Number of households per bin of ``avg_daily_consumption``.
 
     The bins have equal width from the smallest to the largest value; empty bins are
-    left out. By default over the top households only; ``top_n=None`` takes all.
+    left out. With ``top_n`` only the households with the largest totals count.
     """
     chosen = stats if top_n is None else top_households(stats, top_n)
     value, low, high = F.col("avg_daily_consumption"), F.col("bounds.low"), F.col("bounds.high")

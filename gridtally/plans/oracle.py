@@ -121,9 +121,13 @@ ANOMALIES = outliers(clean(EVENTS, 1000))
 STORED = clean(distinct_keys(EVENTS))
 STORED_WIDE = clean(distinct_keys(EVENTS, 1000), 1000)
 
+STORED_YEARS = clean(distinct_keys(LINEITEM))
+
 HOURLY_SERIES = f"""
     SELECT hour, {MEASURES} FROM ({HOURLY})
-    WHERE CAST(hour AS DATE) {PERIOD} ORDER BY hour LIMIT 1000"""
+    WHERE CAST(hour AS DATE) {PERIOD} ORDER BY hour"""
+
+YEARS = rollup(clean(LINEITEM), "date_trunc('hour', \"timestamp\")", "hour")
 
 MEAN_OF_AVERAGES = exact_avg("SUM(avg_consumption)", "COUNT(*)")
 
@@ -150,6 +154,30 @@ def histogram(chosen: str) -> str:
           GROUP BY ALL)"""
 
 
+TEN_DAYS = "BETWEEN DATE '2024-01-06' AND DATE '2024-01-15'"
+THREE_DAYS = "BETWEEN DATE '2024-01-09' AND DATE '2024-01-11'"
+NO_DAYS = "BETWEEN DATE '2023-01-01' AND DATE '2023-12-31'"
+
+
+def overview(period: str) -> str:
+    return f"""
+            SELECT CAST(COALESCE(SUM(household_count), 0) AS BIGINT) AS total_households,
+                   CAST(COALESCE(SUM(total_consumption), 0) AS DECIMAL(20,4)) AS total_energy,
+                   CAST(COALESCE({MEAN_OF_AVERAGES}, 0) AS DECIMAL(10,4)) AS avg_consumption,
+                   CAST(COALESCE(MAX(max_consumption), 0) AS DECIMAL(10,4)) AS peak_consumption
+            FROM ({DAILY}) WHERE day {period}"""
+
+
+def weekday_profile(period: str) -> str:
+    return f"""
+            SELECT w.number AS weekday_number, w.name AS day_of_week, m.avg_consumption
+            FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'),
+                         (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) w(number, name)
+            LEFT JOIN (SELECT isodow(day) AS number, {MEAN_OF_AVERAGES} AS avg_consumption
+                       FROM ({DAILY}) WHERE day {period} GROUP BY 1) m USING (number)
+            ORDER BY 1"""
+
+
 TOP50 = f"SELECT * FROM ({STATS}) ORDER BY total_consumption DESC, lclid LIMIT 50"
 
 HOURS = """
@@ -196,12 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_top_households": f"""
             SELECT lclid, COUNT(*) AS anomaly_count FROM ({ANOMALIES})
             GROUP BY lclid ORDER BY anomaly_count DESC, lclid LIMIT 10""",
-        "overview": f"""
-            SELECT CAST(COALESCE(SUM(household_count), 0) AS BIGINT) AS total_households,
-                   CAST(COALESCE(SUM(total_consumption), 0) AS DECIMAL(20,4)) AS total_energy,
-                   CAST(COALESCE({MEAN_OF_AVERAGES}, 0) AS DECIMAL(10,4)) AS avg_consumption,
-                   CAST(COALESCE(MAX(max_consumption), 0) AS DECIMAL(10,4)) AS peak_consumption
-            FROM ({DAILY}) WHERE day {PERIOD}""",
+        "overview": overview(PERIOD),
         "daily_series": f"""
             SELECT day, {MEASURES}, household_count FROM ({DAILY})
             WHERE day {PERIOD} ORDER BY day""",
@@ -212,17 +235,25 @@ def oracle_sql() -> dict[str, str]:
         "day_hour_heatmap": f"""
             SELECT CAST(hour AS DATE) AS day, {HEATMAP_COLUMNS}
             FROM ({HOURLY_SERIES}) GROUP BY 1 ORDER BY 1""",
-        "weekday_profile": f"""
-            SELECT w.number AS weekday_number, w.name AS day_of_week, m.avg_consumption
-            FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'),
-                         (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) w(number, name)
-            LEFT JOIN (SELECT isodow(day) AS number, {MEAN_OF_AVERAGES} AS avg_consumption
-                       FROM ({DAILY}) WHERE day {PERIOD} GROUP BY 1) m USING (number)
-            ORDER BY 1""",
+        "weekday_profile": weekday_profile(PERIOD),
+        "overview_period": overview(TEN_DAYS),
+        "overview_empty_range": overview(NO_DAYS),
+        "weekday_profile_period": weekday_profile(THREE_DAYS),
+        "hourly_series_period": f"""
+            SELECT hour, {MEASURES} FROM ({HOURLY}) WHERE CAST(hour AS DATE) {TEN_DAYS} ORDER BY hour""",
+        "hourly_series_first_100": f"{HOURLY_SERIES} LIMIT 100",
+        "hourly_series_years": f"SELECT hour, {MEASURES} FROM ({YEARS}) ORDER BY hour",
+        "hour_of_day_profile_years": f"""
+            SELECT CAST(hour(hour) AS INTEGER) AS hour_of_day, {MEAN_OF_AVERAGES} AS avg_consumption
+            FROM ({YEARS}) GROUP BY 1 ORDER BY 1""",
+        "day_hour_heatmap_years": f"""
+            SELECT CAST(hour AS DATE) AS day, {HEATMAP_COLUMNS}
+            FROM ({YEARS}) GROUP BY 1 ORDER BY 1""",
         "latest_days": f"SELECT * FROM ({DAILY}) ORDER BY day DESC LIMIT 10",
         "top_households": TOP50,
         "top10_households": f"SELECT * FROM ({TOP50}) ORDER BY total_consumption DESC, lclid LIMIT 10",
-        "household_histogram": histogram(TOP50),
+        "household_histogram": histogram(STATS),
+        "household_histogram_top50": histogram(TOP50),
         "household_histogram_all": histogram(STATS),
         "csv_ingest": distinct_keys(EVENTS),
         "csv_ingest_half_hour": distinct_keys(HALF_HOURS),
@@ -232,6 +263,8 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_daily": rollup(STORED, "day", "day"),
         "pipeline_hourly": rollup(STORED, "date_trunc('hour', \"timestamp\")", "hour"),
         "pipeline_household_stats": stats(STORED),
+        "pipeline_weekly": rollup(STORED_YEARS, "CAST(date_trunc('week', day) AS DATE)", "week_start"),
+        "pipeline_monthly": rollup(STORED_YEARS, "CAST(date_trunc('month', day) AS DATE)", "month"),
         "pipeline_anomalies": outliers(STORED_WIDE),
         "adhoc_sql": f"""
             SELECT lclid, total_consumption, days_count,

@@ -20,6 +20,10 @@ from gridtally.streaming.incremental import ingest_new_files
 
 # The period that the reports show by default; all events lie within it.
 START, END = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
+# Periods that leave days out, and one without any.
+TEN_DAYS = dt.date(2024, 1, 6), dt.date(2024, 1, 15)
+THREE_DAYS = dt.date(2024, 1, 9), dt.date(2024, 1, 11)
+NO_DAYS = dt.date(2023, 1, 1), dt.date(2023, 12, 31)
 # Events exceed the default limit; outliers need the higher one.
 WIDE_LIMIT = 1000.0
 
@@ -83,6 +87,10 @@ def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.hourly_rollup(cleaning.clean_readings(events(spark, sf_dir)))
 
 
+def _lineitem_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.hourly_rollup(cleaning.clean_readings(lineitem(spark, sf_dir)))
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.household_stats(_lineitem_days(spark, sf_dir))
 
@@ -96,7 +104,7 @@ def household_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.select(
         "lclid",
         F.col("reading_count"),
-        F.round("mean_consumption", 4).cast(ENERGY).alias("mean_consumption"),
+        F.col("avg_consumption").alias("mean_consumption"),
         F.col("stddev_consumption").cast(ENERGY).alias("stddev_consumption"),
     )
 
@@ -110,7 +118,7 @@ def find_anomalies(spark: SparkSession, sf_dir: str, **join_options) -> DataFram
 
 def find_anomalies_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way for more households than may be broadcast, forced."""
-    return find_anomalies(spark, sf_dir, max_broadcast_households=0, hot_share=0.01)
+    return find_anomalies(spark, sf_dir, max_broadcast_households=0, hot_share=0.001)
 
 
 def _write_csv(readings: DataFrame, path: str) -> None:
@@ -179,11 +187,15 @@ def _warehouse(spark: SparkSession, readings: DataFrame, max_kwh: float = 100.0)
     return warehouse
 
 
-def pipeline_table(name: str, max_kwh: float = 100.0) -> Callable[[SparkSession, str], DataFrame]:
-    """A warehouse table after a full run from CSV files of the events."""
+def pipeline_table(
+    name: str,
+    max_kwh: float = 100.0,
+    readings: Callable[[SparkSession, str], DataFrame] = events,
+) -> Callable[[SparkSession, str], DataFrame]:
+    """A warehouse table after a full run from CSV files of the readings."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tables.read_table(spark, _warehouse(spark, events(spark, sf_dir), max_kwh), name)
+        return tables.read_table(spark, _warehouse(spark, readings(spark, sf_dir), max_kwh), name)
 
     return query
 
@@ -230,6 +242,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top10_households": lambda s, d: reports.top_households(_stats(s, d), 10),
         "household_histogram": lambda s, d: reports.household_histogram(_stats(s, d)),
         "household_histogram_all": lambda s, d: reports.household_histogram(_stats(s, d), top_n=None),
+        "household_histogram_top50": lambda s, d: reports.household_histogram(_stats(s, d), top_n=50),
+        "overview_period": lambda s, d: reports.overview(_daily(s, d), *TEN_DAYS),
+        "overview_empty_range": lambda s, d: reports.overview(_daily(s, d), *NO_DAYS),
+        "weekday_profile_period": lambda s, d: reports.weekday_profile(_daily(s, d), *THREE_DAYS),
+        "hourly_series_period": lambda s, d: reports.hourly_series(_hourly(s, d), *TEN_DAYS),
+        "hourly_series_first_100": lambda s, d: reports.hourly_series(_hourly(s, d), START, END, 100),
+        "hourly_series_years": lambda s, d: reports.hourly_series(_lineitem_hourly(s, d)),
+        "hour_of_day_profile_years": lambda s, d: reports.hour_of_day_profile(_lineitem_hourly(s, d)),
+        "day_hour_heatmap_years": lambda s, d: reports.day_hour_heatmap(_lineitem_hourly(s, d)),
         "csv_ingest": csv_ingest,
         "csv_ingest_half_hour": csv_ingest_half_hour,
         "idempotent_append": idempotent_append,
@@ -238,6 +259,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_daily": pipeline_table("daily"),
         "pipeline_hourly": pipeline_table("hourly"),
         "pipeline_household_stats": pipeline_table("household_stats"),
+        "pipeline_weekly": pipeline_table("weekly", readings=lineitem),
+        "pipeline_monthly": pipeline_table("monthly", readings=lineitem),
         "pipeline_anomalies": pipeline_table("anomalies", WIDE_LIMIT),
         "adhoc_sql": adhoc_sql,
     }

@@ -75,14 +75,14 @@ def typed_readings(rows: DataFrame) -> DataFrame:
     present = {name.lower() for name in rows.columns}
     if present.issuperset(name.lower() for name in HALF_HOUR_HEADER):
         household, time, energy = HALF_HOUR_HEADER
-        timestamp = _field(time).try_cast("timestamp")
+        timestamp = _time(time)
         day = F.to_date(timestamp)
     else:
         household, date, energy, time = READING_HEADER
-        day = _field(date).try_cast("date")
+        day = F.when(_field(date).rlike(f"^{_DATE}$"), _field(date)).try_cast("date")
         timestamp = F.lit(None).cast("timestamp")
         if time in present:
-            timestamp = _field(time).try_cast("timestamp")
+            timestamp = _time(time)
     return rows.select(
         F.col(household).alias("lclid"),
         day.alias("day"),
@@ -91,6 +91,16 @@ def typed_readings(rows: DataFrame) -> DataFrame:
     )
 
 
+# A cast alone takes a time for one of today, a year for its first day, and a zone.
+_DATE = r"\d{4}-\d{2}-\d{2}"
+_TIME = rf"{_DATE}[ T]\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?"
+
+
+def _time(name: str) -> Column:
+    """The instant of a complete date and time without zone; NULL for anything else."""
+    return F.when(_field(name).rlike(f"^{_TIME}$"), _field(name)).try_cast("timestamp")
+
+
 def _field(name: str) -> Column:
     return F.trim(F.col(f"`{name}`"))
 

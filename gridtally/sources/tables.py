@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -74,7 +75,8 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
     path = table_path(warehouse, RAW_TABLE)
     stored = stored_table(spark, path, RAW)
     if stored is not None:
-        staging = f"{warehouse.rstrip('/')}/staging"
+        # A folder of its own, so that two appends at once do not meet.
+        staging = f"{warehouse.rstrip('/')}/staging/{uuid.uuid4().hex}"
         batch = new_readings(materialize(batch, "batch", staging), stored)
     stamped = conform(batch, READING).select(
         "*", F.current_timestamp().alias("created_at"), month_of(F.col("day")).alias("month")
@@ -98,12 +100,14 @@ def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
         F.min("day").alias("first"),
         F.max("day").alias("last"),
         F.collect_set(month_of(F.col("day"))).alias("months"),
+        F.count_if(F.col("day").isNull()).alias("undated"),
     ).first()
-    if not span["months"]:
+    if not span["months"] and not span["undated"]:
         return batch
     if "month" in existing.columns:
-        existing = existing.where(F.col("month").isin(span["months"]))
-    nearby = existing.where(day_in(F.col("day"), span["first"], span["last"]))
+        existing = existing.where(F.col("month").isin(span["months"]) | F.col("month").isNull())
+    dated = day_in(F.col("day"), span["first"], span["last"]) if span["months"] else F.lit(False)
+    nearby = existing.where(dated | F.col("day").isNull())
     seen = nearby.select(*[F.col(name).alias(f"seen_{name}") for name in READING_KEY])
     same = [F.col(name).eqNullSafe(F.col(f"seen_{name}")) for name in READING_KEY]
     return batch.join(seen, same, "left_anti")
@@ -142,8 +146,28 @@ def read_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return spark.read.schema(DATASETS[name]).parquet(table_path(warehouse, ANALYTICS_TABLES[name]))
 
 
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _forget_own(spark: SparkSession, table: str) -> None:
+    """Drop the name of an external table that this library made; its files stay.
+
+    Raises for any other table: its files would go with a managed one.
+    """
+    facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    location = (facts.get("Location") or "").rstrip("/")
+    if facts.get("Type") != "EXTERNAL" or not location.endswith(table.replace(".", "/")):
+        raise ValueError(f"{table} is a table that this library did not make; it is left as it is")
+    spark.sql(f"DROP TABLE {table}")
+
+
 def register_tables(spark: SparkSession, warehouse: str) -> None:
-    """Make the stored tables known to ``spark.sql`` under their schema and name."""
+    """Make the stored tables known to ``spark.sql`` under their schema and name.
+
+    A table of that name that the library did not make is never dropped: an error names it.
+    """
     tables = {RAW_TABLE: RAW}
     for name, table in ANALYTICS_TABLES.items():
         tables[table] = T.StructType([*DATASETS[name].fields, CREATED_AT])
@@ -153,11 +177,12 @@ def register_tables(spark: SparkSession, warehouse: str) -> None:
             continue
         database = table.split(".")[0]
         folder = table_path(warehouse, database)
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION {_quoted(folder)}")
         partitions = "PARTITIONED BY (month)" if table == RAW_TABLE else ""
+        if spark.catalog.tableExists(table):
+            _forget_own(spark, table)
         spark.sql(
-            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet {partitions} LOCATION '{path}'"
+            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet {partitions} LOCATION {_quoted(path)}"
         )
         if partitions:
             spark.catalog.recoverPartitions(table)
