@@ -156,9 +156,11 @@ def _forget_own(spark: SparkSession, table: str) -> None:
 
     Raises for any other table: its files would go with a managed one.
     """
-    facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
-    location = (facts.get("Location") or "").rstrip("/")
-    if facts.get("Type") != "EXTERNAL" or not location.endswith(table.replace(".", "/")):
+    facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    kind = facts.where("col_name = 'Type'").first()
+    location = facts.where("col_name = 'Location'").first()
+    folder = location["data_type"].rstrip("/") if location else ""
+    if not kind or kind["data_type"] != "EXTERNAL" or not folder.endswith("/" + table.replace(".", "/")):
         raise ValueError(f"{table} is a table that this library did not make; it is left as it is")
     spark.sql(f"DROP TABLE {table}")
 
