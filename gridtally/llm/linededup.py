@@ -66,15 +66,17 @@ def frequent_buckets(docs: DataFrame) -> list[list[int]]:
 def rarity_keys(words: Column, levels: list[list[int]]) -> Column:
     """The words as numbers that sort from rare to frequent, equal for equal words."""
 
-    def key(word: Column) -> Column:
+    def key(number: Column) -> Column:
+        bucket = F.pmod(number, F.lit(BUCKETS)).cast("int")
+        # The levels lie within each other, so most words are looked up once.
         level = F.lit(0).cast("long")
-        for buckets in levels:
+        for buckets in reversed(levels):
             if buckets:
-                level = level + _bucket(word).isin(buckets).cast("long")
-        low = F.xxhash64(word).bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
+                level = F.when(bucket.isin(buckets), level + 1).otherwise(F.lit(0).cast("long"))
+        low = number.bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
         return F.shiftleft(level, _LEVEL_BITS) + low
 
-    return F.sort_array(F.transform(words, key))
+    return F.sort_array(F.transform(F.transform(words, lambda word: F.xxhash64(word)), key))
 
 
 def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
