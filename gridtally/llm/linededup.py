@@ -7,6 +7,9 @@ filters drop pairs that cannot reach the similarity, the rest is verified on the
 A line goes if an earlier line (by doc_id, then place) is similar, whether that one
 stays or not. Only DataFrame functions are used.
 
+Parity bits of the words bound the difference of two lines from below, so that words
+are fetched for few pairs only.
+
 Equal sets are one class from the start. Each class is compared with the earliest one
 of each prefix word first; only classes without a match so far are compared with all
 earlier ones, so a large group of similar lines costs a pair per line and word.
@@ -24,6 +27,11 @@ BUCKETS = 1 << 18
 # Levels of rarity: a bucket with more than one in so many words is on that level.
 LEVELS = (1 << 13, 1 << 11, 1 << 9)
 _LEVEL_BITS = 58
+# Parity bits are chosen by the bits of a word's hash that its bucket does not use.
+_PARITY_SHIFT = 24
+# Lines of up to so many words are sketched by 64 bits, longer ones by 256.
+SHORT = 48
+_BITS = ("b0", "b1", "b2", "b3")
 _LAST = 9223372036854775807
 
 
@@ -79,8 +87,47 @@ def rarity_keys(words: Column, levels: list[list[int]]) -> Column:
     return F.sort_array(F.transform(F.transform(words, lambda word: F.xxhash64(word)), key))
 
 
+def parity_bits(keys: Column) -> list[Column]:
+    """``b0`` to ``b3``: 256 bits, each the parity of how many keys fall to it.
+
+    Short sets need 64 bits only, all in ``b0``: the 256 bits folded.
+    """
+
+    def bits(number: int | None) -> Column:
+        def bit(key: Column) -> Column:
+            place = F.shiftright(key, _PARITY_SHIFT)
+            mark = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+            if number is None:
+                return mark
+            here = place.bitwiseAND(192) == 64 * number
+            return F.when(here, mark).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda found, key: found.bitwiseXOR(bit(key)))
+
+    short = F.size(keys) <= SHORT
+    none = F.lit(0).cast("long")
+    first = F.when(short, bits(None)).otherwise(bits(0)).alias("b0")
+    return [first, *[F.when(short, none).otherwise(bits(i)).alias(f"b{i}") for i in (1, 2, 3)]]
+
+
+def _apart(x: str, y: str) -> Column:
+    """At most the number of words that only one of two lines has: the odd bits."""
+
+    def folded(name: str) -> Column:
+        found = F.col(f"{name}b0")
+        for number in (1, 2, 3):
+            found = found.bitwiseXOR(F.col(f"{name}b{number}"))
+        return found
+
+    wide = F.lit(0)
+    for number in range(4):
+        wide = wide + F.bit_count(F.col(f"{x}b{number}").bitwiseXOR(F.col(f"{y}b{number}")))
+    both = (F.col(f"{x}n") > SHORT) & (F.col(f"{y}n") > SHORT)
+    return F.when(both, wide).otherwise(F.bit_count(folded(x).bitwiseXOR(folded(y))))
+
+
 def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All lines with words, stored: place, fingerprint ``h1, h2``, size and prefix."""
+    """All lines with words, stored: place, fingerprint ``h1, h2``, size, bits and prefix."""
     levels = frequent_buckets(docs)
     words = numbered_lines(docs).select("doc_id", "h", "line_no", "at", line_words(F.col("line")).alias("words"))
     ranked = words.where(F.size("words") > 0).select(
@@ -92,37 +139,46 @@ def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         ranked.select(
             "doc_id", "h", "line_no", "at", size.alias("n"),
             F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
-            F.slice("keys", F.lit(1), prefix).alias("prefix"),
+            *parity_bits(F.col("keys")), F.slice("keys", F.lit(1), prefix).alias("prefix"),
         ),
         "lines",
     )
 
 
 def _fits(percent: int) -> Column:
-    """Length and positional filter of x and y, which share the words at ``xi`` and ``yi``."""
+    """Order, length, positional and parity filter of x and y, which share the words at ``xi`` and ``yi``."""
     long_enough = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
     # Shared words: at most the smaller prefix up to here, and the shorter rest.
     most = F.least("xi", "yi") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
-    return long_enough & (most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent)
+    enough = most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
+    return earlier & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
 
 
 def prefix_index(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key, at, n, i`` of the classes, for keys that different classes share, stored."""
-    entries = lines.select("h1", "h2", "n", F.posexplode("prefix").alias("i", "key"))
-    shared = entries.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
-    kept = entries.join(shared.select("key"), "key", "left_semi").distinct()
-    placed = kept.join(classes, ["h1", "h2"])
-    return materialize(placed.select("key", "at", "n", (F.col("i") + 1).alias("i")), "prefix_index")
+    """``key, at, d, l, n, b0 to b3, i`` of the first line of each class, stored."""
+    leading = lines.join(classes.hint("shuffle_hash"), ["h1", "h2", "at"], "left_semi")
+    # Rows repeated with id and text share all three.
+    leading = leading.dropDuplicates(["h1", "h2", "at"])
+    # Two short numbers compare much faster than their decimal.
+    place = [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("line_no").alias("l")]
+    entries = leading.select("at", *place, "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
+    return materialize(entries.withColumn("i", F.col("i") + 1), "prefix_index")
 
 
 def _sides(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    x = index.select("key", F.col("at").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
-    y = index.select("key", F.col("at").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
-    return x, y
+    def side(name: str) -> DataFrame:
+        renamed = [F.col(c).alias(name + c) for c in ("d", "l", "n", *_BITS, "i")]
+        return index.select("key", F.col("at").alias(name), *renamed)
 
+    return side("x"), side("y")
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose words are similar."""
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these lines are fetched."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().hint("shuffle_hash")
+    sets = numbered_lines(docs).select("at", "line").join(wanted, "at", "left_semi")
+    sets = materialize(sets.select("at", line_words(F.col("line")).alias("words")), "line_words")
     of_x = sets.select(F.col("at").alias("x"), F.col("words").alias("xw"))
     of_y = sets.select(F.col("at").alias("y"), F.col("words").alias("yw"))
     both = pairs.join(of_x, "x").join(of_y, "y")
@@ -137,19 +193,15 @@ def matched_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent
     """``x``: the first lines of classes that an earlier line of another class matches."""
     index = prefix_index(lines, classes)
     x, y = _sides(index)
-    # Lines of other classes' words are compared as words; the list grows with the input.
-    wanted = index.select("at").distinct().hint("shuffle_hash")
-    sets = numbered_lines(docs).join(wanted, "at", "left_semi")
-    sets = materialize(sets.select("at", line_words(F.col("line")).alias("words")), "line_words")
     first = index.groupBy("key").agg(F.min("at").alias("y"))
     leading = y.join(first, ["key", "y"])
-    pairs = x.join(leading, "key").where(F.col("y") < F.col("x")).where(_fits(percent))
+    pairs = x.join(leading, "key").where(_fits(percent))
     pairs = materialize(pairs.select("x", "y").distinct(), "first_pairs")
-    found = materialize(confirmed(pairs, sets, percent), "first_matches")
+    found = materialize(confirmed(pairs, docs, percent), "first_matches")
     left = x.join(found, "x", "left_anti")
-    rest = left.join(y, "key").where(F.col("y") < F.col("x")).where(_fits(percent))
+    rest = left.join(y, "key").where(_fits(percent))
     rest = rest.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
-    more = confirmed(materialize(rest, "other_pairs"), sets, percent)
+    more = confirmed(materialize(rest, "other_pairs"), docs, percent)
     return found.unionByName(more)
 
 
