@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "gridtally", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects; ``conf`` overrides them.
@@ -50,13 +54,33 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of what is run inside as soon as it has ended.
+
+    Nothing reads them once a table is written; else they stay until the driver
+    collects its garbage, and fill the executors' disks in a chain of tables.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     It goes to ``folder``, replacing what is there under ``name``, or to a new place
     in the shared folder. What follows survives the loss of executors without
-    recomputing ``df``, and the planner knows the true size of the table.
+    recomputing ``df``, and the planner knows the true size of the table. The shuffle
+    files of the write are removed.
     """
     path = new_folder(df.sparkSession, name) if folder is None else f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

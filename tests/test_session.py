@@ -1,8 +1,9 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridtally.session import materialize, new_folder, shared_folder
+from gridtally.session import SHUFFLE_CLEANUP, materialize, new_folder, shared_folder
 
 
 def session(**conf):
@@ -25,3 +26,10 @@ def test_materialized_table_is_read_back(spark):
     stored = materialize(spark.range(5), "five")
     assert sorted(row["id"] for row in stored.collect()) == [0, 1, 2, 3, 4]
     assert shared_folder(spark) in stored.inputFiles()[0]
+
+
+def test_storing_a_table_leaves_no_setting_behind(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    stored = materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "cleaned")
+    assert stored.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
