@@ -52,11 +52,16 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    first = F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)")
-    at = (first + F.col("line_no")).cast("decimal(31,0)")
+    at = _place(F.coalesce("doc_id", F.lit(_LAST)), "line_no")
     return lines.select("doc_id", "h", "line_no", at.alias("at"), "line")
 
 
+def _place(doc_id: Column | str, line_no: str) -> Column:
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    first = doc_id.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)")
+    return (first + F.col(line_no)).cast("decimal(31,0)")
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
@@ -155,23 +160,30 @@ def _fits(percent: int) -> Column:
     return earlier & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
 
 
-def prefix_index(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key, at, d, l, n, b0 to b3, i`` of the first line of each class, stored."""
+def class_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first line of each class, ``at, d, l, n, b0 to b3, prefix``, stored."""
     leading = lines.join(classes.hint("shuffle_hash"), ["h1", "h2", "at"], "left_semi")
     # Rows repeated with id and text share all three.
     leading = leading.dropDuplicates(["h1", "h2", "at"])
     # Two short numbers compare much faster than their decimal.
     place = [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("line_no").alias("l")]
-    entries = leading.select("at", *place, "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
-    return materialize(entries.withColumn("i", F.col("i") + 1), "prefix_index")
+    return materialize(leading.select("at", *place, "n", *_BITS, "prefix"), "class_lines")
+
+
+def prefix_index(rows: DataFrame) -> DataFrame:
+    """``key, at, d, l, n, b0 to b3, i``: a row for each prefix word of ``class_lines``."""
+    entries = rows.select("at", "d", "l", "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
+    return entries.withColumn("i", F.col("i") + 1)
+
 
+def _side(index: DataFrame, name: str) -> DataFrame:
+    return index.select("key", *[F.col(c).alias(name + c) for c in ("d", "l", "n", *_BITS, "i")])
 
-def _sides(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    def side(name: str) -> DataFrame:
-        renamed = [F.col(c).alias(name + c) for c in ("d", "l", "n", *_BITS, "i")]
-        return index.select("key", F.col("at").alias(name), *renamed)
 
-    return side("x"), side("y")
+def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """``x, y``: places of lines that share a prefix word and pass the filters."""
+    pairs = x.join(y, "key").where(_fits(percent))
+    return pairs.select(_place("xd", "xl").alias("x"), _place("yd", "yl").alias("y")).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -191,16 +203,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def matched_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the first lines of classes that an earlier line of another class matches."""
-    index = prefix_index(lines, classes)
-    x, y = _sides(index)
-    first = index.groupBy("key").agg(F.min("at").alias("y"))
-    leading = y.join(first, ["key", "y"])
-    pairs = x.join(leading, "key").where(_fits(percent))
-    pairs = materialize(pairs.select("x", "y").distinct(), "first_pairs")
+    rows = class_lines(lines, classes)
+    index = prefix_index(rows)
+    first = index.groupBy("key").agg(F.min("at").alias("at"))
+    leading = first.join(rows, "at").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
+    pairs = _similar(_side(index, "x"), _side(leading.where("i > 0"), "y"), percent)
+    pairs = materialize(pairs, "first_pairs")
     found = materialize(confirmed(pairs, docs, percent), "first_matches")
-    left = x.join(found, "x", "left_anti")
-    rest = left.join(y, "key").where(_fits(percent))
-    rest = rest.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
+    left = rows.join(found, rows["at"] == found["x"], "left_anti")
+    rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
+    rest = rest.join(pairs, ["x", "y"], "left_anti")
     more = confirmed(materialize(rest, "other_pairs"), docs, percent)
     return found.unionByName(more)
 
