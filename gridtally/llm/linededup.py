@@ -24,9 +24,10 @@ from gridtally.session import materialize
 PERCENT = 80
 # Words are counted in this many buckets; words of a frequent bucket count as frequent.
 BUCKETS = 1 << 18
-# Levels of rarity: a bucket with more than one in so many words is on that level.
-LEVELS = (1 << 13, 1 << 11, 1 << 9)
-_LEVEL_BITS = 58
+# Levels of rarity for each doubling of a bucket's words; the key has 6 bits for them.
+STEPS = 2
+MOST = 63
+_LEVEL_BITS = 57
 # Parity bits are chosen by the bits of a word's hash that its bucket does not use.
 _PARITY_SHIFT = 24
 # Lines of up to so many words are sketched by 64 bits, longer ones by 256.
@@ -62,32 +63,30 @@ def _place(doc_id: Column | str, line_no: str) -> Column:
     return (first + F.col(line_no)).cast("decimal(31,0)")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(number: Column) -> Column:
+    return number.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def frequent_buckets(docs: DataFrame) -> list[list[int]]:
-    """For each of LEVELS its buckets; the driver gets LEVELS[0] numbers at most."""
+def rarity_levels(docs: DataFrame) -> bytes:
+    """The level of each bucket, a byte for each: the driver gets BUCKETS small rows at most."""
     word = F.explode(F.split(F.lower("text"), r" |\n")).alias("word")
-    counts = docs.select(word).groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
-    counts = materialize(counts, "word_counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") * LEVELS[0] > total).collect()
-    return [[r.bucket for r in rows if r.n * level > total] for level in LEVELS]
+    counts = docs.select(word).groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(F.log2("n") * STEPS), F.lit(MOST)).cast("int")
+    levels = bytearray(BUCKETS)
+    for bucket, found in counts.select("bucket", level).collect():
+        levels[bucket] = found
+    return bytes(levels)
 
 
-def rarity_keys(words: Column, levels: list[list[int]]) -> Column:
+def rarity_keys(words: Column, levels: bytes) -> Column:
     """The words as numbers that sort from rare to frequent, equal for equal words."""
+    table = F.lit(levels)
 
     def key(number: Column) -> Column:
-        bucket = F.pmod(number, F.lit(BUCKETS)).cast("int")
-        # The levels lie within each other, so most words are looked up once.
-        level = F.lit(0).cast("long")
-        for buckets in reversed(levels):
-            if buckets:
-                level = F.when(bucket.isin(buckets), level + 1).otherwise(F.lit(0).cast("long"))
-        low = number.bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
-        return F.shiftleft(level, _LEVEL_BITS) + low
+        # All levels are ASCII, so each is a character.
+        level = F.ascii(F.substring(table, _bucket(number) + 1, F.lit(1)).cast("string"))
+        low = number.bitwiseAND((1 << _LEVEL_BITS) - 1)
+        return F.shiftleft(level.cast("long"), _LEVEL_BITS) + low
 
     return F.sort_array(F.transform(F.transform(words, lambda word: F.xxhash64(word)), key))
 
@@ -133,7 +132,7 @@ def _apart(x: str, y: str) -> Column:
 
 def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All lines with words, stored: place, fingerprint ``h1, h2``, size, bits and prefix."""
-    levels = frequent_buckets(docs)
+    levels = rarity_levels(docs)
     words = numbered_lines(docs).select("doc_id", "h", "line_no", "at", line_words(F.col("line")).alias("words"))
     ranked = words.where(F.size("words") > 0).select(
         "doc_id", "h", "line_no", "at", rarity_keys(F.col("words"), levels).alias("keys")
