@@ -47,7 +47,7 @@ def main(arguments: list[str] | None = None) -> None:
         for glob in globs:
             print(f"{len(available_files(spark, options.source, glob))} files match {glob}")
     elif options.step == "ingest":
-        pipeline.ingest(spark, options.source, options.warehouse, *globs, max_kwh=options.max_kwh)
+        print(pipeline.ingest(spark, options.source, options.warehouse, *globs, max_kwh=options.max_kwh))
     elif options.step == "ingest-new":
         for glob in globs:
             stream = "".join(c if c.isalnum() else "_" for c in glob)

@@ -257,6 +257,12 @@ def oracle_sql() -> dict[str, str]:
         "household_histogram_all": histogram(STATS),
         "csv_ingest": distinct_keys(EVENTS),
         "csv_ingest_half_hour": distinct_keys(HALF_HOURS),
+        "pipeline_counts": f"""
+            SELECT COUNT(*) AS read_count, COUNT(*) FILTER (WHERE known) AS identified_count,
+                   COUNT(*) FILTER (WHERE known AND energy_kwh BETWEEN 0 AND 100) AS plausible_count,
+                   (SELECT COUNT(*) FROM ({distinct_keys(DIRTY)})) AS added_count
+            FROM (SELECT energy_kwh, lclid IS NOT NULL AND day IS NOT NULL AND energy_kwh IS NOT NULL AS known
+                  FROM ({DIRTY}))""",
         "idempotent_append": APPENDED,
         "incremental_ingest": distinct_keys(EVENTS),
         "parquet_reload": DAILY,

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from gridtally.operators.anomalies import detect_anomalies, household_baseline
-from gridtally.operators.cleaning import clean_readings, deduplicate, identified
+from gridtally.operators.cleaning import (
+    clean_readings,
+    deduplicate,
+    identified,
+    is_identified,
+    is_plausible,
+)
 from gridtally.operators.rollups import (
     daily_rollup,
     household_days,
@@ -17,7 +23,7 @@ from gridtally.operators.rollups import (
     weekly_rollup,
 )
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
-from gridtally.session import materialize
+from gridtally.session import materialize, require_utc
 from gridtally.sources.csv_readings import read_csv_readings
 from gridtally.sources.jdbc import write_jdbc_dataset
 from gridtally.sources.tables import (
@@ -37,10 +43,22 @@ def ingest(
     warehouse: str,
     *globs: str,
     max_kwh: float = MAX_PLAUSIBLE_KWH,
-) -> None:
-    """Read the files of ``source`` and add the readings that are new."""
-    readings = identified(read_csv_readings(spark, source, *globs))
-    append_readings(deduplicate(readings, max_kwh), warehouse)
+) -> dict[str, int]:
+    """Read the files of ``source`` and add the readings that are new.
+
+    Returns the rows read, those of them with household, day and value, those that
+    are plausible too, and the readings added. They are counted while reading.
+    """
+    require_utc(spark)
+    seen = Observation()
+    readings = read_csv_readings(spark, source, *globs).observe(
+        seen,
+        F.count("*").alias("read"),
+        F.count_if(is_identified()).alias("identified"),
+        F.count_if(is_identified() & is_plausible(max_kwh)).alias("plausible"),
+    )
+    added = append_readings(deduplicate(identified(readings), max_kwh), warehouse)
+    return {**seen.get, "added": added}
 
 
 def transform(
@@ -53,6 +71,7 @@ def transform(
     them. Readings are scanned four times: for those sums, for the sums and for the
     households of each hour, and for the outliers; only sums are shuffled.
     """
+    require_utc(readings.sparkSession)
     clean = clean_readings(readings, max_kwh)
     days = materialize(household_days(clean), "household_days", folder)
     baseline = materialize(household_baseline(days), "household_baseline", folder)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridtally.operators import anomalies, cleaning, reports, rollups
-from gridtally.plans.pipeline import run_pipeline
+from gridtally.plans.pipeline import ingest, run_pipeline
 from gridtally.schema import ENERGY, HALF_HOUR_HEADER, READING, READING_HEADER, conform
 from gridtally.session import materialize, new_folder
 from gridtally.sources import tables
@@ -149,6 +149,14 @@ def csv_ingest_half_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.deduplicate(cleaning.identified(read_csv_readings(spark, folder)))
 
 
+def pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingest reports of files with gaps, negative values and repeated keys."""
+    folder, warehouse = new_folder(spark, "csv"), new_folder(spark, "warehouse")
+    write_reading_csv(dirty(spark, sf_dir), folder)
+    counts = ingest(spark, folder, warehouse)
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(f"{k}_count") for k, n in counts.items()])
+
+
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batch twice, then one that overlaps it; every key is stored once."""
     warehouse = new_folder(spark, "warehouse")
@@ -253,6 +261,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "day_hour_heatmap_years": lambda s, d: reports.day_hour_heatmap(_lineitem_hourly(s, d)),
         "csv_ingest": csv_ingest,
         "csv_ingest_half_hour": csv_ingest_half_hour,
+        "pipeline_counts": pipeline_counts,
         "idempotent_append": idempotent_append,
         "incremental_ingest": incremental_ingest,
         "parquet_reload": parquet_reload,

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -49,6 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "gridtally")
 
 
+def require_utc(spark: SparkSession) -> None:
+    """ValueError unless the session cuts hours and days in UTC.
+
+    Stored times are instants: written in one zone and read in another, a reading
+    would fall into another hour than its day says.
+    """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_ZONES:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, not {zone}")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

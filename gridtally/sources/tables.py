@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions.periods import day_in, month_of
@@ -65,19 +65,26 @@ def read_raw(
     return kept.select(*READING.names)
 
 
-def append_readings(batch: DataFrame, warehouse: str) -> None:
+def append_readings(batch: DataFrame, warehouse: str) -> int:
     """Add the readings of ``batch`` whose key the raw table does not hold yet.
 
     ``batch`` must hold each key once. Appending the same batch again adds nothing,
-    also after a run that died half-way.
+    also after a run that died half-way. Returns how many were added.
     """
     spark = batch.sparkSession
     path = table_path(warehouse, RAW_TABLE)
     stored = stored_table(spark, path, RAW)
-    if stored is not None:
-        # A folder of its own, so that two appends at once do not meet.
-        staging = f"{warehouse.rstrip('/')}/staging/{uuid.uuid4().hex}"
-        batch = new_readings(materialize(batch, "batch", staging), stored)
+    if stored is None:
+        return _add_readings(batch, path)
+    # A folder of its own, so that two appends at once do not meet.
+    staging = f"{warehouse.rstrip('/')}/staging/{uuid.uuid4().hex}"
+    try:
+        return _add_readings(new_readings(materialize(batch, "batch", staging), stored), path)
+    finally:
+        _remove(spark, staging)
+
+
+def _add_readings(batch: DataFrame, path: str) -> int:
     stamped = conform(batch, READING).select(
         "*", F.current_timestamp().alias("created_at"), month_of(F.col("day")).alias("month")
     )
@@ -85,8 +92,10 @@ def append_readings(batch: DataFrame, warehouse: str) -> None:
     # a household is, and a task meets few months, so few files. The readings of a
     # household and day stay side by side: later sums shrink them before any shuffle.
     order = ("month", *READING_KEY)
-    arranged = stamped.repartitionByRange(*order).sortWithinPartitions(*order)
-    arranged.write.mode("append").partitionBy("month").parquet(path)
+    added = Observation()
+    arranged = stamped.repartitionByRange(*order).observe(added, F.count("*").alias("rows"))
+    arranged.sortWithinPartitions(*order).write.mode("append").partitionBy("month").parquet(path)
+    return added.get["rows"]
 
 
 def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -116,12 +125,43 @@ def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
 # --- derived datasets ------------------------------------------------------
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` beside the table at ``path``, then put it in its place.
+
+    A write that fails leaves the old table as it is. The switch is two renames of
+    folders; if the second fails the first is taken back.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    run = uuid.uuid4().hex
+    new, old = f"{path}.new-{run}", f"{path}.old-{run}"
+    try:
+        df.write.parquet(new)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        replaced = files.exists(hadoop(path))
+        if replaced and not files.rename(hadoop(path), hadoop(old)):
+            raise OSError(f"cannot rename {path}")
+        if not files.rename(hadoop(new), hadoop(path)):
+            if replaced:
+                files.rename(hadoop(old), hadoop(path))
+            raise OSError(f"cannot rename {new}")
+    finally:
+        _remove(spark, new)
+    _remove(spark, old)
+    spark.catalog.refreshByPath(path)
+
+
 def write_dataset(df: DataFrame, folder: str, name: str) -> None:
     """Replace the stored dataset ``name``, also by an empty one.
 
     The rebalance packs a small dataset into one file and a large one into several.
     """
-    df.hint("rebalance").write.mode("overwrite").parquet(f"{folder}/{name}")
+    replace_table(df.hint("rebalance"), f"{folder}/{name}")
 
 
 def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,7 +178,7 @@ def load_dataset(spark: SparkSession, folder: str, name: str, warehouse: str) ->
     rows = read_dataset(spark, folder, name).withColumn("created_at", F.current_timestamp())
     keys = LOOKUP_KEYS[name]
     ordered = conform(rows, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").parquet(table_path(warehouse, ANALYTICS_TABLES[name]))
+    replace_table(ordered, table_path(warehouse, ANALYTICS_TABLES[name]))
 
 
 def read_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridtally.operators.cleaning import deduplicate, identified
 from gridtally.schema import MAX_PLAUSIBLE_KWH, RAW_TABLE
+from gridtally.session import require_utc
 from gridtally.sources.csv_readings import (
     CSV_OPTIONS,
     csv_header,
@@ -31,6 +32,7 @@ def ingest_new_files(
     use one ``stream_name`` per source and glob. A batch that is repeated after a
     failure adds nothing twice.
     """
+    require_utc(spark)
     header = csv_header(spark, source, glob)
     validate_header(header)
     files = spark.readStream.schema(text_schema(header)).options(

@@ -4,8 +4,10 @@ import datetime as dt
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridtally.operators import anomalies, reports
+from gridtally.plans.pipeline import ingest
 from gridtally.schema import READING
 from gridtally.sources import tables
 from gridtally.sources.csv_readings import read_csv_readings, typed_readings
@@ -74,3 +76,33 @@ def test_forced_join_shuffles(spark):
     joined = join_households(rows, stats, F.lit(True), ["m"], max_broadcast_households=0, hot_share=0.2)
     assert joined.count() == 25
     assert "SortMergeJoin" in plan_of(joined)
+
+
+def test_a_failing_write_leaves_the_table(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    tables.replace_table(spark.range(5), path)
+    failing = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("no"))).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        tables.replace_table(failing, path)
+    assert spark.read.parquet(path).count() == 5
+    tables.replace_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_other_zones_are_refused(spark, tmp_path):
+    folder = write_file(tmp_path / "in", "a.csv", "LCLid,Date,KWH/hh,timestamp", "A,2024-01-01,1.0,2024-01-01 00:30:00")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        with pytest.raises(ValueError, match="Asia/Kolkata"):
+            ingest(spark, folder, str(tmp_path / "warehouse"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert not (tmp_path / "warehouse").exists()
+
+
+def test_appends_remove_their_staged_batch(spark, tmp_path):
+    batch = readings(spark, ("A", "2024-01-01 00:30", 1), ("B", "2024-01-01 00:30", 2))
+    assert tables.append_readings(batch, str(tmp_path)) == 2
+    assert tables.append_readings(batch, str(tmp_path)) == 0
+    assert not list((tmp_path / "staging").iterdir())
