@@ -4,8 +4,8 @@ A line is the set of its lower-cased words. Words are ordered by rarity, counted
 all lines; two lines of Jaccard similarity PERCENT share a word among the first few of
 both, which makes an inverted index of these prefixes complete. Length and positional
 filters drop pairs that cannot reach the similarity, the rest is verified on the words.
-A line goes if an earlier line (by doc_id, then place) is similar, whether that one
-stays or not. Only DataFrame functions are used.
+A line goes if an earlier line (by doc_id, null last, then place, then a hash of the
+text) is similar, whether that one stays or not. Only DataFrame functions are used.
 
 Parity bits of the words bound the difference of two lines from below, so that words
 are fetched for few pairs only.
@@ -47,22 +47,18 @@ def line_words(line: Column) -> Column:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, h, line_no, at, line``: the lines of all texts, from 0, with their order.
 
-    ``h`` tells texts of one id apart; ``at`` orders lines by doc_id (null last) and place.
+    ``h`` tells texts of one id apart; ``at`` orders lines by doc_id (null last) and
+    place. Only both together are one line: rows without an id share their ``at``.
     """
     lines = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    at = _place(F.coalesce("doc_id", F.lit(_LAST)), "line_no")
+    first = F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)")
+    at = (first + F.col("line_no")).cast("decimal(31,0)")
     return lines.select("doc_id", "h", "line_no", at.alias("at"), "line")
 
 
-def _place(doc_id: Column | str, line_no: str) -> Column:
-    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    first = doc_id.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)")
-    return (first + F.col(line_no)).cast("decimal(31,0)")
-
-
 def _bucket(number: Column) -> Column:
     return number.bitwiseAND(BUCKETS - 1).cast("int")
 
@@ -155,43 +151,49 @@ def _fits(percent: int) -> Column:
     # Shared words: at most the smaller prefix up to here, and the shorter rest.
     most = F.least("xi", "yi") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
     enough = most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
-    earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
-    return earlier & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    return (F.col("yc") < F.col("xc")) & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
 
 
-def class_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The first line of each class, ``at, d, l, n, b0 to b3, prefix``, stored."""
+def class_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each class, ``c, h1, h2, at, h, n, b0 to b3, prefix``, stored.
+
+    ``c`` numbers the classes in the order of their first lines.
+    """
+    classes = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_classes")
     leading = lines.join(classes.hint("shuffle_hash"), ["h1", "h2", "at"], "left_semi")
-    # Rows repeated with id and text share all three.
-    leading = leading.dropDuplicates(["h1", "h2", "at"])
-    # Two short numbers compare much faster than their decimal.
-    place = [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("line_no").alias("l")]
-    return materialize(leading.select("at", *place, "n", *_BITS, "prefix"), "class_lines")
+    # Several texts may have the class at this place; all but the hash is the same for them.
+    rest = [F.first(name).alias(name) for name in ("n", *_BITS, "prefix")]
+    leading = leading.groupBy("h1", "h2", "at").agg(F.min("h").alias("h"), *rest)
+    ordered = leading.orderBy("at", "h", "h1", "h2").withColumn("c", F.monotonically_increasing_id())
+    return materialize(ordered, "class_lines")
 
 
 def prefix_index(rows: DataFrame) -> DataFrame:
-    """``key, at, d, l, n, b0 to b3, i``: a row for each prefix word of ``class_lines``."""
-    entries = rows.select("at", "d", "l", "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
+    """``key, c, n, b0 to b3, i``: a row for each prefix word of ``class_lines``."""
+    entries = rows.select("c", "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
     return entries.withColumn("i", F.col("i") + 1)
 
 
 def _side(index: DataFrame, name: str) -> DataFrame:
-    return index.select("key", *[F.col(c).alias(name + c) for c in ("d", "l", "n", *_BITS, "i")])
+    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", *_BITS, "i")])
 
 
 def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """``x, y``: places of lines that share a prefix word and pass the filters."""
+    """``x, y``: classes that share a prefix word and pass the filters."""
     pairs = x.join(y, "key").where(_fits(percent))
-    return pairs.select(_place("xd", "xl").alias("x"), _place("yd", "yl").alias("y")).distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these lines are fetched."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().hint("shuffle_hash")
-    sets = numbered_lines(docs).select("at", "line").join(wanted, "at", "left_semi")
-    sets = materialize(sets.select("at", line_words(F.col("line")).alias("words")), "line_words")
-    of_x = sets.select(F.col("at").alias("x"), F.col("words").alias("xw"))
-    of_y = sets.select(F.col("at").alias("y"), F.col("words").alias("yw"))
+    return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these classes are fetched."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    wanted = rows.select("c", "at", "h").join(wanted.hint("shuffle_hash"), "c", "left_semi")
+    found = numbered_lines(docs).select("at", "h", "line").join(wanted.hint("shuffle_hash"), ["at", "h"])
+    # Rows repeated with id and text have the same line.
+    found = found.groupBy("at", "h").agg(F.first("c").alias("c"), F.first("line").alias("line"))
+    sets = materialize(found.select("c", line_words(F.col("line")).alias("words")), "line_words")
+    of_x = sets.select(F.col("c").alias("x"), F.col("words").alias("xw"))
+    of_y = sets.select(F.col("c").alias("y"), F.col("words").alias("yw"))
     both = pairs.join(of_x, "x").join(of_y, "y")
     common = F.size(F.array_intersect("xw", "yw"))
     alike = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common")).where(
@@ -200,35 +202,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return alike.select("x").distinct()
 
 
-def matched_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``x``: the first lines of classes that an earlier line of another class matches."""
-    rows = class_lines(lines, classes)
+def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``x``: the classes of ``class_lines`` that an earlier line of another class matches."""
     index = prefix_index(rows)
-    first = index.groupBy("key").agg(F.min("at").alias("at"))
-    leading = first.join(rows, "at").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
-    pairs = _similar(_side(index, "x"), _side(leading.where("i > 0"), "y"), percent)
+    first = index.groupBy("key").agg(F.min("c").alias("c"))
+    leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
+    pairs = _similar(_side(index, "x"), _side(leading, "y"), percent)
     pairs = materialize(pairs, "first_pairs")
-    found = materialize(confirmed(pairs, docs, percent), "first_matches")
-    left = rows.join(found, rows["at"] == found["x"], "left_anti")
+    found = materialize(confirmed(pairs, rows, docs, percent), "first_matches")
+    left = rows.join(found, rows["c"] == found["x"], "left_anti")
     rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
     rest = rest.join(pairs, ["x", "y"], "left_anti")
-    more = confirmed(materialize(rest, "other_pairs"), docs, percent)
+    more = confirmed(materialize(rest, "other_pairs"), rows, docs, percent)
     return found.unionByName(more)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, h, line_no`` of every line that goes, stored.
 
-    Lines without words always stay. Null texts have no lines. Rows that share an id
-    share their places, so none of their lines is earlier than the other's.
+    Lines without words always stay. Null texts have no lines. Lines of different texts
+    under one id, or none, are ordered by place, then by the hash of the text; rows that
+    repeat id and text are one document.
     """
     lines = indexed_lines(docs, percent)
-    classes = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_classes")
-    matched = materialize(matched_lines(docs, lines, classes, percent), "matched_lines")
-    first = classes.select("h1", "h2", F.col("at").alias("first"))
+    rows = class_lines(lines)
+    matched = materialize(matched_lines(docs, rows, percent), "matched_lines")
+    first = rows.select("c", "h1", "h2", F.col("at").alias("first"), F.col("h").alias("first_h"))
+    first = first.join(matched, F.col("c") == F.col("x"), "left").drop("c")
     copies = lines.select("doc_id", "h", "line_no", "at", "h1", "h2").join(first, ["h1", "h2"])
-    flagged = copies.join(matched, F.col("first") == F.col("x"), "left")
-    gone = flagged.where((F.col("at") > F.col("first")) | F.col("x").isNotNull())
+    later = (F.col("at") > F.col("first")) | ((F.col("at") == F.col("first")) & (F.col("h") > F.col("first_h")))
+    gone = copies.where(later | F.col("x").isNotNull())
     return materialize(gone.select("doc_id", "h", "line_no").distinct(), "removed_lines")
 
 
