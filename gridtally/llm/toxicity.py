@@ -1,10 +1,12 @@
 """Toxicity from subword-bag embeddings, averaged into a linear softmax.
 
 A word is the mean of the vectors of itself and of its character n-grams (hashed into
-buckets), so misspellings share most of their vectors; a window of words is the mean of
-its words, and a text is as toxic as its worst window, so one insult in a long text
-counts. Vectors and softmax are trained together in numpy on a bounded sample of
-labelled texts. The softmax being linear, scoring needs one number per bucket.
+buckets), so misspellings share most of their vectors; a window is the mean of its
+words. A text has the sum of three terms, each with its own softmax over the shared
+vectors: its worst word, so one insult in a long text counts, its worst window of tens
+of words, which overlap, and the mean of all its words. Vectors and softmaxes are
+trained together in numpy on a bounded sample of labelled texts. The softmaxes being
+linear, scoring needs one number per bucket and term.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ FOLDS = 5
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
-WINDOW = 1
+# Each term's step in words, and whether its windows span two steps, so that they overlap.
+TERMS = ((1, False), (16, True), (1 << 40, False))
 # Units in fewer texts of the sample than this share keep a zero vector.
 LEAST_SHARE = 0.01
 # The first epochs learn from the mean of a text's windows, the others from its worst one.
@@ -41,7 +44,7 @@ SEED = 11
 
 @dataclass(frozen=True)
 class Model:
-    """The log-odds of each bucket and the bias."""
+    """The log-odds of each bucket, a column for each of TERMS, and the bias."""
 
     weights: np.ndarray
     bias: float
@@ -90,14 +93,43 @@ def _units(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(buckets)
 
 
-def _windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The window of each word, and the text of each window; windows do not cross texts."""
-    first = np.zeros(len(words.counts) + 1, dtype=np.int64)
-    np.cumsum(words.counts, out=first[1:])
-    inside = np.arange(len(words.start)) - first[words.text]
-    per_text = -(-words.counts // WINDOW)
-    begin = np.cumsum(per_text) - per_text
-    return begin[words.text] + inside // WINDOW, np.repeat(np.arange(len(per_text)), per_text)
+class _Windows:
+    """The windows of one of TERMS; they do not cross texts."""
+
+    def __init__(self, words: Words, step: int, double: bool):
+        first = np.zeros(len(words.counts) + 1, dtype=np.int64)
+        np.cumsum(words.counts, out=first[1:])
+        inside = np.arange(len(words.start)) - first[words.text]
+        steps = -(-words.counts.astype(np.int64) // step)
+        begin = np.cumsum(steps) - steps
+        self.step = begin[words.text] + inside // step
+        self.steps = int(steps.sum())
+        windows = np.maximum(steps - 1, np.minimum(steps, 1)) if double else steps
+        self.text = np.repeat(np.arange(len(steps)), windows)
+        own = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.low = begin[self.text] + own
+        self.high = np.minimum(self.low + double, (begin + steps - 1)[self.text])
+        self.two = self.high > self.low
+        self.starts = np.searchsorted(self.text, np.flatnonzero(windows > 0))
+        self.size = np.maximum(self._sums(np.ones(len(words.start))), 1)
+
+    def _sums(self, by_word: np.ndarray) -> np.ndarray:
+        sums = np.bincount(self.step, weights=by_word, minlength=self.steps)
+        return sums[self.low] + np.where(self.two, sums[self.high], 0)
+
+    def means(self, by_word: np.ndarray) -> np.ndarray:
+        return self._sums(by_word) / self.size
+
+    def worst(self, by_window: np.ndarray) -> np.ndarray:
+        """The largest value of each text that has words."""
+        return np.maximum.reduceat(by_window, self.starts) if len(self.starts) else np.zeros(0)
+
+    def to_words(self, by_window: np.ndarray) -> np.ndarray:
+        """What a slope by the mean of each window is by each word."""
+        part = by_window / self.size
+        of_step = np.bincount(self.low, weights=part, minlength=self.steps)
+        of_step += np.bincount(self.high, weights=part * self.two, minlength=self.steps)
+        return of_step[self.step]
 
 
 def _mean(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -108,7 +140,7 @@ def _mean(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
 def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed: int = SEED) -> Model:
     """Fit on whole texts; ``importance`` weighs them. No texts give even odds for all."""
     if not texts:
-        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0)
+        return Model(np.zeros((BUCKETS, len(TERMS)), dtype=np.float32), 0.0)
     words = _text_words(texts)
     # Equal words have equal units: each is kept once.
     _, example, same = np.unique(words.hashes(), return_index=True, return_inverse=True)
@@ -118,62 +150,65 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     keep = chosen[of]
     of, bucket = same[of[keep]], bucket[keep]
     share = 1.0 / np.bincount(of, minlength=len(example))
-    window, text = _windows(words)
-    in_window = 1.0 / np.maximum(np.bincount(window, minlength=len(text)), 1)
+    terms = [_Windows(words, *term) for term in TERMS]
     weight = importance / importance.sum()
     odds = (weight * labels).sum()
     # In how many texts a bucket occurs: the text of each word, without repeats.
     pairs = np.unique(words.text.astype(np.int64) * len(example) + same)
-    texts_of = np.bincount(pairs % len(example), minlength=len(example))
+    texts_of = np.bincount(pairs % max(len(example), 1), minlength=len(example))
     in_texts = np.bincount(bucket, weights=texts_of[of], minlength=BUCKETS)
-    frequent = (in_texts >= max(2, LEAST_SHARE * len(texts))).astype(float)
+    known = (in_texts >= max(2, LEAST_SHARE * len(texts))).astype(float)
     # Rarer units move further for the same gradient, as in adaptive methods.
-    stride = frequent / np.sqrt(np.maximum(in_texts, 1))
+    stride = known / np.sqrt(np.maximum(in_texts, 1))
     rng = np.random.default_rng(seed)
     params = [
-        rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)) * frequent[:, None],
-        rng.normal(0, 0.5, (2, DIMENSIONS)),
+        rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)) * known[:, None],
+        np.repeat(rng.normal(0, 0.5, (1, 2, DIMENSIONS)), len(TERMS), axis=0),
         np.array([np.log(max(odds, 1e-6) / max(1 - odds, 1e-6))]),
     ]
     moments = [np.zeros_like(p) for p in params]
     largest = [0.0] * len(params)
-    has_window = np.bincount(text, minlength=len(texts)) > 0
-    starts = np.searchsorted(text, np.flatnonzero(has_window))
-    windows_of = np.bincount(text, minlength=len(texts))
+    has_words = words.counts > 0
 
-    def window_scores(params: list[np.ndarray]) -> np.ndarray:
-        by_bucket = params[0] @ (params[1][1] - params[1][0])
-        by_word = np.bincount(of, weights=by_bucket[bucket], minlength=len(example)) * share
-        return np.bincount(window, weights=by_word[same], minlength=len(text)) * in_window
+    def window_scores(params: list[np.ndarray]) -> list[np.ndarray]:
+        by_bucket = params[0] @ (params[1][:, 1] - params[1][:, 0]).T
+        by_word = [np.bincount(of, weights=b[bucket], minlength=len(example)) * share for b in by_bucket.T]
+        return [term.means(own[same]) for term, own in zip(terms, by_word)]
 
-    def calibrated(params: list[np.ndarray]) -> tuple[float, float]:
-        worst = np.maximum.reduceat(window_scores(params), starts) if len(starts) else np.zeros(0)
-        return _calibrated(worst, labels[has_window], weight[has_window], odds)
+    def calibrated(params: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        worst = [term.worst(own) for term, own in zip(terms, window_scores(params))]
+        return _calibrated(np.stack(worst, axis=1), labels[has_words], weight[has_words], odds)
 
     for epoch in range(MEAN_EPOCHS + WORST_EPOCHS):
         if epoch == MEAN_EPOCHS:
             scale, bias = calibrated(params)
-            params[0], params[2] = params[0] * scale, np.array([bias])
+            params[1], params[2] = params[1] * scale[:, None, None], np.array([bias])
             moments, largest = [np.zeros_like(p) for p in params], [0.0] * len(params)
-        direction = params[1][1] - params[1][0]
-        by_window = window_scores(params)
-        if epoch < MEAN_EPOCHS:
-            pooled = np.bincount(text, weights=by_window, minlength=len(texts)) / np.maximum(windows_of, 1)
-            part = 1 / windows_of[text]
-        else:
-            pooled = np.zeros(len(texts))
-            pooled[has_window] = np.maximum.reduceat(by_window, starts)
-            part = (by_window == pooled[text]).astype(float)
+        direction = params[1][:, 1] - params[1][:, 0]
+        pooled, parts = np.zeros(len(texts)), []
+        for term, by_window in zip(terms, window_scores(params)):
+            if epoch < MEAN_EPOCHS:
+                part = 1 / np.bincount(term.text, minlength=len(texts))[term.text]
+                pooled += np.bincount(term.text, weights=by_window * part, minlength=len(texts))
+            else:
+                worst = np.zeros(len(texts))
+                worst[has_words] = term.worst(by_window)
+                pooled += worst
+                part = (by_window == worst[term.text]).astype(float)
+            parts.append(part)
         probability = 1 / (1 + np.exp(-np.clip(pooled + params[2][0], -30, 30)))
         wanted = labels if epoch < MEAN_EPOCHS else labels * probability / (probability + NOISE)
         gradient = weight * (probability - wanted)
-        of_window = gradient[text] * part * in_window
-        of_word = np.bincount(same, weights=of_window[window], minlength=len(example)) * share
-        of_bucket = np.bincount(bucket, weights=of_word[of], minlength=BUCKETS) * frequent
-        toward = of_bucket @ params[0]
+        of_bucket = []
+        for term, part in zip(terms, parts):
+            by_word = term.to_words(gradient[term.text] * part)
+            of_word = np.bincount(same, weights=by_word, minlength=len(example)) * share
+            of_bucket.append(np.bincount(bucket, weights=of_word[of], minlength=BUCKETS) * known)
+        slopes = np.stack(of_bucket)
+        toward = slopes @ params[0]
         steps = [
-            (of_bucket * stride)[:, None] * direction[None, :],
-            np.stack([-toward, toward]),
+            (slopes * stride).T @ direction,
+            np.stack([-toward, toward], axis=1),
             np.array([gradient.sum()]),
         ]
         for i, step in enumerate(steps):
@@ -182,27 +217,32 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
             largest[i] = max(0.9 * largest[i], np.abs(moments[i]).max())
             params[i] = params[i] * (1 - DECAY) - RATE * moments[i] / (largest[i] + 1e-12)
     scale, bias = calibrated(params)
-    weights = params[0] @ (params[1][1] - params[1][0]) * scale
+    weights = params[0] @ (params[1][:, 1] - params[1][:, 0]).T * scale
     return Model(weights.astype(np.float32), bias)
 
 
-def _calibrated(worst: np.ndarray, labels: np.ndarray, weight: np.ndarray, odds: float) -> tuple[float, float]:
-    """Scale and bias that turn the worst window of a text into log-odds, by Newton steps."""
+def _calibrated(worst: np.ndarray, labels: np.ndarray, weight: np.ndarray, odds: float) -> tuple[np.ndarray, float]:
+    """Scales and bias that turn the terms of a text into log-odds, by Newton steps."""
     start = float(np.log(max(odds, 1e-6) / max(1 - odds, 1e-6)))
-    spread = worst.std() if len(worst) else 0.0
-    if not spread > 0:
-        return 0.0, start
-    middle = worst.mean()
-    x = np.stack([(worst - middle) / spread, np.ones_like(worst)], axis=1)
-    theta = np.array([0.0, start])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (weight * (p - labels)) + np.array([1e-4 * theta[0], 0.0])
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-4, 1e-6])
-        step = np.linalg.solve(curve, slope)
-        theta = theta - np.clip(step, -2, 2)
-    scale = max(theta[0], 0.0) / spread
-    return scale, float(theta[1] - scale * middle)
+    spread = worst.std(axis=0) if len(worst) else np.zeros(worst.shape[1])
+    used = np.flatnonzero(spread > 0)
+    scale = np.zeros(worst.shape[1])
+    while len(used):
+        middle = worst[:, used].mean(axis=0)
+        x = np.concatenate([(worst[:, used] - middle) / spread[used], np.ones((len(worst), 1))], axis=1)
+        theta = np.append(np.zeros(len(used)), start)
+        ridge = np.append(np.full(len(used), 1e-4), 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            slope = x.T @ (weight * (p - labels)) + ridge * theta
+            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge) + np.eye(len(theta)) * 1e-6
+            theta = theta - np.clip(np.linalg.solve(curve, slope), -2, 2)
+        if (theta[:-1] >= 0).all():
+            scale[used] = theta[:-1] / spread[used]
+            return scale, float(theta[-1] - scale[used] @ middle)
+        # A term may not count against itself: it is left out.
+        used = np.delete(used, int(np.argmin(theta[:-1])))
+    return scale, start
 
 
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -213,12 +253,11 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
         if not len(words.start):
             continue
         of, bucket = _units(words)
-        by_word = _mean(model.weights[bucket], of, len(words.start))
-        window, text = _windows(words)
-        by_window = _mean(by_word, window, len(text))
-        has_window = words.counts > 0
-        worst = np.maximum.reduceat(by_window, np.searchsorted(text, np.flatnonzero(has_window)))
-        out[low:high][has_window] = 1 / (1 + np.exp(-(worst + model.bias)))
+        pooled = np.full(int((words.counts > 0).sum()), model.bias)
+        for term, weights in zip(TERMS, model.weights.T):
+            windows = _Windows(words, *term)
+            pooled += windows.worst(windows.means(_mean(weights[bucket], of, len(words.start))))
+        out[low:high][words.counts > 0] = 1 / (1 + np.exp(-np.clip(pooled, -700, 700)))
     return out
 
 
