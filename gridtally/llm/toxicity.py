@@ -30,8 +30,10 @@ DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
 # Each term's step in words, and whether its windows span two steps, so that they overlap.
 TERMS = ((1, False), (16, True), (1 << 40, False))
-# Units in fewer texts of the sample than this share keep a zero vector.
-LEAST_SHARE = 0.01
+# Units in fewer toxic texts of the sample keep a zero vector.
+LEAST_TEXTS = 3
+# Units in n texts move by n / (n + SHRINK) of what others do.
+SHRINK = 30
 # The first epochs learn from the mean of a text's windows, the others from its worst one.
 MEAN_EPOCHS = 10
 WORST_EPOCHS = 50
@@ -155,11 +157,16 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     odds = (weight * labels).sum()
     # In how many texts a bucket occurs: the text of each word, without repeats.
     pairs = np.unique(words.text.astype(np.int64) * len(example) + same)
-    texts_of = np.bincount(pairs % max(len(example), 1), minlength=len(example))
-    in_texts = np.bincount(bucket, weights=texts_of[of], minlength=BUCKETS)
-    known = (in_texts >= max(2, LEAST_SHARE * len(texts))).astype(float)
-    # Rarer units move further for the same gradient, as in adaptive methods.
-    stride = known / np.sqrt(np.maximum(in_texts, 1))
+    toxic_pairs = pairs[labels[pairs // max(len(example), 1)] > 0]
+
+    def texts_of(pairs: np.ndarray) -> np.ndarray:
+        by_word = np.bincount(pairs % max(len(example), 1), minlength=len(example))
+        return np.bincount(bucket, weights=by_word[of], minlength=BUCKETS)
+
+    in_texts = texts_of(pairs)
+    known = (texts_of(toxic_pairs) >= LEAST_TEXTS).astype(float)
+    # Rarer units move further for the same gradient, as in adaptive methods, but for the rarest.
+    stride = known * np.sqrt(in_texts) / (in_texts + SHRINK)
     rng = np.random.default_rng(seed)
     params = [
         rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)) * known[:, None],

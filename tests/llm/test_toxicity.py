@@ -1,4 +1,4 @@
-"""Toxicity that shows in several words together."""
+"""Toxicity that shows in several words together, or in words of few texts."""
 
 import random
 
@@ -49,3 +49,12 @@ def test_windows_overlap_and_end_with_their_text():
     assert windows.means(value).tolist() == [1.5, 3.0, 5.0, 7.5]
     slope = np.array([4.0, 3.0, 2.0, 8.0])
     assert np.isclose(slope @ windows.means(value), windows.to_words(slope) @ value)
+
+
+def test_an_insult_of_few_texts_counts():
+    rng = random.Random(4)
+    toxic = [put(rng, prose(rng), ["grufax"]) for _ in range(150)] + [put(rng, prose(rng), ["kyxorb"]) for _ in range(6)]
+    model = fitted(toxic, [put(rng, prose(rng), ["jiwuck"]) for _ in range(650)])
+    found = toxicity.scores(model, [put(rng, prose(rng), ["kyxorb"]) for _ in range(20)])
+    false = toxicity.scores(model, [put(rng, prose(rng), ["jiwuck"]) for _ in range(20)])
+    assert (found >= 0.5).all() and (false < 0.5).all()
