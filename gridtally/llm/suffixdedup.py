@@ -9,7 +9,8 @@ equal anchors, so each group of segments with one anchor is complete in itself,
 segments whose anchor occurs once need not move. In a group the windows are put in
 suffix order (ranks of prefixes, doubled up to MIN_BYTES) and ties by place: where the
 previous smaller place of a window in that order has the same rank, its longest
-previous factor is long enough.
+previous factor is long enough. Anchors of more than MOST_SEGMENTS segments never meet
+in one task: their windows are dealt by hashes of all of their bytes instead.
 
 Texts travel as chunks of about CHUNK_BYTES bytes, compressed; what repeats within a
 chunk is settled there, and a chunk sends each different segment once.
@@ -31,6 +32,10 @@ from gridtally.session import materialize
 MIN_BYTES = 100
 GRAM = 24
 CHUNK_BYTES = 1024 * 1024
+# Anchors of more segments than this, counted once a chunk and content, are dealt by window.
+MOST_SEGMENTS = 20_000
+# Segments whose windows are cut at a time.
+_SLICE = 500
 _STRETCH = 1 << 22
 _PLACE_BITS = 24
 _LAST = np.iinfo(np.int64).max
@@ -38,6 +43,9 @@ _LAST = np.iinfo(np.int64).max
 CHUNKS = "blob binary, ids array<long>, known array<boolean>, ends array<long>"
 SEGMENTS = "chunk long, anchor long, content long, doc_id long, at long, text binary"
 VERDICTS = "chunk long, content long, anchor long, mask binary"
+WINDOWS = "w1 long, w2 long, doc_id long, place long, chunk long, content long, anchor long, number int"
+# A second value for each byte, so that two hashes of a window are independent.
+_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -144,24 +152,28 @@ def _ordered(ids: list[int], data: bytes, ends: list[int]) -> tuple[np.ndarray,
 
 
 def _anchors(chunks: DataFrame, min_bytes: int) -> DataFrame:
-    """``chunk, anchor, twice``: the different anchors of each chunk, and whether it has
-    more than one segment of it."""
+    """``chunk, anchor, twice, contents``: the different anchors of each chunk, whether it
+    has more than one segment of it, and how many different ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, *row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 data, _, ends = _unpacked(row)
-                anchors, counts = np.unique(Segments(data, ends, min_bytes).anchor, return_counts=True)
+                found = Segments(data, ends, min_bytes)
+                anchors, counts = np.unique(found.anchor, return_counts=True)
+                # Equal contents have equal anchors, so every anchor is among the first ones.
+                _, contents = np.unique(found.anchor[found.first_of_content()], return_counts=True)
                 if len(anchors):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(anchors), chunk)), pa.array(anchors.view(np.int64)),
-                            pa.array(counts > 1),
+                            pa.array(counts > 1), pa.array(contents.astype(np.int64)),
                         ],
-                        ["chunk", "anchor", "twice"],
+                        ["chunk", "anchor", "twice", "contents"],
                     )
 
-    return chunks.select("chunk", "blob", "ids", "ends").mapInArrow(find, "chunk long, anchor long, twice boolean")
+    schema = "chunk long, anchor long, twice boolean, contents long"
+    return chunks.select("chunk", "blob", "ids", "ends").mapInArrow(find, schema)
 
 
 def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
@@ -282,6 +294,50 @@ def _verdicts(segments: DataFrame, min_bytes: int) -> DataFrame:
     return dealt.mapInArrow(judge, VERDICTS)
 
 
+def _window_verdicts(segments: DataFrame, min_bytes: int) -> DataFrame:
+    """The same without groups: each window is compared with the first place of its bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(low, _SLICE)
+                texts = part.column(5).to_pylist()
+                data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                sizes = np.array([len(t) for t in texts])
+                windows = sizes - min_bytes + 1
+                owner = np.repeat(np.arange(len(texts)), windows)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+                begin = np.repeat(np.cumsum(sizes) - sizes, windows) + number
+                back = powers(len(data), inverse=True)
+                hashes = []
+                for values in (data.astype(np.uint64) + np.uint64(1), _VALUES[data]):
+                    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+                    np.cumsum(values * powers(len(data))[: len(data)], out=sums[1:])
+                    hashes.append(mixed((sums[begin + min_bytes] - sums[begin]) * back[begin]).view(np.int64))
+                chunk, anchor, content, doc_id, at = (part.column(i).to_numpy()[owner] for i in range(5))
+                arrays = [*hashes, doc_id, at + number, chunk, content, anchor, number.astype(np.int32)]
+                names = ["w1", "w2", "doc_id", "place", "chunk", "content", "anchor", "number"]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = []
+            for numbers in batch.column(3).to_pylist():
+                mask = np.zeros(max(numbers) + 1, dtype=bool)
+                mask[numbers] = True
+                masks.append(np.packbits(mask).tobytes())
+            arrays = [*[batch.column(i) for i in range(3)], pa.array(masks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["chunk", "content", "anchor", "mask"])
+
+    windows = materialize(segments.mapInArrow(cut, WINDOWS), "windows")
+    # A window sends one row per task here, however often it occurs.
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    later = windows.join(first.where("n > 1"), ["w1", "w2"]).where(F.struct("doc_id", "place") != F.col("first"))
+    # A segment has as many windows as there are places for its anchor in one.
+    masks = later.groupBy("chunk", "content", "anchor").agg(F.collect_list("number").alias("numbers"))
+    return masks.mapInArrow(pack, VERDICTS)
+
+
 def _kept(judged: DataFrame, min_bytes: int, texts: bool) -> DataFrame:
     """A row per document from chunks with their verdicts."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -358,14 +414,23 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, texts: bool = Tr
     # A row per anchor and chunk at most, however often it occurs.
     same = Window.partitionBy("anchor")
     seen = anchors.select(
-        "chunk", "anchor", F.min("chunk").over(same).alias("lo"), F.max("chunk").over(same).alias("hi"), "twice"
+        "chunk", "anchor", F.min("chunk").over(same).alias("lo"), F.max("chunk").over(same).alias("hi"), "twice",
+        (F.sum("contents").over(same) > MOST_SEGMENTS).alias("hot"),
+    )
+    repeated = seen.where("lo < hi OR twice").groupBy("chunk").agg(
+        F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("repeated"),
+        F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
     )
-    repeated = seen.where("lo < hi OR twice").groupBy("chunk").agg(F.collect_list("anchor").alias("repeated"))
+    repeated = materialize(repeated, "repeated_anchors")
     # The same columns and the same kind of join as at the end, so chunks are shuffled once.
-    listed = chunks.join(repeated, "chunk", "left")
-    segments = _segments(listed, min_bytes)
+    listed = chunks.join(repeated.select("chunk", "repeated"), "chunk", "left")
+    verdicts = _verdicts(_segments(listed, min_bytes), min_bytes)
+    hot = repeated.where(F.size("hot") > 0).select("chunk", F.col("hot").alias("repeated"))
+    if not hot.isEmpty():
+        # Only chunks with such an anchor are cut a second time.
+        verdicts = verdicts.unionByName(_window_verdicts(_segments(chunks.join(hot, "chunk"), min_bytes), min_bytes))
     verdict = F.struct("content", "mask")
-    verdicts = _verdicts(segments, min_bytes).groupBy("chunk").agg(F.collect_list(verdict).alias("verdicts"))
+    verdicts = verdicts.groupBy("chunk").agg(F.collect_list(verdict).alias("verdicts"))
     return _kept(chunks.join(verdicts, "chunk", "left"), min_bytes, texts)
 
 

@@ -61,3 +61,30 @@ def test_small_cases(spark, seed, monkeypatch):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixdedup.remove_repeats(empty).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_group_is_larger_than_the_bound(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    footer, most, largest = "a short footer line that all texts have", 8, []
+    passages = ["".join(rng.choices("abcdé \n", k=150)) for _ in range(3)]
+
+    def text():
+        around = ["".join(rng.choices("abcdefgh ", k=rng.choice((40, 120)))) for _ in range(2)]
+        return rng.choice(passages)[: rng.randrange(150)].join(around) + footer + rng.choice([*passages, *around])
+
+    rows = [(number, text()) for number in range(60)] + [(None, text())]
+    rows += [rows[0], (103, passages[0] * 2 + footer + passages[1]), (-4, passages[0] + footer + passages[1])]
+    grouped = suffixdedup._verdicts
+
+    def watched(segments, *rest):
+        largest.append(max(r["count"] for r in segments.groupBy("anchor").count().collect()))
+        return grouped(segments, *rest)
+
+    monkeypatch.setattr(suffixdedup, "_verdicts", watched)
+    monkeypatch.setattr(suffixdedup, "MOST_SEGMENTS", most, raising=False)
+    monkeypatch.setattr(suffixdedup, "CHUNK_BYTES", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    result = found(suffixdedup.remove_repeats(docs, texts=False))
+    assert len(largest) == 1 and largest[0] <= most
+    assert result == plain(rows)
