@@ -1,16 +1,15 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays.
+"""Removal of repeated byte strings by grouping equal windows.
 
-A byte goes if a string of MIN_BYTES bytes over it also starts earlier, that is, if the
-longest previous factor of the start of that string is long enough. Sorting all
-suffixes of a corpus in one place is out of the question, so strings are dealt first:
+A byte goes if a string of MIN_BYTES bytes over it also starts earlier. That is the same
+as a longest previous factor of that length, but no factor lengths are computed. Sorting
+all suffixes of a corpus in one place is out of the question, so strings are dealt first:
 each window of MIN_BYTES bytes belongs to the smallest hash among its GRAM-byte pieces
 (its anchor), and windows in a row with one anchor are one segment. Equal windows have
 equal anchors, so each group of segments with one anchor is complete in itself, and
-segments whose anchor occurs once need not move. In a group the windows are put in
-suffix order (ranks of prefixes, doubled up to MIN_BYTES) and ties by place: where the
-previous smaller place of a window in that order has the same rank, its longest
-previous factor is long enough. Anchors of more than MOST_SEGMENTS segments never meet
-in one task: their windows are dealt by hashes of all of their bytes instead.
+segments whose anchor occurs once need not move. In a group the windows are ranked by
+their MIN_BYTES bytes (ranks of prefixes, doubled) and ties by place: all but the first
+place of a rank are repeated. Anchors of more than MOST_SEGMENTS segments never
+meet in one task: their windows are dealt by hashes of all of their bytes instead.
 
 Texts travel as chunks of about CHUNK_BYTES bytes, compressed; what repeats within a
 chunk is settled there, and a chunk sends each different segment once.
@@ -223,7 +222,7 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def repeated_windows(texts: list[bytes], doc: np.ndarray, at: np.ndarray, min_bytes: int) -> list[np.ndarray]:
-    """For each segment a mask of its windows whose longest previous factor is long enough.
+    """For each segment a mask of its windows whose bytes also start at an earlier place.
 
     ``doc`` and ``at`` are the places of the segments in the corpus.
     """
@@ -233,7 +232,7 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, at: np.ndarray, min_by
     owner = np.repeat(np.arange(len(texts)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     own = rank[np.repeat(np.cumsum(sizes) - sizes, windows) + inside]
-    # Suffix order, ties by place in the corpus.
+    # By rank, ties by place in the corpus.
     order = np.lexsort((at[owner] + inside, doc[owner], own))
     same_rank = np.zeros(len(order), dtype=bool)
     same_rank[1:] = own[order][1:] == own[order][:-1]
