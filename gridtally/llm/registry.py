@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, linededup, mixing, nearduplicates, neighbours, suffixdedup, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, linededup, merkle, mixing, nearduplicates, neighbours, suffixdedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": nearduplicates.op8_minhash,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_lines": linededup.op10_lines,
+        "op11_manifest": merkle.op11_manifest,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash": nearduplicates.OP8_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
         "op10_lines": linededup.OP10_SQL,
+        "op11_manifest": merkle.OP11_SQL,
     }
