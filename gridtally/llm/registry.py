@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, linededup, merkle, mixing, nearduplicates, neighbours, suffixdedup, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, linededup, merkle, mixing, nearduplicates, neighbours, suffixdedup, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_lines": linededup.op10_lines,
         "op11_manifest": merkle.op11_manifest,
+        "op12_topk": topk.op12_topk,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": decontamination.OP9_SQL,
         "op10_lines": linededup.OP10_SQL,
         "op11_manifest": merkle.OP11_SQL,
+        "op12_topk": topk.OP12_SQL,
     }
