@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import chat, decontamination, licenses, linededup, merkle, mixing, nearduplicates, neighbours, suffixdedup, topk, toxicity, warc
+from gridtally.llm import chat, decontamination, licenses, linededup, merkle, mixing, nearduplicates, neighbours, prefixtrie, suffixdedup, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lines": linededup.op10_lines,
         "op11_manifest": merkle.op11_manifest,
         "op12_topk": topk.op12_topk,
+        "op13_trie": prefixtrie.op13_trie,
     }
 
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_lines": linededup.OP10_SQL,
         "op11_manifest": merkle.OP11_SQL,
         "op12_topk": topk.OP12_SQL,
+        "op13_trie": prefixtrie.OP13_SQL,
     }
