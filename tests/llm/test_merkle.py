@@ -102,7 +102,7 @@ def test_tampered_rows_alone_fail(spark):
 def test_blocks_are_climbed_without_another_shuffle(spark):
     none = F.array().cast("array<struct<left:string,right:string>>")
     rows = spark.range(64).select(
-        F.lit("t").alias("tree"), F.floor(F.col("id") / 16).alias("block"), F.lit(64).cast("long").alias("n"),
+        (F.col("id") % 1).cast("string").alias("tree"), F.floor(F.col("id") / 16).alias("block"), (F.col("id") % 1 + 64).alias("n"),
         F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("digest"),
         F.array(F.struct(F.col("id").alias("pos"), F.lit("").alias("item"), none.alias("path"))).alias("members"),
     ).repartition("tree", "block")
