@@ -42,6 +42,9 @@ NOISE = 0.002
 RATE = 0.3
 DECAY = 1e-3
 SEED = 11
+# Words and texts that training handles at a time.
+_WORDS = 1 << 17
+_TEXTS = 64
 
 
 @dataclass(frozen=True)
@@ -134,6 +137,145 @@ class _Windows:
         return of_step[self.step]
 
 
+class _Vocabulary:
+    """The distinct words of texts, and which words each text has, from blocks of bounded size.
+
+    ``words`` numbers every word in order of the texts; ``text``, ``word`` and ``times``
+    list the distinct words of each text and how often it has them.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        hashes, lengths, pieces, counts = [], [], [], []
+        for low, high in blocks(texts):
+            found = _text_words(texts[low:high])
+            counts.append(found.counts)
+            own = found.hashes()
+            _, first = np.unique(own, return_index=True)
+            size = found.end[first] - found.start[first]
+            at = np.repeat(found.start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            hashes.append((own, own[first]))
+            lengths.append(size)
+            pieces.append(found.data[at])
+        self.counts = np.concatenate(counts)
+        known, first = np.unique(np.concatenate([h[1] for h in hashes]), return_index=True)
+        self.words = np.concatenate([np.searchsorted(known, h[0]).astype(np.int32) for h in hashes])
+        size = np.concatenate(lengths)
+        begin = np.cumsum(size) - size
+        self.size, self._begin, self._bytes = len(known), begin[first], np.concatenate(pieces)
+        self._length = size[first]
+        text, word, times = [], [], []
+        ends = np.cumsum(self.counts)
+        for low in range(0, len(texts), _TEXTS):
+            high = min(low + _TEXTS, len(texts))
+            begin_word = ends[low] - self.counts[low]
+            own = np.repeat(np.arange(low, high), self.counts[low:high]) * self.size + self.words[begin_word : ends[high - 1]]
+            pairs, often = np.unique(own, return_counts=True)
+            text.append((pairs // max(self.size, 1)).astype(np.int32))
+            word.append((pairs % max(self.size, 1)).astype(np.int32))
+            times.append(often.astype(np.int32))
+        self.text, self.word, self.times = (np.concatenate(x) for x in (text, word, times))
+
+    def units(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct word, bucket and share of the units of each, a block of words at a time."""
+        for low in range(0, self.size, _WORDS):
+            pieces = [
+                self._bytes[b : b + n].tobytes()
+                for b, n in zip(self._begin[low : low + _WORDS].tolist(), self._length[low : low + _WORDS].tolist())
+            ]
+            for first, last in blocks(pieces):
+                of, bucket = _units(Words([b" " + b" ".join(pieces[first:last])], "plain"))
+                share = 1.0 / np.bincount(of, minlength=last - first)
+                yield of + np.int32(low + first), bucket, share[of]
+
+
+class _OwnWords:
+    """Each word of a text is a window; a repeated one is kept once and counted."""
+
+    def __init__(self, found: _Vocabulary):
+        self.text, self.word, self.times = found.text, found.word, found.times
+        self.vocabulary = found.size
+        self.starts = np.searchsorted(self.text, np.flatnonzero(found.counts > 0))
+        self.even = self.times / found.counts[self.text]
+
+    def means(self, by_word: np.ndarray) -> np.ndarray:
+        return by_word[self.word]
+
+    def to_words(self, by_window: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, weights=by_window, minlength=self.vocabulary)
+
+
+class _WholeTexts:
+    """A text is one window."""
+
+    def __init__(self, found: _Vocabulary):
+        self.found = found
+        self.text = np.flatnonzero(found.counts > 0)
+        self.starts = np.arange(len(self.text))
+        self.times = self.even = np.ones(len(self.text))
+
+    def means(self, by_word: np.ndarray) -> np.ndarray:
+        own = by_word[self.found.word] * self.found.times
+        sums = np.bincount(self.found.text, weights=own, minlength=len(self.found.counts))
+        return sums[self.text] / self.found.counts[self.text]
+
+    def to_words(self, by_window: np.ndarray) -> np.ndarray:
+        by_text = np.zeros(len(self.found.counts))
+        by_text[self.text] = by_window / self.found.counts[self.text]
+        own = by_text[self.found.text] * self.found.times
+        return np.bincount(self.found.word, weights=own, minlength=self.found.size)
+
+
+class _Stretches:
+    """Overlapping windows of two steps of words, summed over parts of the words at a time."""
+
+    def __init__(self, found: _Vocabulary, step: int):
+        self.words, self.vocabulary, counts = found.words, found.size, found.counts.astype(np.int64)
+        steps = -(-counts // step)
+        begin, first = np.cumsum(steps) - steps, np.cumsum(counts) - counts
+        self.steps = int(steps.sum())
+        self._step = np.empty(len(self.words), dtype=np.int32)
+        for low in range(0, len(self.words), _WORDS):
+            place = np.arange(low, min(low + _WORDS, len(self.words)))
+            text = np.searchsorted(first, place, side="right") - 1
+            self._step[low : low + _WORDS] = begin[text] + (place - first[text]) // step
+        windows = np.maximum(steps - 1, np.minimum(steps, 1))
+        self.text = np.repeat(np.arange(len(steps)), windows)
+        own = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.low = begin[self.text] + own
+        self.high = np.minimum(self.low + 1, (begin + steps - 1)[self.text])
+        self.two = self.high > self.low
+        self.starts = np.searchsorted(self.text, np.flatnonzero(windows > 0))
+        self.even = 1 / np.maximum(windows, 1)[self.text]
+        self.times = np.ones(len(self.text))
+        self.size = np.maximum(self._sums(np.ones(max(found.size, 1))), 1)
+
+    def _sums(self, by_word: np.ndarray) -> np.ndarray:
+        sums = np.zeros(self.steps)
+        for low in range(0, len(self.words), _WORDS):
+            step = self._step[low : low + _WORDS]
+            part = np.bincount(step - step[0], weights=by_word[self.words[low : low + _WORDS]])
+            sums[step[0] : step[0] + len(part)] += part
+        return sums[self.low] + np.where(self.two, sums[self.high], 0)
+
+    def means(self, by_word: np.ndarray) -> np.ndarray:
+        return self._sums(by_word) / self.size
+
+    def to_words(self, by_window: np.ndarray) -> np.ndarray:
+        part = by_window / self.size
+        of_step = np.bincount(self.low, weights=part, minlength=self.steps)
+        of_step += np.bincount(self.high, weights=part * self.two, minlength=self.steps)
+        out = np.zeros(self.vocabulary)
+        for low in range(0, len(self.words), _WORDS):
+            own = of_step[self._step[low : low + _WORDS]]
+            out += np.bincount(self.words[low : low + _WORDS], weights=own, minlength=self.vocabulary)
+        return out
+
+
+def _worst(term: _OwnWords | _WholeTexts | _Stretches, by_window: np.ndarray) -> np.ndarray:
+    """The largest value of each text that has words."""
+    return np.maximum.reduceat(by_window, term.starts) if len(term.starts) else np.zeros(0)
+
+
 def _mean(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     counts = np.bincount(group, minlength=groups)
     return np.bincount(group, weights=values, minlength=groups) / np.maximum(counts, 1)
@@ -143,28 +285,21 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     """Fit on whole texts; ``importance`` weighs them. No texts give even odds for all."""
     if not texts:
         return Model(np.zeros((BUCKETS, len(TERMS)), dtype=np.float32), 0.0)
-    words = _text_words(texts)
-    # Equal words have equal units: each is kept once.
-    _, example, same = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    of, bucket = _units(words)
-    chosen = np.zeros(len(words.start), dtype=bool)
-    chosen[example] = True
-    keep = chosen[of]
-    of, bucket = same[of[keep]], bucket[keep]
-    share = 1.0 / np.bincount(of, minlength=len(example))
-    terms = [_Windows(words, *term) for term in TERMS]
+    found = _Vocabulary(texts)
+    terms = [_OwnWords(found), _Stretches(found, TERMS[1][0]), _WholeTexts(found)]
     weight = importance / importance.sum()
     odds = (weight * labels).sum()
-    # In how many texts a bucket occurs: the text of each word, without repeats.
-    pairs = np.unique(words.text.astype(np.int64) * len(example) + same)
-    toxic_pairs = pairs[labels[pairs // max(len(example), 1)] > 0]
-
-    def texts_of(pairs: np.ndarray) -> np.ndarray:
-        by_word = np.bincount(pairs % max(len(example), 1), minlength=len(example))
-        return np.bincount(bucket, weights=by_word[of], minlength=BUCKETS)
-
-    in_texts = texts_of(pairs)
-    known = (texts_of(toxic_pairs) >= LEAST_TEXTS).astype(float)
+    # In how many texts a word occurs, and a bucket, of all texts and of toxic ones.
+    toxic = labels[found.text] > 0
+    of_words = np.bincount(found.word, minlength=found.size), np.bincount(found.word[toxic], minlength=found.size)
+    in_texts, in_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for own, buckets, _ in found.units():
+        in_texts += np.bincount(buckets, weights=of_words[0][own], minlength=BUCKETS)
+        in_toxic += np.bincount(buckets, weights=of_words[1][own], minlength=BUCKETS)
+    known = (in_toxic >= LEAST_TEXTS).astype(float)
+    # Units of other buckets keep a zero vector; they only count among those of their word.
+    kept = [[x[known[buckets] > 0] for x in (own, buckets, share)] for own, buckets, share in found.units()]
+    of, bucket, share = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int32),) * 3
     # Rarer units move further for the same gradient, as in adaptive methods, but for the rarest.
     stride = known * np.sqrt(in_texts) / (in_texts + SHRINK)
     rng = np.random.default_rng(seed)
@@ -175,15 +310,15 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     ]
     moments = [np.zeros_like(p) for p in params]
     largest = [0.0] * len(params)
-    has_words = words.counts > 0
+    has_words = found.counts > 0
 
     def window_scores(params: list[np.ndarray]) -> list[np.ndarray]:
         by_bucket = params[0] @ (params[1][:, 1] - params[1][:, 0]).T
-        by_word = [np.bincount(of, weights=b[bucket], minlength=len(example)) * share for b in by_bucket.T]
-        return [term.means(own[same]) for term, own in zip(terms, by_word)]
+        by_word = [np.bincount(of, weights=b[bucket] * share, minlength=found.size) for b in by_bucket.T]
+        return [term.means(own) for term, own in zip(terms, by_word)]
 
     def calibrated(params: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        worst = [term.worst(own) for term, own in zip(terms, window_scores(params))]
+        worst = [_worst(term, own) for term, own in zip(terms, window_scores(params))]
         return _calibrated(np.stack(worst, axis=1), labels[has_words], weight[has_words], odds)
 
     for epoch in range(MEAN_EPOCHS + WORST_EPOCHS):
@@ -195,13 +330,13 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
         pooled, parts = np.zeros(len(texts)), []
         for term, by_window in zip(terms, window_scores(params)):
             if epoch < MEAN_EPOCHS:
-                part = 1 / np.bincount(term.text, minlength=len(texts))[term.text]
+                part = term.even
                 pooled += np.bincount(term.text, weights=by_window * part, minlength=len(texts))
             else:
                 worst = np.zeros(len(texts))
-                worst[has_words] = term.worst(by_window)
+                worst[has_words] = _worst(term, by_window)
                 pooled += worst
-                part = (by_window == worst[term.text]).astype(float)
+                part = (by_window == worst[term.text]) * term.times
             parts.append(part)
         probability = 1 / (1 + np.exp(-np.clip(pooled + params[2][0], -30, 30)))
         wanted = labels if epoch < MEAN_EPOCHS else labels * probability / (probability + NOISE)
@@ -209,8 +344,7 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
         of_bucket = []
         for term, part in zip(terms, parts):
             by_word = term.to_words(gradient[term.text] * part)
-            of_word = np.bincount(same, weights=by_word, minlength=len(example)) * share
-            of_bucket.append(np.bincount(bucket, weights=of_word[of], minlength=BUCKETS) * known)
+            of_bucket.append(np.bincount(bucket, weights=by_word[of] * share, minlength=BUCKETS) * known)
         slopes = np.stack(of_bucket)
         toward = slopes @ params[0]
         steps = [
