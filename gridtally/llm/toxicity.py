@@ -150,15 +150,15 @@ class _Vocabulary:
             found = _text_words(texts[low:high])
             counts.append(found.counts)
             own = found.hashes()
-            _, first = np.unique(own, return_index=True)
+            distinct, first, same = np.unique(own, return_index=True, return_inverse=True)
             size = found.end[first] - found.start[first]
             at = np.repeat(found.start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            hashes.append((own, own[first]))
+            hashes.append((distinct, same.astype(np.int32)))
             lengths.append(size)
             pieces.append(found.data[at])
         self.counts = np.concatenate(counts)
-        known, first = np.unique(np.concatenate([h[1] for h in hashes]), return_index=True)
-        self.words = np.concatenate([np.searchsorted(known, h[0]).astype(np.int32) for h in hashes])
+        known, first = np.unique(np.concatenate([h[0] for h in hashes]), return_index=True)
+        self.words = np.concatenate([np.searchsorted(known, h[0]).astype(np.int32)[h[1]] for h in hashes])
         size = np.concatenate(lengths)
         begin = np.cumsum(size) - size
         self.size, self._begin, self._bytes = len(known), begin[first], np.concatenate(pieces)
@@ -201,7 +201,11 @@ class _OwnWords:
         return by_word[self.word]
 
     def to_words(self, by_window: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, weights=by_window, minlength=self.vocabulary)
+        out = np.zeros(self.vocabulary)
+        for low in range(0, len(self.word), _WORDS):
+            part = slice(low, low + _WORDS)
+            out += np.bincount(self.word[part], weights=by_window[part], minlength=self.vocabulary)
+        return out
 
 
 class _WholeTexts:
@@ -214,15 +218,22 @@ class _WholeTexts:
         self.times = self.even = np.ones(len(self.text))
 
     def means(self, by_word: np.ndarray) -> np.ndarray:
-        own = by_word[self.found.word] * self.found.times
-        sums = np.bincount(self.found.text, weights=own, minlength=len(self.found.counts))
+        sums = np.zeros(len(self.found.counts))
+        for low in range(0, len(self.found.word), _WORDS):
+            part = slice(low, low + _WORDS)
+            own = by_word[self.found.word[part]] * self.found.times[part]
+            sums += np.bincount(self.found.text[part], weights=own, minlength=len(sums))
         return sums[self.text] / self.found.counts[self.text]
 
     def to_words(self, by_window: np.ndarray) -> np.ndarray:
         by_text = np.zeros(len(self.found.counts))
         by_text[self.text] = by_window / self.found.counts[self.text]
-        own = by_text[self.found.text] * self.found.times
-        return np.bincount(self.found.word, weights=own, minlength=self.found.size)
+        out = np.zeros(self.found.size)
+        for low in range(0, len(self.found.word), _WORDS):
+            part = slice(low, low + _WORDS)
+            own = by_text[self.found.text[part]] * self.found.times[part]
+            out += np.bincount(self.found.word[part], weights=own, minlength=self.found.size)
+        return out
 
 
 class _Stretches:
