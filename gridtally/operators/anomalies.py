@@ -27,32 +27,40 @@ def household_baseline(days: DataFrame) -> DataFrame:
     )
 
 
-def detect_anomalies(
-    readings: DataFrame,
-    baseline: DataFrame,
-    threshold: float = ANOMALY_THRESHOLD,
-    **join_options,
+def scored_readings(
+    readings: DataFrame, baseline: DataFrame, threshold: float, **join_options
 ) -> DataFrame:
-    """Readings whose z-score exceeds ``threshold``.
+    """``lclid, timestamp, energy_kwh, z_score`` of readings whose score exceeds ``threshold``.
 
     ``baseline`` must be a stored table (see ``materialize``): it is read several
     times, first to find out how to join it. The score grows with the distance from
-    the mean, so a household has an outlier exactly if its largest or its smallest
-    reading is one; all other households drop out before the join.
+    the mean, so a household has such a reading exactly if its largest or its smallest
+    one is one; all other households drop out before the join.
     """
-
-    def score(value: str) -> Column:
-        return z_score(F.col(value), F.col("mean_consumption"), F.col("stddev_consumption"))
-
-    has_outlier = F.greatest(score("max_kwh"), score("min_kwh")) > threshold
+    wanted = F.greatest(score_of(F.col("max_kwh")), score_of(F.col("min_kwh"))) > threshold
     scored = join_households(
         readings.select("lclid", "timestamp", "energy_kwh"),
         baseline,
-        wanted=has_outlier,
+        wanted=wanted,
         columns=["mean_consumption", "stddev_consumption"],
         **join_options,
-    ).withColumn("z_score", score("energy_kwh"))
-    outliers = scored.where(F.col("z_score") > threshold)
+    ).withColumn("z_score", score_of(F.col("energy_kwh")))
+    return scored.where(F.col("z_score") > threshold).select("lclid", "timestamp", "energy_kwh", "z_score")
+
+
+def score_of(value: Column) -> Column:
+    """The z-score of a value by the baseline columns beside it."""
+    return z_score(value, F.col("mean_consumption"), F.col("stddev_consumption"))
+
+
+def detect_anomalies(
+    readings: DataFrame,
+    baseline: DataFrame,
+    threshold: float = ANOMALY_THRESHOLD,
+    **join_options,
+) -> DataFrame:
+    """Readings whose z-score exceeds ``threshold``; see ``scored_readings``."""
+    outliers = scored_readings(readings, baseline, threshold, **join_options)
     return conform(outliers.withColumn("anomaly_type", F.lit(ANOMALY_TYPE)), DATASETS["anomalies"])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtally.functions.measures import average
 from gridtally.functions.periods import hour_of, month_of, week_of
-from gridtally.schema import DATASETS, TOTAL, conform
+from gridtally.schema import DATASETS, ENERGY, HOUSEHOLD_DAY, HOUSEHOLD_DAY_STATE, TOTAL, conform
 
 
 def household_days(readings: DataFrame) -> DataFrame:
@@ -28,6 +28,57 @@ def household_days(readings: DataFrame) -> DataFrame:
     )
 
 
+def household_day_state(readings: DataFrame) -> DataFrame:
+    """What all rollups need of the readings of a household and day, in one pass.
+
+    ``midnight`` is the day of the timestamp, which may differ from ``day``. ``hours``
+    has a bit for each hour that the household was seen in; days have up to 25 hours
+    where clocks are set back.
+    """
+    value = F.col("energy_kwh")
+    state = _with_hours(readings).groupBy("lclid", "day", "midnight").agg(
+        F.count("*").alias("reading_count"),
+        F.sum(value).alias("total_kwh"),
+        F.sum(value * value).alias("total_kwh_squared"),
+        F.max(value).alias("max_kwh"),
+        F.min(value).alias("min_kwh"),
+        F.bit_or("hours").alias("hours"),
+    )
+    return conform(state, HOUSEHOLD_DAY_STATE)
+
+
+def _with_hours(readings: DataFrame) -> DataFrame:
+    """``readings`` with ``midnight`` and, as ``hours``, the bit of their hour."""
+    position = F.expr("CAST((unix_seconds(timestamp) - unix_seconds(midnight)) DIV 3600 AS INT)")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
+    return readings.withColumn("midnight", F.date_trunc("day", "timestamp")).withColumn("hours", bit)
+
+
+def days_of(state: DataFrame) -> DataFrame:
+    """``household_days`` from their state."""
+    days = state.groupBy("lclid", "day").agg(
+        F.sum("reading_count").alias("reading_count"),
+        F.sum("total_kwh").alias("total_kwh"),
+        F.sum("total_kwh_squared").alias("total_kwh_squared"),
+        F.max("max_kwh").alias("max_kwh"),
+        F.min("min_kwh").alias("min_kwh"),
+    )
+    return conform(days, HOUSEHOLD_DAY)
+
+
+def hour_sums(readings: DataFrame, *keys: Column) -> DataFrame:
+    """Count, sum and bounds per hour, and per further ``keys`` in front of it.
+
+    A row per group and map task is shuffled.
+    """
+    return readings.groupBy(*keys, hour_of(F.col("timestamp")).alias("hour")).agg(
+        F.count("*").alias("reading_count"),
+        F.sum("energy_kwh").cast(TOTAL).alias("total_kwh"),
+        F.max("energy_kwh").cast(ENERGY).alias("max_kwh"),
+        F.min("energy_kwh").cast(ENERGY).alias("min_kwh"),
+    )
+
+
 def hourly_rollup(readings: DataFrame) -> DataFrame:
     """Sums per hour, joined with the households per hour.
 
@@ -35,26 +86,26 @@ def hourly_rollup(readings: DataFrame) -> DataFrame:
     and hour with all sums. Apart, the sums need one row per hour and map task, and
     the count one row per household and day.
     """
-    hour = hour_of(F.col("timestamp")).alias("hour")
-    sums = readings.groupBy(hour).agg(
-        F.sum("energy_kwh").alias("total_consumption"),
-        average(F.sum("energy_kwh"), F.count("*")).alias("avg_consumption"),
-        F.max("energy_kwh").alias("max_consumption"),
-        F.min("energy_kwh").alias("min_consumption"),
+    return hourly_of(hour_sums(readings), _with_hours(readings))
+
+
+def hourly_of(sums: DataFrame, seen: DataFrame) -> DataFrame:
+    """The hourly rollup from hour sums, also partial ones, and the hours of households."""
+    merged = sums.groupBy("hour").agg(
+        F.sum("total_kwh").alias("total_consumption"),
+        average(F.sum("total_kwh"), F.sum("reading_count")).alias("avg_consumption"),
+        F.max("max_kwh").alias("max_consumption"),
+        F.min("min_kwh").alias("min_consumption"),
     )
-    return conform(sums.join(households_per_hour(readings), "hour", "left"), DATASETS["hourly"])
+    return conform(merged.join(households_per_hour(seen), "hour", "left"), DATASETS["hourly"])
 
 
-def households_per_hour(readings: DataFrame) -> DataFrame:
-    """Number of distinct households in each hour that has readings.
+def households_per_hour(seen: DataFrame) -> DataFrame:
+    """Number of distinct households in each hour, from the bits in ``hours``.
 
-    The hours a household was seen in are one bit each in a number per household and
-    day; days have up to 25 hours where clocks are set back.
+    ``seen`` has ``lclid, midnight, hours`` in any number of rows.
     """
-    seen = readings.select("lclid", "timestamp", F.date_trunc("day", "timestamp").alias("midnight"))
-    position = F.expr("CAST((unix_seconds(timestamp) - unix_seconds(midnight)) DIV 3600 AS INT)")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
-    household_days = seen.groupBy("lclid", "midnight").agg(F.bit_or(bit).alias("hours"))
+    household_days = seen.groupBy("lclid", "midnight").agg(F.bit_or("hours").alias("hours"))
     counts = [F.sum(F.getbit("hours", F.lit(hour)).cast("bigint")) for hour in range(25)]
     days = household_days.groupBy("midnight").agg(F.array(*counts).alias("counts"))
     hours = days.select("midnight", F.posexplode("counts").alias("hour", "household_count"))

@@ -16,12 +16,15 @@ from gridtally.operators.cleaning import (
 )
 from gridtally.operators.rollups import (
     daily_rollup,
-    household_days,
+    days_of,
+    hour_sums,
+    hourly_of,
+    household_day_state,
     household_stats,
-    hourly_rollup,
     monthly_rollup,
     weekly_rollup,
 )
+from gridtally.plans.states import refresh
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
 from gridtally.session import materialize, require_utc
 from gridtally.sources.csv_readings import read_csv_readings
@@ -66,22 +69,30 @@ def transform(
 ) -> dict[str, DataFrame]:
     """The six datasets of the readings.
 
-    The sums per household and day, and the baseline per household, are stored on
+    The state per household and day, and the baseline per household, are stored on
     the way, in ``folder`` or else in the shared folder; five of the datasets start from
-    them. Readings are scanned four times: for those sums, for the sums and for the
-    households of each hour, and for the outliers; only sums are shuffled.
+    them. Readings are scanned three times: for that state, for the sums of each hour,
+    and for the outliers; only sums are shuffled.
     """
     require_utc(readings.sparkSession)
     clean = clean_readings(readings, max_kwh)
-    days = materialize(household_days(clean), "household_days", folder)
-    baseline = materialize(household_baseline(days), "household_baseline", folder)
+    state = materialize(household_day_state(clean), "household_days", folder)
+    baseline = materialize(household_baseline(days_of(state)), "household_baseline", folder)
+    return datasets_of(state, hour_sums(clean), clean, baseline)
+
+
+def datasets_of(
+    state: DataFrame, hours: DataFrame, readings: DataFrame, baseline: DataFrame
+) -> dict[str, DataFrame]:
+    """The six datasets from household days, hour sums, and readings with all outliers."""
+    days = days_of(state)
     return {
-        "hourly": hourly_rollup(clean),
+        "hourly": hourly_of(hours, state),
         "daily": daily_rollup(days),
         "weekly": weekly_rollup(days),
         "monthly": monthly_rollup(days),
         "household_stats": household_stats(days),
-        "anomalies": detect_anomalies(clean, baseline),
+        "anomalies": detect_anomalies(readings, baseline),
     }
 
 
@@ -92,13 +103,27 @@ def processed_folder(warehouse: str) -> str:
 
 def transform_stored(
     spark: SparkSession, warehouse: str, max_kwh: float = MAX_PLAUSIBLE_KWH
-) -> None:
-    """Compute the datasets of the raw table and store them."""
+) -> dict[str, int]:
+    """Compute the datasets of the raw table and store them.
+
+    Only months that changed since the last run are read (see ``plans.states``); the
+    datasets are merged from the stored sums of all months. Returns the clean readings and
+    households of the raw table, the outliers, and how many months were read.
+    """
+    require_utc(spark)
     processed = processed_folder(warehouse)
-    datasets = transform(read_raw(spark, warehouse), max_kwh, processed)
+    states = refresh(spark, warehouse, f"{processed}/states", max_kwh)
+    datasets = datasets_of(states.days, states.hours, states.candidates, states.baseline)
+    found = Observation()
+    datasets["anomalies"] = datasets["anomalies"].observe(found, F.count("*").alias("anomalies"))
     run_together(
         spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
     )
+    clean = states.baseline.agg(
+        F.coalesce(F.sum("reading_count"), F.lit(0)).alias("clean"), F.count("*").alias("households")
+    ).first()
+    months = len({*states.read, *states.rescored})
+    return {**clean.asDict(), **found.get, "months_read": months}
 
 
 def load(spark: SparkSession, processed: str, warehouse: str) -> None:

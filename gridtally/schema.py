@@ -105,6 +105,39 @@ DATASETS: dict[str, T.StructType] = {
     ),
 }
 
+# Stored sums that rollups start from. Squares are summed with all their decimals.
+_SUMS = [
+    T.StructField("reading_count", T.LongType()),
+    T.StructField("total_kwh", TOTAL),
+    T.StructField("total_kwh_squared", T.DecimalType(28, 8)),
+    T.StructField("max_kwh", ENERGY),
+    T.StructField("min_kwh", ENERGY),
+]
+_HOUSEHOLD = [T.StructField("lclid", T.StringType()), T.StructField("day", T.DateType())]
+HOUSEHOLD_DAY = T.StructType([*_HOUSEHOLD, *_SUMS])
+HOUSEHOLD_DAY_STATE = T.StructType(
+    [*_HOUSEHOLD, T.StructField("midnight", T.TimestampType()), *_SUMS, T.StructField("hours", T.LongType())]
+)
+HOUR_SUM = T.StructType(
+    [T.StructField("hour", T.TimestampType()), *[f for f in _SUMS if f.name != "total_kwh_squared"]]
+)
+# Readings that may be outliers, and the bounds of all others of a household and month.
+CANDIDATE = T.StructType(
+    [
+        T.StructField("lclid", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("energy_kwh", ENERGY),
+    ]
+)
+REACH = T.StructType(
+    [
+        T.StructField("lclid", T.StringType()),
+        T.StructField("in_month", T.DateType()),
+        T.StructField("low", T.DoubleType()),
+        T.StructField("high", T.DoubleType()),
+    ]
+)
+
 # The columns that reports look rows up by; together unique in each dataset.
 LOOKUP_KEYS = {
     "hourly": ("hour",),

@@ -25,6 +25,7 @@ from gridtally.schema import (
     conform,
 )
 from gridtally.session import materialize
+from gridtally.sources import snapshots
 
 CREATED_AT = T.StructField("created_at", T.TimestampType())
 
@@ -55,12 +56,31 @@ def run_together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
 # --- raw readings ----------------------------------------------------------
 
 
+def raw_months(spark: SparkSession, warehouse: str) -> dict[dt.date, list[int]]:
+    """The months of the raw table, with the number and bytes of their files.
+
+    Appends only add files, so a month whose files are as before is as before.
+    """
+    folder = snapshots.Folder(spark, table_path(warehouse, RAW_TABLE))
+    months = {}
+    for name in folder.names():
+        if name.startswith("month=") and name != "month=__HIVE_DEFAULT_PARTITION__":
+            months[dt.date.fromisoformat(name.removeprefix("month="))] = folder.size(name)
+    return months
+
+
 def read_raw(
-    spark: SparkSession, warehouse: str, start: dt.date | None = None, end: dt.date | None = None
+    spark: SparkSession,
+    warehouse: str,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    months: list[dt.date] | None = None,
 ) -> DataFrame:
-    """Readings of the raw table. A period of days prunes the month folders."""
+    """Readings of the raw table. A period of days, or a list of months, prunes the folders."""
     first_month = None if start is None else start.replace(day=1)
     raw = spark.read.schema(RAW).parquet(table_path(warehouse, RAW_TABLE))
+    if months is not None:
+        raw = raw.where(F.col("month").isin(months))
     kept = raw.where(day_in(F.col("month"), first_month, end) & day_in(F.col("day"), start, end))
     return kept.select(*READING.names)
 
@@ -126,34 +146,12 @@ def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    snapshots.Folder(spark, path).remove()
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` beside the table at ``path``, then put it in its place.
-
-    A write that fails leaves the old table as it is. The switch is two renames of
-    folders; if the second fails the first is taken back.
-    """
-    spark, path = df.sparkSession, path.rstrip("/")
-    run = uuid.uuid4().hex
-    new, old = f"{path}.new-{run}", f"{path}.old-{run}"
-    try:
-        df.write.parquet(new)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        replaced = files.exists(hadoop(path))
-        if replaced and not files.rename(hadoop(path), hadoop(old)):
-            raise OSError(f"cannot rename {path}")
-        if not files.rename(hadoop(new), hadoop(path)):
-            if replaced:
-                files.rename(hadoop(old), hadoop(path))
-            raise OSError(f"cannot rename {new}")
-    finally:
-        _remove(spark, new)
-    _remove(spark, old)
-    spark.catalog.refreshByPath(path)
+    """Make the rows of ``df`` the table at ``path``; readers see the old or the new one."""
+    snapshots.replace(df, path)
 
 
 def write_dataset(df: DataFrame, folder: str, name: str) -> None:
@@ -165,7 +163,7 @@ def write_dataset(df: DataFrame, folder: str, name: str) -> None:
 
 
 def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(DATASETS[name]).parquet(f"{folder}/{name}")
+    return snapshots.read(spark, f"{folder}/{name}", DATASETS[name])
 
 
 def load_dataset(spark: SparkSession, folder: str, name: str, warehouse: str) -> None:
@@ -179,11 +177,12 @@ def load_dataset(spark: SparkSession, folder: str, name: str, warehouse: str) ->
     keys = LOOKUP_KEYS[name]
     ordered = conform(rows, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
     replace_table(ordered, table_path(warehouse, ANALYTICS_TABLES[name]))
+    _follow(spark, warehouse, ANALYTICS_TABLES[name])
 
 
 def read_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     """The warehouse table of a dataset, without its load time."""
-    return spark.read.schema(DATASETS[name]).parquet(table_path(warehouse, ANALYTICS_TABLES[name]))
+    return snapshots.read(spark, table_path(warehouse, ANALYTICS_TABLES[name]), DATASETS[name])
 
 
 def _quoted(text: str) -> str:
@@ -191,31 +190,55 @@ def _quoted(text: str) -> str:
     return f"'{escaped}'"
 
 
+def _is_own(spark: SparkSession, table: str) -> tuple[bool, str]:
+    """Whether the library made the external table ``table``, and where it lies."""
+    facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    kind = facts.where("col_name = 'Type'").first()
+    location = facts.where("col_name = 'Location'").first()
+    folder = location["data_type"].rstrip("/") if location else ""
+    below = "/" + table.replace(".", "/")
+    made = folder.endswith(below) or f"{below}/{snapshots.DATA}/" in folder
+    return bool(kind and kind["data_type"] == "EXTERNAL" and made), folder
+
+
 def _forget_own(spark: SparkSession, table: str) -> None:
     """Drop the name of an external table that this library made; its files stay.
 
     Raises for any other table: its files would go with a managed one.
     """
-    facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
-    kind = facts.where("col_name = 'Type'").first()
-    location = facts.where("col_name = 'Location'").first()
-    folder = location["data_type"].rstrip("/") if location else ""
-    if not kind or kind["data_type"] != "EXTERNAL" or not folder.endswith("/" + table.replace(".", "/")):
+    if not _is_own(spark, table)[0]:
         raise ValueError(f"{table} is a table that this library did not make; it is left as it is")
     spark.sql(f"DROP TABLE {table}")
 
 
+def _follow(spark: SparkSession, warehouse: str, table: str) -> None:
+    """Let the name of a table that was registered for this warehouse mean its new version."""
+    if not spark.catalog.tableExists(table):
+        return
+    path = table_path(warehouse, table)
+    own, folder = _is_own(spark, table)
+    if own and f"{path}/" in f"{folder}/":
+        spark.sql(f"ALTER TABLE {table} SET LOCATION {_quoted(snapshots.folders(spark, path)[0])}")
+        spark.catalog.refreshTable(table)
+
+
 def register_tables(spark: SparkSession, warehouse: str) -> None:
     """Make the stored tables known to ``spark.sql`` under their schema and name.
 
-    A table of that name that the library did not make is never dropped: an error names it.
+    A name means the version that is current now; loads of this session, and of others
+    that share its catalog, move it on. A table of that name that the library did not
+    make is never dropped: an error names it.
     """
     tables = {RAW_TABLE: RAW}
     for name, table in ANALYTICS_TABLES.items():
         tables[table] = T.StructType([*DATASETS[name].fields, CREATED_AT])
     for table, schema in tables.items():
         path = table_path(warehouse, table)
-        if stored_table(spark, path, schema) is None:
+        if table == RAW_TABLE:
+            found = [path] if stored_table(spark, path, schema) is not None else []
+        else:
+            found = snapshots.folders(spark, path)
+        if not found:
             continue
         database = table.split(".")[0]
         folder = table_path(warehouse, database)
@@ -224,7 +247,7 @@ def register_tables(spark: SparkSession, warehouse: str) -> None:
         if spark.catalog.tableExists(table):
             _forget_own(spark, table)
         spark.sql(
-            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet {partitions} LOCATION {_quoted(path)}"
+            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet {partitions} LOCATION {_quoted(found[0])}"
         )
         if partitions:
             spark.catalog.recoverPartitions(table)

@@ -1,0 +1,230 @@
+"""Partial sums kept per month, and tables that are replaced in one commit."""
+
+import datetime as dt
+import random
+from functools import partial
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridtally.operators.cleaning import clean_readings, deduplicate
+from gridtally.plans import pipeline, states
+from gridtally.schema import DATASETS, READING
+from gridtally.sources import snapshots, tables
+from helpers import D, plan_of, rows_of
+
+
+def batch(spark, seed, days, households=6, shifted=False):
+    """Half-hour readings; with ``shifted`` some have a day that their time is not in."""
+    rng = random.Random(seed)
+    rows = []
+    for number in range(households):
+        for day in days:
+            for half in range(0, 48, 3):
+                time = dt.datetime.combine(day, dt.time(half // 2, half % 2 * 30))
+                value = D(str(round(rng.gauss(5, 1) if rng.random() < 0.97 else rng.uniform(0, 60), 4)))
+                own = day - dt.timedelta(days=rng.choice((0, 1, 40))) if shifted else day
+                rows.append((f"H{number}", own, abs(value), time))
+    return deduplicate(spark.createDataFrame(rows, READING))
+
+
+def spread(start, count):
+    return [start + dt.timedelta(days=i) for i in range(count)]
+
+
+def stored(spark, warehouse):
+    folder = pipeline.processed_folder(warehouse)
+    return {name: rows_of(tables.read_dataset(spark, folder, name)) for name in DATASETS}
+
+
+def full(spark, warehouse):
+    return {name: rows_of(df) for name, df in pipeline.transform(tables.read_raw(spark, warehouse)).items()}
+
+
+def test_a_new_day_reads_its_month_only(spark, tmp_path, monkeypatch):
+    warehouse, asked = str(tmp_path), []
+    read = states.read_raw
+
+    def watched(spark, warehouse, months):
+        frame = read(spark, warehouse, months=months)
+        names = frame.select(F.input_file_name()).distinct().collect()
+        files = {row[0].split("month=")[1][:10] for row in names}
+        assert "PartitionFilters: [" in plan_of(frame) and "PartitionFilters: []" not in plan_of(frame)
+        asked.append((sorted(m.isoformat() for m in months), files))
+        return frame
+
+    monkeypatch.setattr(states, "read_raw", watched)
+    tables.append_readings(batch(spark, 1, spread(dt.date(2024, 1, 20), 50)), warehouse)
+    first = pipeline.transform_stored(spark, warehouse)
+    assert first["months_read"] == 3 and asked[0][0] == ["2024-01-01", "2024-02-01", "2024-03-01"]
+    assert stored(spark, warehouse) == full(spark, warehouse) and first["anomalies"] > 0
+    asked.clear()
+    # Nothing new: nothing is read.
+    assert pipeline.transform_stored(spark, warehouse) == {**first, "months_read": 0} and not asked
+    tables.append_readings(batch(spark, 2, [dt.date(2024, 3, 20)]), warehouse)
+    second = pipeline.transform_stored(spark, warehouse)
+    assert asked == [(["2024-03-01"], {"2024-03-01"})] and second["months_read"] == 1
+    assert second["clean"] == clean_readings(tables.read_raw(spark, warehouse)).count() > first["clean"]
+    assert stored(spark, warehouse) == full(spark, warehouse)
+
+
+def test_days_and_times_that_disagree(spark, tmp_path):
+    warehouse = str(tmp_path)
+    for seed, day in ((3, dt.date(2024, 1, 28)), (4, dt.date(2024, 2, 10)), (5, dt.date(2024, 1, 30))):
+        tables.append_readings(batch(spark, seed, spread(day, 6), shifted=True), warehouse)
+        pipeline.transform_stored(spark, warehouse)
+        assert stored(spark, warehouse) == full(spark, warehouse)
+
+
+def test_a_household_that_changes_is_scored_again(spark, tmp_path):
+    """Many equal readings shrink the deviation, so that old readings become outliers."""
+    warehouse = str(tmp_path)
+    tables.append_readings(batch(spark, 6, spread(dt.date(2024, 1, 1), 20)), warehouse)
+    before = pipeline.transform_stored(spark, warehouse)
+    times = [dt.datetime(2024, 3, 1) + dt.timedelta(minutes=i) for i in range(20_000)]
+    rows = [("H1", t.date(), D("5.0"), t) for t in times]
+    tables.append_readings(spark.createDataFrame(rows, READING), warehouse)
+    after = pipeline.transform_stored(spark, warehouse)
+    assert after["months_read"] == 2 and after["anomalies"] > before["anomalies"]
+    assert stored(spark, warehouse) == full(spark, warehouse)
+
+
+def test_another_limit_starts_anew(spark, tmp_path):
+    warehouse = str(tmp_path)
+    tables.append_readings(batch(spark, 7, spread(dt.date(2024, 1, 30), 3)), warehouse)
+    assert pipeline.transform_stored(spark, warehouse)["months_read"] == 2
+    low = pipeline.transform_stored(spark, warehouse, max_kwh=6.0)
+    assert low["months_read"] == 2
+    assert stored(spark, warehouse) == {
+        name: rows_of(df) for name, df in pipeline.transform(tables.read_raw(spark, warehouse), 6.0).items()
+    }
+
+
+def test_a_run_that_dies_leaves_the_states(spark, tmp_path, monkeypatch):
+    warehouse = str(tmp_path)
+    tables.append_readings(batch(spark, 8, spread(dt.date(2024, 1, 30), 3)), warehouse)
+    pipeline.transform_stored(spark, warehouse)
+    path = f"{pipeline.processed_folder(warehouse)}/states"
+    known = snapshots.latest(spark, path)
+    tables.append_readings(batch(spark, 9, [dt.date(2024, 2, 20)]), warehouse)
+    for step in ("hour_sums", "household_baseline", "scored_readings", "_reach"):
+        with monkeypatch.context() as patched:
+            patched.setattr(states, step, partial(_fail, step))
+            with pytest.raises(RuntimeError, match=step):
+                pipeline.transform_stored(spark, warehouse)
+        assert snapshots.latest(spark, path) == known
+        named = {name.split("/")[1] for name in known[1]["folders"]}
+        assert set(snapshots.Folder(spark, path).names("_data")) == named
+    assert pipeline.transform_stored(spark, warehouse)["months_read"] == 1
+    assert stored(spark, warehouse) == full(spark, warehouse)
+
+
+def _fail(step, *_, **__):
+    raise RuntimeError(step)
+
+
+def test_empty_raw_table(spark, tmp_path):
+    tables.append_readings(spark.createDataFrame([], READING), str(tmp_path))
+    counts = pipeline.transform_stored(spark, str(tmp_path))
+    assert counts == {"clean": 0, "households": 0, "anomalies": 0, "months_read": 0}
+    assert not any(stored(spark, str(tmp_path)).values())
+
+
+def test_readings_are_scanned_three_times(spark, tmp_path, monkeypatch):
+    warehouse, scans = str(tmp_path), []
+    tables.append_readings(batch(spark, 10, spread(dt.date(2024, 1, 1), 3)), warehouse)
+    store = pipeline.materialize
+
+    def raw_scans(df):
+        # No stored sum has this column.
+        return sum("energy_kwh:" in line for line in plan_of(df).splitlines() if "FileScan" in line)
+
+    def watched(df, *rest):
+        scans.append(raw_scans(df))
+        return store(df, *rest)
+
+    monkeypatch.setattr(pipeline, "materialize", watched)
+    datasets = pipeline.transform(tables.read_raw(spark, warehouse))
+    scans += [raw_scans(df) for df in datasets.values()]
+    assert sum(scans) == 3, scans
+
+
+# --- tables in one commit ----------------------------------------------------
+
+
+def table_rows(spark, path):
+    return sorted(r.id for r in snapshots.read(spark, path, spark.range(0).schema).collect())
+
+
+def test_readers_see_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/table"
+    snapshots.replace(spark.range(5), path)
+    begun = snapshots.read(spark, path, spark.range(0).schema)
+    seen, put = [], snapshots.Folder.put
+
+    def watched(self, name, text):
+        seen.append(table_rows(spark, path))
+        put(self, name, text)
+        seen.append(table_rows(spark, path))
+
+    monkeypatch.setattr(snapshots.Folder, "put", watched)
+    snapshots.replace(spark.range(3), path)
+    assert seen == [[0, 1, 2, 3, 4], [0, 1, 2]]
+    # A reader that began before still finds its files.
+    assert begun.count() == 5
+    snapshots.replace(spark.range(1), path)
+    snapshots.replace(spark.range(2), path)
+    assert table_rows(spark, path) == [0, 1]
+    assert len(list((tmp_path / "table" / "_data").iterdir())) == snapshots.KEPT
+
+
+@pytest.mark.parametrize("step", ["put", "text", "create"])
+def test_a_load_that_fails_at_any_step(spark, tmp_path, monkeypatch, step):
+    path = f"{tmp_path}/table"
+    snapshots.replace(spark.range(5), path)
+    with monkeypatch.context() as patched:
+        if step == "create":
+            patched.setattr(snapshots.json, "dumps", partial(_fail, step))
+        else:
+            patched.setattr(snapshots.Folder, step, partial(_fail, step))
+        with pytest.raises(RuntimeError):
+            snapshots.replace(spark.range(3), path)
+    assert table_rows(spark, path) == [0, 1, 2, 3, 4]
+    snapshots.replace(spark.range(3), path)
+    assert table_rows(spark, path) == [0, 1, 2]
+
+
+def test_two_commits_at_once(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    snapshots.replace(spark.range(2), path)
+    number, content = snapshots.latest(spark, path)
+    snapshots.commit(spark, path, number, content)
+    with pytest.raises(snapshots.CommitConflict):
+        snapshots.commit(spark, path, number, content)
+    assert table_rows(spark, path) == [0, 1]
+
+
+def test_a_plain_folder_becomes_a_table_with_versions(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    spark.range(4).write.parquet(path)
+    assert table_rows(spark, path) == [0, 1, 2, 3]
+    snapshots.replace(spark.range(2), path)
+    assert table_rows(spark, path) == [0, 1]
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["_commits", "_data"]
+    with pytest.raises(FileNotFoundError):
+        snapshots.read(spark, f"{tmp_path}/none", spark.range(0).schema)
+
+
+def test_names_in_sql_follow_a_load(spark, tmp_path):
+    warehouse = str(tmp_path)
+    processed = pipeline.processed_folder(warehouse)
+    tables.append_readings(batch(spark, 11, spread(dt.date(2024, 1, 1), 2)), warehouse)
+    pipeline.transform_stored(spark, warehouse)
+    pipeline.load(spark, processed, warehouse)
+    tables.register_tables(spark, warehouse)
+    days = "SELECT COUNT(*) AS n FROM analytics.daily_consumption"
+    assert spark.sql(days).first().n == 2
+    tables.append_readings(batch(spark, 12, spread(dt.date(2024, 1, 3), 2)), warehouse)
+    pipeline.transform_stored(spark, warehouse)
+    pipeline.load(spark, processed, warehouse)
+    assert spark.sql(days).first().n == 4
