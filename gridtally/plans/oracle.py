@@ -198,6 +198,12 @@ HALF_HOURS = f"""
     SELECT lclid, CAST("timestamp" AS DATE) AS day, energy_kwh, "timestamp" FROM ({DIRTY})"""
 
 
+# Two runs: of the readings up to a day within the years, then of all. A run reads the
+# months that hold readings of its delivery; without outliers nothing else is read.
+FIRST_YEARS = f"SELECT * FROM ({LINEITEM}) WHERE day <= DATE '1996-06-15'"
+FIRST_STORED, FIRST_CLEAN = distinct_keys(FIRST_YEARS), clean(distinct_keys(FIRST_YEARS))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "ingest_profile": f"""
@@ -272,6 +278,24 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_weekly": rollup(STORED_YEARS, "CAST(date_trunc('week', day) AS DATE)", "week_start"),
         "pipeline_monthly": rollup(STORED_YEARS, "CAST(date_trunc('month', day) AS DATE)", "month"),
         "pipeline_anomalies": outliers(STORED_WIDE),
+        "incremental_hourly": rollup(STORED, "date_trunc('hour', \"timestamp\")", "hour"),
+        "incremental_weekly": rollup(STORED_YEARS, "CAST(date_trunc('week', day) AS DATE)", "week_start"),
+        "incremental_household_stats": stats(STORED_YEARS),
+        "incremental_anomalies": outliers(STORED_WIDE),
+        "incremental_counts": f"""
+            WITH runs(run, added, clean, households, months_read) AS (
+                SELECT 1, (SELECT COUNT(*) FROM ({FIRST_STORED})), COUNT(*), COUNT(DISTINCT lclid),
+                       COUNT(DISTINCT date_trunc('month', day)) FROM ({FIRST_CLEAN})
+                UNION ALL
+                SELECT 2, (SELECT COUNT(*) FROM ({distinct_keys(LINEITEM)})) - (SELECT COUNT(*) FROM ({FIRST_STORED})),
+                       COUNT(*), COUNT(DISTINCT lclid),
+                       COUNT(DISTINCT date_trunc('month', day)) FILTER (WHERE day >= DATE '1996-06-01')
+                FROM ({STORED_YEARS})
+            )
+            SELECT CAST(run AS BIGINT) AS run, added, clean, households, months_read,
+                   (SELECT COUNT(*) FROM ({outliers(FIRST_CLEAN)})) * (2 - run)
+                   + (SELECT COUNT(*) FROM ({outliers(STORED_YEARS)})) * (run - 1) AS anomalies
+            FROM runs""",
         "adhoc_sql": f"""
             SELECT lclid, total_consumption, days_count,
                    (SELECT COUNT(*) FROM ({distinct_keys(LINEITEM)})) AS raw_rows

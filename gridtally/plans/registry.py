@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridtally.operators import anomalies, cleaning, reports, rollups
-from gridtally.plans.pipeline import ingest, run_pipeline
+from gridtally.plans.pipeline import ingest, load, processed_folder, run_pipeline, transform_stored
 from gridtally.schema import ENERGY, HALF_HOUR_HEADER, READING, READING_HEADER, conform
 from gridtally.session import materialize, new_folder
 from gridtally.sources import tables
@@ -24,6 +24,8 @@ START, END = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
 TEN_DAYS = dt.date(2024, 1, 6), dt.date(2024, 1, 15)
 THREE_DAYS = dt.date(2024, 1, 9), dt.date(2024, 1, 11)
 NO_DAYS = dt.date(2023, 1, 1), dt.date(2023, 12, 31)
+# The first delivery of the years ends within them.
+YEARS_UNTIL = dt.date(1996, 6, 15)
 # Events exceed the default limit; outliers need the higher one.
 WIDE_LIMIT = 1000.0
 
@@ -208,6 +210,40 @@ def pipeline_table(
     return query
 
 
+def _deliveries(spark: SparkSession, readings: DataFrame, until: dt.date, max_kwh: float) -> tuple[str, list[dict]]:
+    """A warehouse after two deliveries, the second with all readings, and what each run counted."""
+    warehouse, counts = new_folder(spark, "warehouse"), []
+    for number, part in enumerate((readings.where(F.col("day") <= F.lit(until)), readings)):
+        source = new_folder(spark, "csv")
+        write_reading_csv(part, source)
+        added = ingest(spark, source, warehouse, max_kwh=max_kwh)["added"]
+        counts.append({"run": number + 1, "added": added, **transform_stored(spark, warehouse, max_kwh)})
+        load(spark, processed_folder(warehouse), warehouse)
+    return warehouse, counts
+
+
+def incremental_table(
+    name: str,
+    until: dt.date,
+    max_kwh: float = 100.0,
+    readings: Callable[[SparkSession, str], DataFrame] = events,
+) -> Callable[[SparkSession, str], DataFrame]:
+    """A warehouse table after two deliveries; the second run reads only what changed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tables.read_table(spark, _deliveries(spark, readings(spark, sf_dir), until, max_kwh)[0], name)
+
+    return query
+
+
+def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs counted, the second after a delivery of the last years."""
+    _, counts = _deliveries(spark, lineitem(spark, sf_dir), YEARS_UNTIL, 100.0)
+    names = ("run", "added", "clean", "households", "anomalies", "months_read")
+    rows = [spark.range(1).select(*[F.lit(run[n]).cast("long").alias(n) for n in names]) for run in counts]
+    return rows[0].unionByName(rows[1])
+
+
 def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over raw and warehouse tables by name."""
     tables.register_tables(spark, _warehouse(spark, lineitem(spark, sf_dir)))
@@ -271,5 +307,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_weekly": pipeline_table("weekly", readings=lineitem),
         "pipeline_monthly": pipeline_table("monthly", readings=lineitem),
         "pipeline_anomalies": pipeline_table("anomalies", WIDE_LIMIT),
+        "incremental_hourly": incremental_table("hourly", TEN_DAYS[1]),
+        "incremental_weekly": incremental_table("weekly", YEARS_UNTIL, readings=lineitem),
+        "incremental_household_stats": incremental_table("household_stats", YEARS_UNTIL, readings=lineitem),
+        "incremental_anomalies": incremental_table("anomalies", TEN_DAYS[1], WIDE_LIMIT),
+        "incremental_counts": incremental_counts,
         "adhoc_sql": adhoc_sql,
     }
