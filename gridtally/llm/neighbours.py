@@ -2,10 +2,11 @@
 
 A vector is centred, padded with zeros to ``bits`` dimensions, rotated by a seeded
 random rotation and cut to its signs. From the packed signs and three scalars the
-inner product with any query is estimated together with a bound of its error. Queries
-and codes meet in blocks of bounded size; in each block the vectors whose upper bound
-reaches the k-th best lower bound are reranked with the original vectors, and the best
-of all blocks are merged.
+inner product with any query is estimated together with a bound of its error: a query
+is cut to four bits a component, and bits in common are counted. Queries and codes meet
+in blocks of bounded size; in each block the vectors whose upper bound reaches the k-th
+best score so far, at first of the best estimates, are reranked with the original
+vectors, and the best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridtally.session import materialize
 
 BITS = 256
-EPSILON = 5.0
+EPSILON = 4.0
 SEED = 7
+# Bits of a component of a rotated query.
+QUERY_BITS = 4
 CODE_BLOCK = 8192
-QUERY_BLOCK = 4096
-_SLICE = 128
+QUERY_BLOCK = 1024
+_SLICE, _CHUNK = 128, 2048
 
 INDEX = "vec_id long, dim int, code binary, norm double, align double, shift double, vector binary"
 
@@ -77,45 +80,90 @@ def build_index(
     return vectors.mapInPandas(encode, INDEX)
 
 
+def _planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated queries in QUERY_BITS bits a component: packed bit planes, least value, step and sum of levels."""
+    least = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - least, 1e-30) / (2**QUERY_BITS - 1)
+    level = np.rint((turned - least[:, None]) / step[:, None]).astype(np.uint8)
+    planes = [np.packbits((level >> j) & 1, axis=1) for j in range(QUERY_BITS)]
+    return np.stack(planes), least, step, level.sum(axis=1, dtype=np.int64)
+
+
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as 64-bit words; missing bits are zero."""
+    short = -packed.shape[-1] % 8
+    padded = np.concatenate([packed, np.zeros((*packed.shape[:-1], short), np.uint8)], axis=-1)
+    return np.ascontiguousarray(padded).view(np.uint64)
+
+
 def _search_block(
     queries: pd.DataFrame, codes: pd.DataFrame, center: np.ndarray, k: int, bits: int, epsilon: float, seed: int
 ) -> pd.DataFrame:
-    """The k best of one block of codes for each query of one block."""
+    """The k best of one block of codes for each query of one block.
+
+    Codes stay packed: their product with a query of few bits a component is a count of
+    common bits per plane. What may beat the k-th best score so far is reranked.
+    """
     dim = int(codes.dim.iloc[0])
     width = _bits(dim, bits)
     vectors = np.frombuffer(b"".join(codes.vector), dtype=np.float64).reshape(-1, dim)
-    packed = np.frombuffer(b"".join(codes.code), dtype=np.uint8).reshape(len(codes), -1)
-    signs = np.unpackbits(packed, axis=1, count=width).astype(np.float32) * 2 - 1
+    code = _words(np.frombuffer(b"".join(codes.code), dtype=np.uint8).reshape(len(codes), -1))
+    ones = np.bitwise_count(code).sum(axis=1, dtype=np.float32)
     norm, align, shift = (codes[c].to_numpy() for c in ("norm", "align", "shift"))
-    spread = norm * np.sqrt(np.maximum(1 - align**2, 0)) / align * epsilon / np.sqrt(width - 1)
+    spread = (norm * np.sqrt(np.maximum(1 - align**2, 0)) / align * epsilon / np.sqrt(width - 1)).astype(np.float32)
     factor = (norm / (align * np.sqrt(width))).astype(np.float32)
+    shift = shift.astype(np.float32)
     ids = codes.vec_id.to_numpy()
     q_ids = queries.vec_id.to_numpy()
     q_vectors = np.frombuffer(b"".join(queries.vector), dtype=np.float64).reshape(-1, dim)
     turn = rotation(width, seed)[:dim]
-    out = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for low in range(0, len(q_ids), _SLICE):
-        own = q_vectors[low : low + _SLICE]
+        own, own_ids = q_vectors[low : low + _SLICE], q_ids[low : low + _SLICE]
         rest = own - center
-        estimate = ((rest @ turn).astype(np.float32) @ signs.T) * factor + shift.astype(np.float32)
-        estimate += (own @ center).astype(np.float32)[:, None]
-        error = np.linalg.norm(rest, axis=1)[:, None].astype(np.float32) * spread.astype(np.float32) + 1e-5
-        same = q_ids[low : low + _SLICE, None] == ids[None, :]
-        bottom = np.where(same, -np.inf, estimate - error)
-        keep = min(k, bottom.shape[1])
-        level = np.partition(bottom, bottom.shape[1] - keep, axis=1)[:, bottom.shape[1] - keep]
-        rows, columns = np.nonzero((estimate + error >= level[:, None]) & ~same)
-        scores = np.zeros(len(rows))
-        for d in range(dim):  # one order of additions, so equal vectors have equal scores
-            scores += vectors[columns, d] * own[rows, d]
-        order = np.lexsort((ids[columns], -scores, rows))
-        rows, columns, scores = rows[order], columns[order], scores[order]
-        first = np.searchsorted(rows, rows)
-        best = np.arange(len(rows)) - first < k
-        out.append(pd.DataFrame({
-            "query_id": q_ids[low + rows[best]], "vec_id": ids[columns[best]], "score": scores[best],
-        }))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        planes, least, step, levels = _planes(rest @ turn)
+        planes = _words(planes)
+        offset = (-least * width - step * levels).astype(np.float32)[:, None]
+        least, twice = (2 * least).astype(np.float32)[:, None], (2 * step).astype(np.float32)[:, None]
+        plain = (own @ center).astype(np.float32)[:, None]
+        # The error of a code grows with the query's length, that of the query with its step.
+        length = np.linalg.norm(rest, axis=1).astype(np.float32)[:, None]
+        rounding = (epsilon * step * np.sqrt(width / 12)).astype(np.float32)[:, None]
+        rows, columns, scores = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        level = np.full(len(own), -np.inf)
+        for begin in range(0, len(ids), _CHUNK):
+            at = slice(begin, begin + _CHUNK)
+            common = np.zeros((len(own), len(ids[at])), dtype=np.float32)
+            for j in range(QUERY_BITS):
+                for word in range(code.shape[1]):
+                    both = planes[j][:, word, None] & code[at, word][None, :]
+                    common += np.bitwise_count(both) * np.float32(2**j)
+            estimate = (twice * common + least * ones[at] + offset) * factor[at] + shift[at] + plain
+            error = length * spread[at] + rounding * factor[at] + np.float32(1e-5)
+            other = own_ids[:, None] != ids[at][None, :]
+            if not np.isfinite(level).all():
+                # The k best estimates give a first level.
+                first = np.argsort(np.where(other, -estimate, np.inf), axis=1, kind="stable")[:, :k]
+                sure = (vectors[first + begin] * own[:, None, :]).sum(axis=2)
+                sure[~np.take_along_axis(other, first, axis=1)] = -np.inf
+                if first.shape[1] == k:
+                    level = np.maximum(level, sure.min(axis=1) - 1e-9)
+            near, place = np.nonzero((estimate + error >= level[:, None].astype(np.float32)) & other)
+            exact = np.zeros(len(near))
+            for d in range(dim):  # one order of additions, so equal vectors have equal scores
+                exact += vectors[place + begin, d] * own[near, d]
+            rows = np.concatenate([rows, near])
+            columns, scores = np.concatenate([columns, place + begin]), np.concatenate([scores, exact])
+            order = np.lexsort((ids[columns], -scores, rows))
+            rows, columns, scores = rows[order], columns[order], scores[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, columns, scores = rows[best], columns[best], scores[best]
+            # The score of the k-th best, of queries that have so many.
+            last = np.flatnonzero(np.bincount(rows, minlength=len(own)) == k)
+            level[last] = np.maximum(level[last], scores[np.searchsorted(rows, last) + k - 1] - 1e-9)
+        found.append((q_ids[low + rows], ids[columns], scores))
+    query_id, vec_id, score = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
 
 
 def nearest(
