@@ -7,8 +7,9 @@ filters drop pairs that cannot reach the similarity, the rest is verified on the
 A line goes if an earlier line (by doc_id, null last, then place, then a hash of the
 text) is similar, whether that one stays or not. Only DataFrame functions are used.
 
-Parity bits of the words bound the difference of two lines from below, so that words
-are fetched for few pairs only.
+Parity bits of the words bound the difference of two lines from below, so that the words
+of few pairs only are compared. Words are 63-bit keys throughout: rarity, then hash; the
+first line of each class keeps all of its keys, so texts are read but never shuffled.
 
 Equal sets are one class from the start. Each class is compared with the earliest one
 of each prefix word first; only classes without a match so far are compared with all
@@ -30,9 +31,6 @@ MOST = 63
 _LEVEL_BITS = 57
 # Parity bits are chosen by the bits of a word's hash that its bucket does not use.
 _PARITY_SHIFT = 24
-# Lines of up to so many words are sketched by 64 bits, longer ones by 256.
-SHORT = 48
-_BITS = ("b0", "b1", "b2", "b3")
 _LAST = 9223372036854775807
 
 
@@ -65,7 +63,7 @@ def _bucket(number: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """The level of each bucket, a byte for each: the driver gets BUCKETS small rows at most."""
-    word = F.explode(F.split(F.lower("text"), r" |\n")).alias("word")
+    word = F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("word")
     counts = docs.select(word).groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2("n") * STEPS), F.lit(MOST)).cast("int")
     levels = bytearray(BUCKETS)
@@ -87,59 +85,38 @@ def rarity_keys(words: Column, levels: bytes) -> Column:
     return F.sort_array(F.transform(F.transform(words, lambda word: F.xxhash64(word)), key))
 
 
-def parity_bits(keys: Column) -> list[Column]:
-    """``b0`` to ``b3``: 256 bits, each the parity of how many keys fall to it.
+def parity_bits(keys: Column) -> Column:
+    """64 bits, each the parity of how many keys fall to it."""
 
-    Short sets need 64 bits only, all in ``b0``: the 256 bits folded.
-    """
-
-    def bits(number: int | None) -> Column:
-        def bit(key: Column) -> Column:
-            place = F.shiftright(key, _PARITY_SHIFT)
-            mark = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-            if number is None:
-                return mark
-            here = place.bitwiseAND(192) == 64 * number
-            return F.when(here, mark).otherwise(F.lit(0).cast("long"))
+    def bit(key: Column) -> Column:
+        place = F.shiftright(key, _PARITY_SHIFT).bitwiseAND(63).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda found, key: found.bitwiseXOR(bit(key)))
-
-    short = F.size(keys) <= SHORT
-    none = F.lit(0).cast("long")
-    first = F.when(short, bits(None)).otherwise(bits(0)).alias("b0")
-    return [first, *[F.when(short, none).otherwise(bits(i)).alias(f"b{i}") for i in (1, 2, 3)]]
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda found, key: found.bitwiseXOR(bit(key)))
 
 
 def _apart(x: str, y: str) -> Column:
     """At most the number of words that only one of two lines has: the odd bits."""
+    return F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
 
-    def folded(name: str) -> Column:
-        found = F.col(f"{name}b0")
-        for number in (1, 2, 3):
-            found = found.bitwiseXOR(F.col(f"{name}b{number}"))
-        return found
 
-    wide = F.lit(0)
-    for number in range(4):
-        wide = wide + F.bit_count(F.col(f"{x}b{number}").bitwiseXOR(F.col(f"{y}b{number}")))
-    both = (F.col(f"{x}n") > SHORT) & (F.col(f"{y}n") > SHORT)
-    return F.when(both, wide).otherwise(F.bit_count(folded(x).bitwiseXOR(folded(y))))
+def _prefix(percent: int) -> Column:
+    """How many of ``n`` keys must be indexed: two similar lines share one of theirs."""
+    return F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
 
 
-def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All lines with words, stored: place, fingerprint ``h1, h2``, size, bits and prefix."""
+def indexed_lines(docs: DataFrame) -> DataFrame:
+    """All lines with words, stored: place, fingerprint ``h1, h2``, size ``n`` and sorted keys."""
     levels = rarity_levels(docs)
-    words = numbered_lines(docs).select("doc_id", "h", "line_no", "at", line_words(F.col("line")).alias("words"))
-    ranked = words.where(F.size("words") > 0).select(
-        "doc_id", "h", "line_no", "at", rarity_keys(F.col("words"), levels).alias("keys")
+    # By its characters: asking for the number of words would cut the line once more.
+    lines = numbered_lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    ranked = lines.select(
+        "doc_id", "h", "line_no", "at", rarity_keys(line_words(F.col("line")), levels).alias("keys")
     )
-    size = F.size("keys")
-    prefix = size - F.floor((size * percent + 99) / 100).cast("int") + 1
     return materialize(
         ranked.select(
-            "doc_id", "h", "line_no", "at", size.alias("n"),
-            F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
-            *parity_bits(F.col("keys")), F.slice("keys", F.lit(1), prefix).alias("prefix"),
+            "doc_id", "h", "line_no", "at", F.size("keys").alias("n"),
+            F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), "keys",
         ),
         "lines",
     )
@@ -155,27 +132,25 @@ def _fits(percent: int) -> Column:
 
 
 def class_lines(lines: DataFrame) -> DataFrame:
-    """The first line of each class, ``c, h1, h2, at, h, n, b0 to b3, prefix``, stored.
+    """The first line of each class, ``c, h1, h2, at, h, n, bits, keys``, stored.
 
     ``c`` numbers the classes in the order of their first lines.
     """
-    classes = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_classes")
-    leading = lines.join(classes.hint("shuffle_hash"), ["h1", "h2", "at"], "left_semi")
-    # Several texts may have the class at this place; all but the hash is the same for them.
-    rest = [F.first(name).alias(name) for name in ("n", *_BITS, "prefix")]
-    leading = leading.groupBy("h1", "h2", "at").agg(F.min("h").alias("h"), *rest)
+    first = F.min(F.struct("at", "h", "n", "keys")).alias("first")
+    leading = materialize(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*"), "class_leaders")
     ordered = leading.orderBy("at", "h", "h1", "h2").withColumn("c", F.monotonically_increasing_id())
-    return materialize(ordered, "class_lines")
+    return materialize(ordered.withColumn("bits", parity_bits(F.col("keys"))), "class_lines")
 
 
-def prefix_index(rows: DataFrame) -> DataFrame:
-    """``key, c, n, b0 to b3, i``: a row for each prefix word of ``class_lines``."""
-    entries = rows.select("c", "n", *_BITS, F.posexplode("prefix").alias("i", "key"))
+def prefix_index(rows: DataFrame, percent: int) -> DataFrame:
+    """``key, c, n, bits, i``: a row for each prefix word of ``class_lines``."""
+    prefix = F.slice("keys", F.lit(1), _prefix(percent))
+    entries = rows.select("c", "n", "bits", F.posexplode(prefix).alias("i", "key"))
     return entries.withColumn("i", F.col("i") + 1)
 
 
 def _side(index: DataFrame, name: str) -> DataFrame:
-    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", *_BITS, "i")])
+    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", "bits", "i")])
 
 
 def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
@@ -184,36 +159,31 @@ def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these classes are fetched."""
+def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs ``x, y`` whose keys are similar."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    wanted = rows.select("c", "at", "h").join(wanted.hint("shuffle_hash"), "c", "left_semi")
-    found = numbered_lines(docs).select("at", "h", "line").join(wanted.hint("shuffle_hash"), ["at", "h"])
-    # Rows repeated with id and text have the same line.
-    found = found.groupBy("at", "h").agg(F.first("c").alias("c"), F.first("line").alias("line"))
-    sets = materialize(found.select("c", line_words(F.col("line")).alias("words")), "line_words")
-    of_x = sets.select(F.col("c").alias("x"), F.col("words").alias("xw"))
-    of_y = sets.select(F.col("c").alias("y"), F.col("words").alias("yw"))
-    both = pairs.join(of_x, "x").join(of_y, "y")
+    sets = rows.select("c", "n", "keys").join(wanted.hint("shuffle_hash"), "c", "left_semi")
+    sets = materialize(sets, "line_words")
+    of_x = sets.select(F.col("c").alias("x"), F.col("n").alias("xn"), F.col("keys").alias("xw"))
+    of_y = sets.select(F.col("c").alias("y"), F.col("n").alias("yn"), F.col("keys").alias("yw"))
     common = F.size(F.array_intersect("xw", "yw"))
-    alike = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common")).where(
-        F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent
-    )
+    both = pairs.join(of_x, "x").join(of_y, "y").select("x", "xn", "yn", common.alias("common"))
+    alike = both.where(F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent)
     return alike.select("x").distinct()
 
 
-def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def matched_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the classes of ``class_lines`` that an earlier line of another class matches."""
-    index = prefix_index(rows)
-    first = index.groupBy("key").agg(F.min("c").alias("c"))
-    leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
-    pairs = _similar(_side(index, "x"), _side(leading, "y"), percent)
+    index = prefix_index(rows, percent)
+    entry = F.struct("c", "n", "bits", "i")
+    first = index.groupBy("key").agg(F.min(entry).alias("first")).select("key", "first.*")
+    pairs = _similar(_side(index, "x"), _side(first, "y"), percent)
     pairs = materialize(pairs, "first_pairs")
-    found = materialize(confirmed(pairs, rows, docs, percent), "first_matches")
+    found = materialize(confirmed(pairs, rows, percent), "first_matches")
     left = rows.join(found, rows["c"] == found["x"], "left_anti")
-    rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
+    rest = _similar(_side(prefix_index(left, percent), "x"), _side(index, "y"), percent)
     rest = rest.join(pairs, ["x", "y"], "left_anti")
-    more = confirmed(materialize(rest, "other_pairs"), rows, docs, percent)
+    more = confirmed(materialize(rest, "other_pairs"), rows, percent)
     return found.unionByName(more)
 
 
@@ -224,9 +194,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     under one id, or none, are ordered by place, then by the hash of the text; rows that
     repeat id and text are one document.
     """
-    lines = indexed_lines(docs, percent)
+    lines = indexed_lines(docs)
     rows = class_lines(lines)
-    matched = materialize(matched_lines(docs, rows, percent), "matched_lines")
+    matched = materialize(matched_lines(rows, percent), "matched_lines")
     first = rows.select("c", "h1", "h2", F.col("at").alias("first"), F.col("h").alias("first_h"))
     first = first.join(matched, F.col("c") == F.col("x"), "left").drop("c")
     copies = lines.select("doc_id", "h", "line_no", "at", "h1", "h2").join(first, ["h1", "h2"])

@@ -2,7 +2,9 @@
 
 import random
 
-from gridtally.llm.linededup import SHORT, line_report
+from gridtally.llm.linededup import line_report
+
+SHORT = 48
 
 
 def test_lines_around_the_sketch_widths_match_all_pairs(spark):

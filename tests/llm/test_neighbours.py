@@ -73,4 +73,4 @@ def test_few_vectors_are_reranked_and_bits_stay_packed(monkeypatch):
     true = np.argsort(-scores, axis=1)[:, :20]
     hit = sum(len(set(found.vec_id[found.query_id == i * 20]) & set(row.tolist())) for i, row in enumerate(true))
     assert hit / 6000 >= 0.999 and not made
-    assert sum(reranked) < 0.3 * 300 * 6000
+    assert sum(reranked) < 0.4 * 300 * 6000
