@@ -8,8 +8,8 @@ A line goes if an earlier line (by doc_id, null last, then place, then a hash of
 text) is similar, whether that one stays or not. Only DataFrame functions are used.
 
 Parity bits of the words bound the difference of two lines from below, so that the words
-of few pairs only are compared. Words are 63-bit keys throughout: rarity, then hash; the
-first line of each class keeps all of its keys, so texts are read but never shuffled.
+of few pairs only are fetched: the numbers of the wanted lines meet the texts once a
+round, and only these lines are cut out.
 
 Equal sets are one class from the start. Each class is compared with the earliest one
 of each prefix word first; only classes without a match so far are compared with all
@@ -105,21 +105,19 @@ def _prefix(percent: int) -> Column:
     return F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
 
 
-def indexed_lines(docs: DataFrame) -> DataFrame:
-    """All lines with words, stored: place, fingerprint ``h1, h2``, size ``n`` and sorted keys."""
+def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All lines with words, stored: place, fingerprint ``h1, h2``, size ``n``, bits and prefix."""
     levels = rarity_levels(docs)
     # By its characters: asking for the number of words would cut the line once more.
     lines = numbered_lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    ranked = lines.select(
-        "doc_id", "h", "line_no", "at", rarity_keys(line_words(F.col("line")), levels).alias("keys")
-    )
-    return materialize(
-        ranked.select(
-            "doc_id", "h", "line_no", "at", F.size("keys").alias("n"),
-            F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), "keys",
-        ),
-        "lines",
+    place = ("doc_id", "h", "line_no", "at")
+    ranked = lines.select(*place, rarity_keys(line_words(F.col("line")), levels).alias("keys"))
+    marked = ranked.select(
+        *place, F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
+        parity_bits(F.col("keys")).alias("bits"), "keys",
     )
+    prefix = F.slice("keys", F.lit(1), _prefix(percent)).alias("prefix")
+    return materialize(marked.select(*[c for c in marked.columns if c != "keys"], prefix), "lines")
 
 
 def _fits(percent: int) -> Column:
@@ -132,20 +130,19 @@ def _fits(percent: int) -> Column:
 
 
 def class_lines(lines: DataFrame) -> DataFrame:
-    """The first line of each class, ``c, h1, h2, at, h, n, bits, keys``, stored.
+    """The first line of each class, ``c, h1, h2``, its place, ``n, bits, prefix``, stored.
 
     ``c`` numbers the classes in the order of their first lines.
     """
-    first = F.min(F.struct("at", "h", "n", "keys")).alias("first")
+    first = F.min(F.struct("at", "h", "doc_id", "line_no", "n", "bits", "prefix")).alias("first")
     leading = materialize(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*"), "class_leaders")
     ordered = leading.orderBy("at", "h", "h1", "h2").withColumn("c", F.monotonically_increasing_id())
-    return materialize(ordered.withColumn("bits", parity_bits(F.col("keys"))), "class_lines")
+    return materialize(ordered, "class_lines")
 
 
-def prefix_index(rows: DataFrame, percent: int) -> DataFrame:
+def prefix_index(rows: DataFrame) -> DataFrame:
     """``key, c, n, bits, i``: a row for each prefix word of ``class_lines``."""
-    prefix = F.slice("keys", F.lit(1), _prefix(percent))
-    entries = rows.select("c", "n", "bits", F.posexplode(prefix).alias("i", "key"))
+    entries = rows.select("c", "n", "bits", F.posexplode("prefix").alias("i", "key"))
     return entries.withColumn("i", F.col("i") + 1)
 
 
@@ -159,31 +156,46 @@ def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose keys are similar."""
+def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``c, words``, stored: the words of the first lines of ``classes`` (rows of ``class_lines``)."""
+    marks = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line_no", "c")).alias("marks"))
+    marks = marks.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "marks").hint("shuffle_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    met = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    line = F.split("text", "\n")
+    cut = met.select(F.explode(F.transform("marks", lambda m: F.struct(m["c"], F.get(line, m["line_no"]).alias("line")))).alias("m"))
+    # Rows repeated with id and text have the same line.
+    once = cut.groupBy("m.c").agg(F.first("m.line").alias("line"))
+    return materialize(once.select("c", line_words(F.col("line")).alias("words")), "line_words")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these classes are fetched."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    sets = rows.select("c", "n", "keys").join(wanted.hint("shuffle_hash"), "c", "left_semi")
-    sets = materialize(sets, "line_words")
-    of_x = sets.select(F.col("c").alias("x"), F.col("n").alias("xn"), F.col("keys").alias("xw"))
-    of_y = sets.select(F.col("c").alias("y"), F.col("n").alias("yn"), F.col("keys").alias("yw"))
+    classes = rows.select("c", "doc_id", "h", "line_no").join(wanted.hint("shuffle_hash"), "c", "left_semi")
+    sets = fetched_words(classes, docs)
+    of_x = sets.select(F.col("c").alias("x"), F.col("words").alias("xw"))
+    of_y = sets.select(F.col("c").alias("y"), F.col("words").alias("yw"))
+    both = pairs.join(of_x, "x").join(of_y, "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    both = pairs.join(of_x, "x").join(of_y, "y").select("x", "xn", "yn", common.alias("common"))
-    alike = both.where(F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent)
+    alike = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common")).where(
+        F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent
+    )
     return alike.select("x").distinct()
 
 
-def matched_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the classes of ``class_lines`` that an earlier line of another class matches."""
-    index = prefix_index(rows, percent)
+    index = prefix_index(rows)
     entry = F.struct("c", "n", "bits", "i")
     first = index.groupBy("key").agg(F.min(entry).alias("first")).select("key", "first.*")
     pairs = _similar(_side(index, "x"), _side(first, "y"), percent)
     pairs = materialize(pairs, "first_pairs")
-    found = materialize(confirmed(pairs, rows, percent), "first_matches")
+    found = materialize(confirmed(pairs, rows, docs, percent), "first_matches")
     left = rows.join(found, rows["c"] == found["x"], "left_anti")
-    rest = _similar(_side(prefix_index(left, percent), "x"), _side(index, "y"), percent)
+    rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
     rest = rest.join(pairs, ["x", "y"], "left_anti")
-    more = confirmed(materialize(rest, "other_pairs"), rows, percent)
+    more = confirmed(materialize(rest, "other_pairs"), rows, docs, percent)
     return found.unionByName(more)
 
 
@@ -194,9 +206,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     under one id, or none, are ordered by place, then by the hash of the text; rows that
     repeat id and text are one document.
     """
-    lines = indexed_lines(docs)
+    lines = indexed_lines(docs, percent)
     rows = class_lines(lines)
-    matched = materialize(matched_lines(rows, percent), "matched_lines")
+    matched = materialize(matched_lines(docs, rows, percent), "matched_lines")
     first = rows.select("c", "h1", "h2", F.col("at").alias("first"), F.col("h").alias("first_h"))
     first = first.join(matched, F.col("c") == F.col("x"), "left").drop("c")
     copies = lines.select("doc_id", "h", "line_no", "at", "h1", "h2").join(first, ["h1", "h2"])
