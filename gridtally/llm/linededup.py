@@ -34,12 +34,16 @@ _PARITY_SHIFT = 24
 _LAST = 9223372036854775807
 
 
-def line_words(line: Column) -> Column:
-    """The lower-cased words of a line, without repeats; words are what white space parts."""
+def _parts(line: Column) -> Column:
+    """The lower-cased words of a line, and empty ones where white space stands together."""
     low = F.lower(line)
     odd = low.rlike(r"[\x09-\x0D]")
-    parts = F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
-    return F.array_remove(F.array_distinct(parts), "")
+    return F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
+
+
+def line_words(line: Column) -> Column:
+    """The lower-cased words of a line, without repeats; words are what white space parts."""
+    return F.array_remove(F.array_distinct(_parts(line)), "")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def _bucket(number: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """The level of each bucket, a byte for each: the driver gets BUCKETS small rows at most."""
-    word = F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("word")
+    word = F.explode(F.split(F.lower("text"), r" |\n")).alias("word")
     counts = docs.select(word).groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2("n") * STEPS), F.lit(MOST)).cast("int")
     levels = bytearray(BUCKETS)
@@ -72,8 +76,8 @@ def rarity_levels(docs: DataFrame) -> bytes:
     return bytes(levels)
 
 
-def rarity_keys(words: Column, levels: bytes) -> Column:
-    """The words as numbers that sort from rare to frequent, equal for equal words."""
+def rarity_keys(line: Column, levels: bytes) -> Column:
+    """The words of a line as numbers that sort from rare to frequent, equal for equal words."""
     table = F.lit(levels)
 
     def key(number: Column) -> Column:
@@ -82,7 +86,9 @@ def rarity_keys(words: Column, levels: bytes) -> Column:
         low = number.bitwiseAND((1 << _LEVEL_BITS) - 1)
         return F.shiftleft(level.cast("long"), _LEVEL_BITS) + low
 
-    return F.sort_array(F.transform(F.transform(words, lambda word: F.xxhash64(word)), key))
+    # Numbers are told apart faster than words.
+    numbers = F.array_distinct(F.transform(_parts(line), lambda word: F.xxhash64(word)))
+    return F.sort_array(F.transform(F.array_except(numbers, F.array(F.xxhash64(F.lit("")))), key))
 
 
 def parity_bits(keys: Column) -> Column:
@@ -111,7 +117,7 @@ def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # By its characters: asking for the number of words would cut the line once more.
     lines = numbered_lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     place = ("doc_id", "h", "line_no", "at")
-    ranked = lines.select(*place, rarity_keys(line_words(F.col("line")), levels).alias("keys"))
+    ranked = lines.select(*place, rarity_keys(F.col("line"), levels).alias("keys"))
     marked = ranked.select(
         *place, F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
         parity_bits(F.col("keys")).alias("bits"), "keys",
@@ -187,9 +193,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the classes of ``class_lines`` that an earlier line of another class matches."""
     index = prefix_index(rows)
-    entry = F.struct("c", "n", "bits", "i")
-    first = index.groupBy("key").agg(F.min(entry).alias("first")).select("key", "first.*")
-    pairs = _similar(_side(index, "x"), _side(first, "y"), percent)
+    first = index.groupBy("key").agg(F.min("c").alias("c"))
+    leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
+    pairs = _similar(_side(index, "x"), _side(leading, "y"), percent)
     pairs = materialize(pairs, "first_pairs")
     found = materialize(confirmed(pairs, rows, docs, percent), "first_matches")
     left = rows.join(found, rows["c"] == found["x"], "left_anti")
