@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridtally.session import materialize
+from gridtally.session import materialize, new_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Runs of anything but these are words: white space, or all ASCII but letters and digits.
@@ -24,6 +24,19 @@ def word_count(text: Column, word: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0)).cast("long")
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, stored, and its folder, for tables that are forgotten before the job ends."""
+    folder = new_folder(df.sparkSession, name)
+    return materialize(df, name, folder), folder
+
+
+def forget(df: DataFrame, folder: str) -> None:
+    """Remove a stored table that only stored tables were made from."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gridtally.llm.common import forget, written
 from gridtally.session import materialize
 
 PERCENT = 80
@@ -32,6 +33,7 @@ _LEVEL_BITS = 57
 # Parity bits are chosen by the bits of a word's hash that its bucket does not use.
 _PARITY_SHIFT = 24
 _LAST = 9223372036854775807
+_PLACE = ("doc_id", "h", "line_no", "at")
 
 
 def _parts(line: Column) -> Column:
@@ -112,18 +114,17 @@ def _prefix(percent: int) -> Column:
 
 
 def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All lines with words, stored: place, fingerprint ``h1, h2``, size ``n``, bits and prefix."""
+    """All lines with words: place, fingerprint ``h1, h2``, size ``n``, bits and prefix."""
     levels = rarity_levels(docs)
     # By its characters: asking for the number of words would cut the line once more.
     lines = numbered_lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    place = ("doc_id", "h", "line_no", "at")
-    ranked = lines.select(*place, rarity_keys(F.col("line"), levels).alias("keys"))
+    ranked = lines.select(*_PLACE, rarity_keys(F.col("line"), levels).alias("keys"))
     marked = ranked.select(
-        *place, F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
+        *_PLACE, F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
         parity_bits(F.col("keys")).alias("bits"), "keys",
     )
     prefix = F.slice("keys", F.lit(1), _prefix(percent)).alias("prefix")
-    return materialize(marked.select(*[c for c in marked.columns if c != "keys"], prefix), "lines")
+    return marked.select(*[c for c in marked.columns if c != "keys"], prefix)
 
 
 def _fits(percent: int) -> Column:
@@ -135,19 +136,25 @@ def _fits(percent: int) -> Column:
     return (F.col("yc") < F.col("xc")) & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
 
 
-def class_lines(lines: DataFrame) -> DataFrame:
-    """The first line of each class, ``c, h1, h2``, its place, ``n, bits, prefix``, stored.
+def lines_and_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The places and fingerprints of all lines, and the first line of each class, both stored.
 
-    ``c`` numbers the classes in the order of their first lines.
+    The second has ``c, h1, h2``, place, ``n, bits, prefix``; ``c`` numbers the classes in
+    the order of their first lines. Prefixes of other lines are not kept.
     """
+    lines, folder = written(indexed_lines(docs, percent), "lines")
     first = F.min(F.struct("at", "h", "doc_id", "line_no", "n", "bits", "prefix")).alias("first")
-    leading = materialize(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*"), "class_leaders")
+    leading, leaders = written(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*"), "class_leaders")
+    places = materialize(lines.select(*_PLACE, "h1", "h2"), "line_places")
+    forget(lines, folder)
     ordered = leading.orderBy("at", "h", "h1", "h2").withColumn("c", F.monotonically_increasing_id())
-    return materialize(ordered, "class_lines")
+    rows = materialize(ordered, "class_lines")
+    forget(leading, leaders)
+    return places, rows
 
 
 def prefix_index(rows: DataFrame) -> DataFrame:
-    """``key, c, n, bits, i``: a row for each prefix word of ``class_lines``."""
+    """``key, c, n, bits, i``: a row for each prefix word of the classes."""
     entries = rows.select("c", "n", "bits", F.posexplode("prefix").alias("i", "key"))
     return entries.withColumn("i", F.col("i") + 1)
 
@@ -163,7 +170,7 @@ def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
 
 def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``c, words``, stored: the words of the first lines of ``classes`` (rows of ``class_lines``)."""
+    """``c, words``, stored: the words of the first lines of ``classes`` (see ``lines_and_classes``)."""
     marks = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line_no", "c")).alias("marks"))
     marks = marks.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "marks").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
@@ -191,7 +198,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
 
 
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``x``: the classes of ``class_lines`` that an earlier line of another class matches."""
+    """``x``: the classes that an earlier line of another class matches."""
     index = prefix_index(rows)
     first = index.groupBy("key").agg(F.min("c").alias("c"))
     leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
@@ -212,8 +219,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     under one id, or none, are ordered by place, then by the hash of the text; rows that
     repeat id and text are one document.
     """
-    lines = indexed_lines(docs, percent)
-    rows = class_lines(lines)
+    lines, rows = lines_and_classes(docs, percent)
     matched = materialize(matched_lines(docs, rows, percent), "matched_lines")
     first = rows.select("c", "h1", "h2", F.col("at").alias("first"), F.col("h").alias("first_h"))
     first = first.join(matched, F.col("c") == F.col("x"), "left").drop("c")
