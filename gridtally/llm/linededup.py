@@ -43,9 +43,11 @@ def _parts(line: Column) -> Column:
     return F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
 
 
-def line_words(line: Column) -> Column:
-    """The lower-cased words of a line, without repeats; words are what white space parts."""
-    return F.array_remove(F.array_distinct(_parts(line)), "")
+def word_numbers(line: Column) -> Column:
+    """64 bits for each lower-cased word of a line, without repeats; words are what white space parts."""
+    # Numbers are told apart faster than words, and are shorter.
+    numbers = F.array_distinct(F.transform(_parts(line), lambda word: F.xxhash64(word)))
+    return F.array_except(numbers, F.array(F.xxhash64(F.lit(""))))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -88,9 +90,7 @@ def rarity_keys(line: Column, levels: bytes) -> Column:
         low = number.bitwiseAND((1 << _LEVEL_BITS) - 1)
         return F.shiftleft(level.cast("long"), _LEVEL_BITS) + low
 
-    # Numbers are told apart faster than words.
-    numbers = F.array_distinct(F.transform(_parts(line), lambda word: F.xxhash64(word)))
-    return F.sort_array(F.transform(F.array_except(numbers, F.array(F.xxhash64(F.lit("")))), key))
+    return F.sort_array(F.transform(word_numbers(line), key))
 
 
 def parity_bits(keys: Column) -> Column:
@@ -170,7 +170,7 @@ def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
 
 def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``c, words``, stored: the words of the first lines of ``classes`` (see ``lines_and_classes``)."""
+    """``c, words``: the numbers of the words of the first lines of ``classes``."""
     marks = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line_no", "c")).alias("marks"))
     marks = marks.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "marks").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
@@ -179,14 +179,14 @@ def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
     cut = met.select(F.explode(F.transform("marks", lambda m: F.struct(m["c"], F.get(line, m["line_no"]).alias("line")))).alias("m"))
     # Rows repeated with id and text have the same line.
     once = cut.groupBy("m.c").agg(F.first("m.line").alias("line"))
-    return materialize(once.select("c", line_words(F.col("line")).alias("words")), "line_words")
+    return once.select("c", word_numbers(F.col("line")).alias("words"))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose words are similar; only words of these classes are fetched."""
+    """The ``x`` of pairs ``x, y`` whose words are similar, stored; only words of these are fetched."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
     classes = rows.select("c", "doc_id", "h", "line_no").join(wanted.hint("shuffle_hash"), "c", "left_semi")
-    sets = fetched_words(classes, docs)
+    sets, folder = written(fetched_words(classes, docs), "line_words")
     of_x = sets.select(F.col("c").alias("x"), F.col("words").alias("xw"))
     of_y = sets.select(F.col("c").alias("y"), F.col("words").alias("yw"))
     both = pairs.join(of_x, "x").join(of_y, "y")
@@ -194,7 +194,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
     alike = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common")).where(
         F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent
     )
-    return alike.select("x").distinct()
+    found = materialize(alike.select("x").distinct(), "matches")
+    forget(sets, folder)
+    return found
 
 
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -202,14 +204,12 @@ def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> D
     index = prefix_index(rows)
     first = index.groupBy("key").agg(F.min("c").alias("c"))
     leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
-    pairs = _similar(_side(index, "x"), _side(leading, "y"), percent)
-    pairs = materialize(pairs, "first_pairs")
-    found = materialize(confirmed(pairs, rows, docs, percent), "first_matches")
+    pairs = materialize(_similar(_side(index, "x"), _side(leading, "y"), percent), "first_pairs")
+    found = confirmed(pairs, rows, docs, percent)
     left = rows.join(found, rows["c"] == found["x"], "left_anti")
     rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
-    rest = rest.join(pairs, ["x", "y"], "left_anti")
-    more = confirmed(materialize(rest, "other_pairs"), rows, docs, percent)
-    return found.unionByName(more)
+    rest = materialize(rest.join(pairs, ["x", "y"], "left_anti"), "other_pairs")
+    return found.unionByName(confirmed(rest, rows, docs, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,7 +220,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeat id and text are one document.
     """
     lines, rows = lines_and_classes(docs, percent)
-    matched = materialize(matched_lines(docs, rows, percent), "matched_lines")
+    matched = matched_lines(docs, rows, percent)
     first = rows.select("c", "h1", "h2", F.col("at").alias("first"), F.col("h").alias("first_h"))
     first = first.join(matched, F.col("c") == F.col("x"), "left").drop("c")
     copies = lines.select("doc_id", "h", "line_no", "at", "h1", "h2").join(first, ["h1", "h2"])
