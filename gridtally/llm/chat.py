@@ -44,8 +44,9 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "node", parent
 
     ``up`` is the distance to the leaf. Round k joins what is known with the ancestors
     at distance 2^k, so paths of length n take log2(n) rounds; each round is stored. A
-    message whose parent is absent counts as a root. Cycles are never reached from a
-    root and are left out.
+    message whose parent is absent counts as a root. Messages that answer each other in
+    a circle, and all that answer these, lead to no root and are left out: a walk longer
+    than its tree has messages is one of them, so rounds end there.
     """
     nodes = messages.select(F.col(tree).alias("tree_id"), F.col(node).alias("node"), F.col(parent).alias("parent"))
     links = nodes.where("parent IS NOT NULL")
@@ -58,6 +59,8 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "node", parent
         leaves.select("tree_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths_0"
     )
     step, total = 1, found.count()
+    # A row per tree, of which the driver gets the largest number.
+    most = nodes.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     while True:
         a = ancestors.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), "anc")
         higher = found.join(a, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
@@ -66,6 +69,9 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "node", parent
         step, before, total = step * 2, total, found.count()
         if total == before:
             return found
+        if step > most:
+            endless = found.where(F.col("up") >= most).select("tree_id", "leaf").distinct()
+            return found.join(endless, _same("tree_id", "leaf", found, endless), "left_anti")
         b = ancestors.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("anc").alias("higher"))
         twice = ancestors.join(b, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("anc") == F.col("n")))
         ancestors = materialize(twice.select("tree_id", "node", F.col("higher").alias("anc")), f"ancestors_{step}")
@@ -122,31 +128,27 @@ def format_paths(turns: DataFrame) -> DataFrame:
         F.when(F.col("role") == "user", USER_CLOSE).when(F.col("role") == "system", SYSTEM_CLOSE)
         .when(F.col("role") == "assistant", END).otherwise(ROLE_END)
     )
-    marked = turns.select(
+    parts = turns.select(
+        "tree_id", "path", "turn", head.alias("head"), safe.alias("safe"), tail.alias("tail"),
+        (F.col("role") == "assistant").alias("trained"),
+    )
+    # Where a turn begins is a running sum, so that long conversations take linear time.
+    before = Window.partitionBy("tree_id", "path").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.length("head") + F.length("safe") + F.length("tail")
+    begin = (F.coalesce(F.sum(length).over(before), F.lit(0)) + len(START) + F.length("head")).cast("int")
+    marked = parts.withColumn("start", begin).select(
         "tree_id", "path",
-        F.struct("turn", head.alias("head"), safe.alias("safe"), tail.alias("tail"),
-                 (F.col("role") == "assistant").alias("trained")).alias("t"),
+        F.struct(
+            "turn", F.concat("head", "safe", "tail").alias("piece"), "trained",
+            F.struct("start", (F.col("start") + F.length("safe")).cast("int").alias("end")).alias("span"),
+        ).alias("t"),
     )
     grouped = marked.groupBy("tree_id", "path").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    piece = F.transform("turns", lambda t: F.concat(t["head"], t["safe"], t["tail"]))
-    start = F.struct(
-        F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
-    )
-
-    def add(state: Column, t: Column) -> Column:
-        begin = state["at"] + F.length(t["head"])
-        end = begin + F.length(t["safe"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        return F.struct(
-            (end + F.length(t["tail"])).alias("at"),
-            F.concat(state["spans"], F.when(t["trained"], span).otherwise(none)).alias("spans"),
-        )
-
+    learnt = F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: t["span"])
     return grouped.select(
         "tree_id", "path", F.size("turns").cast("long").alias("n_turns"),
-        F.concat(F.lit(START), F.array_join(piece, "")).alias("formatted"),
-        F.aggregate("turns", start, add, lambda s: s["spans"]).alias("loss"),
+        F.concat(F.lit(START), F.array_join(F.transform("turns", lambda t: t["piece"]), "")).alias("formatted"),
+        learnt.alias("loss"),
     )
 
 

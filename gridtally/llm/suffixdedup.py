@@ -136,6 +136,24 @@ class Segments:
         out[first] = True
         return out
 
+    def leads(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each segment is the one of its content to be sent, and whether it repeats that.
+
+        The earliest by id and place is sent. Of texts that share an id in one chunk any
+        may have it; segments at the same id and place repeat nothing.
+        """
+        first = self.first_of_content()
+        if not (ids[1:] == ids[:-1]).any():
+            return first, ~first
+        begins = np.concatenate([[0], self.ends[:-1]])
+        owner, place = ids[self.doc], self.start - begins[self.doc]
+        order = np.lexsort((place, owner, self.content))
+        new = np.flatnonzero(np.diff(self.content[order], prepend=~self.content[order[:1]]) != 0)
+        lead = np.empty(len(order), dtype=np.int64)
+        lead[order] = order[np.repeat(new, np.diff(np.append(new, len(order))))]
+        repeats = (owner != owner[lead]) | (place != place[lead])
+        return lead == np.arange(len(lead)), repeats
+
 
 def _unpacked(row: tuple) -> tuple[bytes, list[int], list[int]]:
     blob, ids, ends = row
@@ -187,7 +205,8 @@ def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
                 order, data, ends = _ordered(ids, data, ends)
                 found = Segments(data, ends, min_bytes)
                 wanted = np.isin(found.anchor, np.asarray(repeated, dtype=np.int64).view(np.uint64))
-                at = np.flatnonzero(wanted & found.first_of_content())
+                first, _ = found.leads(np.asarray(ids, dtype=np.int64)[order])
+                at = np.flatnonzero(wanted & first)
                 begins = np.concatenate([[0], found.ends[:-1]])
                 texts = [data[s:e] for s, e in zip(found.start[at].tolist(), found.end[at].tolist())]
                 ids_of = np.asarray(ids, dtype=np.int64)[order][found.doc[at]]
@@ -348,25 +367,15 @@ def _kept(judged: DataFrame, min_bytes: int, texts: bool) -> DataFrame:
                 data, _, _ = _unpacked((blob, ids, ends))
                 order, data, ends = _ordered(ids, data, ends)
                 found = Segments(data, ends, min_bytes)
-                first = found.first_of_content()
-                begin, stop = [found.start[~first]], [found.end[~first]]
                 # Later segments of a content in one chunk repeat the first; rows with one id and place do not.
                 values = np.asarray(ids, dtype=np.int64)[order]
+                _, repeats = found.leads(values)
                 begins = np.concatenate([[0], found.ends[:-1]])
-                if (values[1:] == values[:-1]).any():
-                    later = np.flatnonzero(~first)
-                    place = found.start - begins[found.doc]
-                    uniq, index, inverse = np.unique(found.content, return_index=True, return_inverse=True)
-                    lead = index[inverse][later]
-                    true = (values[found.doc[later]] != values[found.doc[lead]]) | (place[later] != place[lead])
-                    begin, stop = [found.start[later[true]]], [found.end[later[true]]]
-                    twins = later[~true]
-                else:
-                    twins = np.zeros(0, dtype=np.int64)
+                begin, stop = [found.start[repeats]], [found.end[repeats]]
                 decided = {v["content"]: v["mask"] for v in verdicts or ()}
                 if decided:
                     of = np.fromiter(decided, dtype=np.int64, count=len(decided)).view(np.uint64)
-                    led = np.concatenate([np.flatnonzero(first), twins])
+                    led = np.flatnonzero(~repeats)
                     for i in led[np.isin(found.content[led], of)].tolist():
                         mask = decided[int(found.content[i].view(np.int64))]
                         low, high = int(found.start[i]), int(found.end[i])

@@ -88,3 +88,18 @@ def test_no_group_is_larger_than_the_bound(spark, seed, monkeypatch):
     result = found(suffixdedup.remove_repeats(docs, texts=False))
     assert len(largest) == 1 and largest[0] <= most
     assert result == plain(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("size", [10**6, 700])
+def test_repeated_and_missing_ids(spark, seed, size, monkeypatch):
+    """Also with all rows of one id in one chunk, and with such spread over chunks."""
+    rng = random.Random(seed)
+    passages = ["".join(rng.choices("abc d", k=rng.choice((100, 140, 260)))) for _ in range(4)]
+    rows = [
+        (rng.choice((None, 1, 1, 2, number)), "".join(rng.choice([*passages, "xy", "z" * 30]) for _ in range(rng.randrange(1, 5))))
+        for number in range(12)
+    ]
+    monkeypatch.setattr(suffixdedup, "CHUNK_BYTES", size)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert found(suffixdedup.remove_repeats(docs, texts=False)) == plain(rows)
