@@ -182,21 +182,62 @@ def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return once.select("c", word_numbers(F.col("line")).alias("words"))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of pairs ``x, y`` whose words are similar, stored; only words of these are fetched."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    classes = rows.select("c", "doc_id", "h", "line_no").join(wanted.hint("shuffle_hash"), "c", "left_semi")
-    sets, folder = written(fetched_words(classes, docs), "line_words")
+def _sketch(words: Column) -> list[Column]:
+    """``s0`` to ``s3``: 256 parity bits of the word numbers of a line."""
+
+    def bits(number: int) -> Column:
+        def bit(word: Column) -> Column:
+            place = F.shiftright(word, _PARITY_SHIFT)
+            mark = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+            return F.when(place.bitwiseAND(192) == 64 * number, mark).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(words, F.lit(0).cast("long"), lambda found, word: found.bitwiseXOR(bit(word)))
+
+    return [bits(i).alias(f"s{i}") for i in range(4)]
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``x, y, odd``: pairs whose sketches differ in few enough bits; most others go here."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("c").alias(name), F.size("words").alias(f"{name}n"), *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(4)]
+        )
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    odd = F.lit(0)
+    for i in range(4):
+        odd = odd + F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}")))
+    near = both.select("x", "y", "xn", "yn", odd.alias("odd"))
+    return near.where(F.col("odd") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y", "odd")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs whose words are similar."""
     of_x = sets.select(F.col("c").alias("x"), F.col("words").alias("xw"))
     of_y = sets.select(F.col("c").alias("y"), F.col("words").alias("yw"))
-    both = pairs.join(of_x, "x").join(of_y, "y")
+    both = pairs.select("x", "y").join(of_x, "x").join(of_y, "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    alike = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common")).where(
-        F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent
-    )
-    found = materialize(alike.select("x").distinct(), "matches")
+    sizes = both.select("x", F.size("xw").alias("xn"), F.size("yw").alias("yn"), common.alias("common"))
+    return sizes.where(F.col("common") * 100 >= (F.col("xn") + F.col("yn") - F.col("common")) * percent).select("x").distinct()
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The ``x`` of pairs ``x, y`` whose words are similar, stored; only words of these are fetched.
+
+    Pairs carry sketches first. Words travel with the nearest pair of each ``x``, and
+    with all of its pairs only if that one is not similar.
+    """
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    classes = rows.select("c", "doc_id", "h", "line_no").join(wanted.hint("shuffle_hash"), "c", "left_semi")
+    sets, folder = written(fetched_words(classes, docs).select("*", *_sketch(F.col("words"))), "line_words")
+    near, pairs_folder = written(_near(pairs, sets, percent), "near_pairs")
+    nearest = near.groupBy("x").agg(F.min(F.struct("odd", "y")).alias("best")).select("x", "best.y")
+    found = materialize(_alike(nearest, sets, percent), "matches")
+    more = materialize(_alike(near.join(found, "x", "left_anti"), sets, percent), "matches")
+    forget(near, pairs_folder)
     forget(sets, folder)
-    return found
+    return found.unionByName(more)
 
 
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
