@@ -2,7 +2,7 @@
 
 Sizes are summed per source, targets follow from the weights, and each document is
 emitted floor(rate) times plus one further time with the fraction as probability,
-drawn from a hash of the seed and its id. Only the small table of sources is shuffled.
+drawn from a hash of the seed, its id and its text. Only the small table of sources is shuffled.
 """
 
 from __future__ import annotations
@@ -22,9 +22,14 @@ SEED = "mix"
 _DIGITS = 13
 
 
-def chance(seed: str, doc_id: Column) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of ``seed:doc_id``."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def text_key(text: Column) -> Column:
+    """What tells texts apart in a draw; null is as empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def chance(seed: str, doc_id: Column, key: Column) -> Column:
+    """A number in [0, 1) from 52 bits of the MD5 of ``seed:doc_id:key``."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), key)
     bits = F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10)
     return bits.cast("double") / F.lit(float(16**_DIGITS))
 
@@ -69,19 +74,28 @@ def source_targets(
     return table.select("source", "source_size", "weight", target.alias("target"), rate.alias("rate"))
 
 
-def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
+def copies(rate: Column, doc_id: Column, key: Column, seed: str = SEED) -> Column:
     whole = F.floor(rate)
-    return (whole + (chance(seed, doc_id) < rate - whole).cast("long")).cast("long")
+    return (whole + (chance(seed, doc_id, key) < rate - whole).cast("long")).cast("long")
 
 
-def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+def with_copies(
+    docs: DataFrame,
+    targets: DataFrame,
+    seed: str = SEED,
+    size: Column | None = None,
+    key: Column | None = None,
+) -> DataFrame:
     """Rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
 
-    Null sources match the null source. Rows with one id share a draw.
+    ``size`` and ``key`` (of the draw) are computed from ``text`` unless given; columns of
+    ``docs`` with the four names are replaced. Null sources match the null source. Rows
+    without an id draw by their texts; rows that share id and text share a draw.
     """
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    size = F.col("size") if "size" in docs.columns else word_count(F.col("text"), SPACED_WORD)
-    left = docs.select(F.struct(*columns).alias("row"), size.alias("size"))
+    size = word_count(F.col("text"), SPACED_WORD) if size is None else size
+    key = text_key(F.col("text")) if key is None else key
+    left = docs.select(F.struct(*columns).alias("row"), size.alias("size"), key.alias("key"))
     right = targets.select(F.struct("*").alias("of"))
     joined = left.join(right, F.col("row.source").eqNullSafe(F.col("of.source")))
     return joined.select(
@@ -89,7 +103,7 @@ def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
         "size",
         "of.source_size",
         "of.target",
-        copies(F.col("of.rate"), F.col("row.doc_id"), seed).alias("copies"),
+        copies(F.col("of.rate"), F.col("row.doc_id"), F.col("key"), seed).alias("copies"),
     )
 
 
@@ -106,9 +120,10 @@ def mix_sources(
     sizes = docs.select("source", word_count(F.col("text"), SPACED_WORD).alias("size"))
     targets = source_targets(sizes, weights, budget)
     rows = docs.select(F.struct(*columns).alias("row")).select(
-        "row", F.col("row.source").alias("source"), F.col("row.doc_id").alias("doc_id"), F.lit(0).alias("size")
+        "row", F.col("row.source").alias("source"), F.col("row.doc_id").alias("doc_id")
     )
-    taken = with_copies(rows, targets, seed).where(F.col("copies") > 0)
+    key = text_key(F.col("row.text"))
+    taken = with_copies(rows, targets, seed, size=F.lit(0), key=key).where(F.col("copies") > 0)
     numbers = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return taken.select("row", numbers.alias("copy")).select(
         *[F.col("row").getField(c).alias(c) for c in columns], "copy"
@@ -118,8 +133,8 @@ def mix_sources(
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = word_count(F.col("text"), SPACED_WORD).alias("size")
-    sizes = materialize(docs.select("doc_id", "source", size), "sizes")
-    mixed = with_copies(sizes, source_targets(sizes))
+    sizes = materialize(docs.select("doc_id", "source", size, text_key(F.col("text")).alias("key")), "sizes")
+    mixed = with_copies(sizes, source_targets(sizes), size=F.col("size"), key=F.col("key"))
     return mixed.select(
         "doc_id", "source", "size", "source_size", "target", "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
@@ -128,7 +143,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH sizes AS (
-    SELECT doc_id, source,
+    SELECT doc_id, source, md5(coalesce(text, '')) AS key,
            CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
     FROM documents
 ), per AS (
@@ -155,7 +170,7 @@ WITH sizes AS (
 ), taken AS (
     SELECT s.doc_id, s.source, s.size, r.source_size, r.target,
            CAST(floor(rate) AS BIGINT) + CAST(
-             CAST('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13) AS BIGINT)
+             CAST('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.key), 1, 13) AS BIGINT)
              / 4503599627370496.0::DOUBLE < rate - floor(rate) AS BIGINT) AS copies
     FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 )

@@ -84,7 +84,8 @@ def mixed(docs):
     for doc in docs:
         s = doc[3]
         rate = (2 * total[s] if s in capped else level * weight[s]) / total[s] if total[s] else 0
-        draw = int(hashlib.md5(f"mix:{doc[0]}".encode()).hexdigest()[:13], 16) / 16**13
+        key = hashlib.md5((doc[1] or "").encode()).hexdigest()
+        draw = int(hashlib.md5(f"mix:{doc[0]}:{key}".encode()).hexdigest()[:13], 16) / 16**13
         copies = int(rate) + (draw < rate - int(rate))
         rows += [(*doc, copy) for copy in range(1, copies + 1)]
     return rows
