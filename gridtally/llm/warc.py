@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from gridtally.session import materialize, new_folder
 MIN_REVISIT_BYTES = 0
 RANGE_GAP = 64 * 1024
 RANGE_BYTES = 4 * 1024 * 1024
+# Archive bytes that one task reads.
+TASK_BYTES = 16 * 1024 * 1024
 DATE = "1970-01-01T00:00:00Z"
 NO_PAYLOAD = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
@@ -112,6 +115,14 @@ def gzip_member(data: bytes) -> bytes:
 
 
 def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of ``folder``, by pyarrow: a path, or a URI of file, s3, gs, abfs or hdfs.
+
+    ``s3a`` and ``s3n``, as Hadoop calls it, are the same store as ``s3``. ``hdfs`` needs
+    the native library of Hadoop on all executors.
+    """
+    scheme, _, rest = folder.partition("://")
+    if scheme in ("s3a", "s3n"):
+        folder = f"s3://{rest}"
     if "://" in folder or folder.startswith("file:"):
         return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
     return fs.LocalFileSystem(), folder
@@ -123,20 +134,21 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVIS
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least
     ``min_revisit_bytes`` bytes the one with the smallest page_id is a response and the
     others are revisits of it. Rows that share that page_id, and rows without an id
-    where no row has one, are all responses. Extra columns are ignored; no rows give an
+    where no row has one, are all responses. Payloads are equal if length and SHA-256 are:
+    the digest in the records, SHA-1, has known collisions. Extra columns are ignored; no rows give an
     empty index.
     """
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    size = F.octet_length(html)
-    plain = pages.select("page_id", F.sha1(html.cast("binary")).alias("sha"), size.alias("size"))
+    size, sha = F.octet_length(html), F.sha2(html.cast("binary"), 256)
+    keyed = pages.select("page_id", "url", html.alias("html"), sha.alias("sha"), size.alias("size"))
+    plain = pages.select("page_id", sha.alias("sha"), size.alias("size"))
     repeated = (
         plain.where(F.col("size") >= min_revisit_bytes)
-        .groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL").drop("n")
     )
     firsts = materialize(repeated, "repeated_payloads")
-    joined = keyed.join(firsts, "sha", "left")
+    joined = keyed.join(firsts, ["sha", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"))
 
@@ -176,15 +188,25 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
-def read_warc(index: DataFrame, folder: str, gap: int = RANGE_GAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_warc(
+    index: DataFrame,
+    folder: str,
+    gap: int = RANGE_GAP,
+    range_bytes: int = RANGE_BYTES,
+    task_bytes: int = TASK_BYTES,
+) -> DataFrame:
     """The records of the selected ``index`` rows (RECORD), payloads verified.
 
     Rows are dealt by file and stretch of file and sorted by offset; records closer than
-    ``gap`` are read in one range of about ``range_bytes`` at most.
+    ``gap`` are read in one range of about ``range_bytes`` at most. There is a task for
+    every ``task_bytes`` of the selected records: the index itself is small, and by its
+    size alone adaptive execution would deal all archives to one task.
     """
-    stretch = F.floor(F.col("offset") / (8 * range_bytes))
+    selected_bytes = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(math.ceil(selected_bytes / task_bytes), 1)
+    stretch = F.floor(F.col("offset") / min(2 * range_bytes, task_bytes))
     selected = index.select("file", "offset", "length", stretch.alias("stretch"))
-    dealt = selected.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    dealt = selected.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _file_system(folder)
