@@ -9,6 +9,7 @@ that end with the whole phrase.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -60,20 +61,21 @@ class Automaton:
         self.sizes = [len(words) for words in lists]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[dict[int, int]] = [{}]
+        ends: list[dict[int, set[int]]] = [{}]
         for template, words in enumerate(lists):
             state = 0
             for place, word in enumerate(words):
                 state = self._extend(state, number[word], ends)
-                ends[state].setdefault(template, place)
+                ends[state].setdefault(template, set()).add(place)
         # A state's string is a suffix of those whose links lead to it.
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             up = ends[self.link[state]]
-            for template, place in ends[state].items():
-                up[template] = min(place, up.get(template, place))
+            for template, places in ends[state].items():
+                up.setdefault(template, set()).update(places)
         self.places = [
-            {t: place for t, place in found.items() if t < len(self.labels)} for found in ends
+            {t: sorted(places) for t, places in found.items() if t < len(self.labels)} for found in ends
         ]
+        self.least = min([LEAST_MATCH, *[size for _, size in self.phrases]])
         whole: list[list[int]] = [[] for _ in self.length]
         for phrase in range(len(phrases)):
             state = 0
@@ -87,14 +89,14 @@ class Automaton:
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
 
-    def _new(self, length: int, following: dict[int, int], link: int, ends: list[dict[int, int]]) -> int:
+    def _new(self, length: int, following: dict[int, int], link: int, ends: list[dict[int, set[int]]]) -> int:
         self.next.append(following)
         self.link.append(link)
         self.length.append(length)
         ends.append({})
         return len(self.next) - 1
 
-    def _split(self, state: int, word: int, target: int, ends: list[dict[int, int]]) -> int:
+    def _split(self, state: int, word: int, target: int, ends: list[dict[int, set[int]]]) -> int:
         """The state for the match of ``state`` and ``word`` alone, cut out of ``target``."""
         if self.length[target] == self.length[state] + 1:
             return target
@@ -105,7 +107,7 @@ class Automaton:
             state = self.link[state]
         return short
 
-    def _extend(self, last: int, word: int, ends: list[dict[int, int]]) -> int:
+    def _extend(self, last: int, word: int, ends: list[dict[int, set[int]]]) -> int:
         if word in self.next[last]:
             return self._split(last, word, self.next[last][word], ends)
         state = self._new(self.length[last] + 1, {}, 0, ends)
@@ -140,7 +142,11 @@ class Automaton:
         return places, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches that go on in a template, as ``(label, start, end, coverage)``."""
+        """Chains of matches that go on in a template, as ``(label, start, end, coverage)``.
+
+        Of the places where a match ends in a template, a chain goes on at the first one
+        after the place it reached, and a new chain begins at the first of all.
+        """
         chains: dict[int, tuple[int, int, int, int]] = {}
         found = []
 
@@ -151,15 +157,16 @@ class Automaton:
                 found.append((self.labels[template], start, end, min(coverage, 1.0)))
 
         for start, length, state in matches:
-            for template, place in self.places[state].items():
+            for template, places in self.places[state].items():
                 if template in chains:
                     begin, end, reached, covered = chains[template]
-                    if start + length - end <= MOST_GAP + length and place > reached:
-                        new = min(length, place - reached, start + length - end)
-                        chains[template] = (begin, start + length, place, covered + max(new, 0))
+                    later = bisect_right(places, reached)
+                    if start + length - end <= MOST_GAP + length and later < len(places):
+                        new = min(length, places[later] - reached, start + length - end)
+                        chains[template] = (begin, start + length, places[later], covered + max(new, 0))
                         continue
                     close(template)
-                chains[template] = (start, start + length, place, length)
+                chains[template] = (start, start + length, places[0], length)
         for template in list(chains):
             close(template)
         return sorted(found, key=lambda s: (s[1], s[2], s[0]))
@@ -181,7 +188,7 @@ def _scan_texts(automaton: Automaton, texts: list[bytes]) -> list[tuple]:
     ends_ = known.copy()
     ends_[:-1] &= ~known[1:] | (words.text[1:] != words.text[:-1])
     ends = np.flatnonzero(ends_) + 1
-    long = ends - starts >= 2
+    long = ends - starts >= automaton.least
     places: dict[int, list] = {}
     matches: dict[int, list] = {}
     for low, high in zip(starts[long].tolist(), ends[long].tolist()):

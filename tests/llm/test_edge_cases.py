@@ -44,6 +44,42 @@ def test_mixing(docs):
     assert rows.columns == [*docs.columns, "copy"] and rows.count() >= len(DOCS)
 
 
+def test_rows_without_an_id_draw_by_their_texts(spark):
+    rows = [(None, f"w{i} " * 10, "s", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    words = docs.select("source", F.lit(10).alias("size"))
+    mixed = mixing.with_copies(docs, mixing.source_targets(words))
+    taken = mixed.agg(F.sum("copies"), F.min("size"), F.max("size")).first()
+    assert (taken[1], taken[2]) == (10, 10)  # not the column of that name
+    assert 560 <= taken[0] <= 640
+    assert mixing.mix_sources(docs).count() == taken[0]
+
+
+def test_no_rows_to_mix(docs):
+    assert mixing.mix_sources(docs.limit(0)).collect() == []
+
+
+def test_archives_are_read_by_tasks_of_even_bytes(spark):
+    rows = [(i, f"u{i}", "".join(chr(33 + (i * j * 7919) % 900) for j in range(3000)), "x") for i in range(200)]
+    pages = spark.createDataFrame([*rows, rows[7]], "page_id long, url string, html string, file string")
+    folder = new_folder(spark, "warc")
+    index = warc.write_warc(pages.coalesce(1), folder)
+    size = index.agg(F.sum("length")).first()[0]
+    records = warc.read_warc(index, folder, range_bytes=size // 40, task_bytes=size // 8)
+    tasks = records.select(F.spark_partition_id().alias("task"), "page_id").groupBy("task").count().collect()
+    assert len(tasks) >= 4 and sum(r["count"] for r in tasks) == 201
+    found = {(r.page_id, bytes(r.payload or b"").decode()) for r in records.collect()}
+    assert found == {(i, html) for i, _, html, _ in rows}
+    assert warc.read_warc(warc.write_warc(pages.limit(0), folder), folder).collect() == []
+
+
+def test_names_of_shared_stores():
+    store, path = warc._file_system("file:/tmp/warc")
+    assert (store.type_name, path) == ("local", "/tmp/warc")
+    store, path = warc._file_system("s3a://bucket/warc?region=us-east-1")
+    assert (store.type_name, path) == ("s3", "bucket/warc")
+
+
 def test_warc(spark):
     pages = spark.createDataFrame(
         [(1, "u\r\n%", "é"), (2, None, None), (3, "v", "é"), (4, "w", ""), (4, "w", "\r\n\r\nWARC/1.1")],
