@@ -120,7 +120,7 @@ def find_anomalies(spark: SparkSession, sf_dir: str, **join_options) -> DataFram
 
 def find_anomalies_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way for more households than may be broadcast, forced."""
-    return find_anomalies(spark, sf_dir, max_broadcast_households=0, hot_share=0.001)
+    return find_anomalies(spark, sf_dir, max_broadcast_bytes=0, hot_share=0.001)
 
 
 def _write_csv(readings: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 
 from collections.abc import Callable
@@ -27,6 +28,11 @@ from gridtally.schema import (
 from gridtally.session import materialize
 from gridtally.sources import snapshots
 
+# Bytes of what is stored, by the planner's estimate, that go to one range of a table.
+RANGE_BYTES = 256 * 1024 * 1024
+# The estimate of rows whose source has no size, such as those of a micro-batch.
+_UNKNOWN_BYTES = 1 << 62
+
 CREATED_AT = T.StructField("created_at", T.TimestampType())
 
 
@@ -53,6 +59,21 @@ def run_together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
         write.result()
 
 
+def by_ranges(df: DataFrame, *keys: str, range_bytes: int | None = None) -> DataFrame:
+    """Rows dealt by ranges of ``keys``.
+
+    There are as many ranges as the session says, of which adaptive execution merges
+    small ones; more if one of them would take over ``range_bytes`` bytes, because a
+    range is not split later. Bytes are those of the files that are scanned.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = math.ceil(size / (range_bytes or RANGE_BYTES))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if usual < ranges and size < _UNKNOWN_BYTES:
+        return df.repartitionByRange(ranges, *keys)
+    return df.repartitionByRange(*keys)
+
+
 # --- raw readings ----------------------------------------------------------
 
 
@@ -113,7 +134,7 @@ def _add_readings(batch: DataFrame, path: str) -> int:
     # household and day stay side by side: later sums shrink them before any shuffle.
     order = ("month", *READING_KEY)
     added = Observation()
-    arranged = stamped.repartitionByRange(*order).observe(added, F.count("*").alias("rows"))
+    arranged = by_ranges(stamped, *order).observe(added, F.count("*").alias("rows"))
     arranged.sortWithinPartitions(*order).write.mode("append").partitionBy("month").parquet(path)
     return added.get["rows"]
 
@@ -175,7 +196,7 @@ def load_dataset(spark: SparkSession, folder: str, name: str, warehouse: str) ->
     schema = T.StructType([*DATASETS[name].fields, CREATED_AT])
     rows = read_dataset(spark, folder, name).withColumn("created_at", F.current_timestamp())
     keys = LOOKUP_KEYS[name]
-    ordered = conform(rows, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = by_ranges(conform(rows, schema), *keys).sortWithinPartitions(*keys)
     replace_table(ordered, table_path(warehouse, ANALYTICS_TABLES[name]))
     _follow(spark, warehouse, ANALYTICS_TABLES[name])
 

@@ -1,5 +1,7 @@
 import statistics
 
+from pyspark.sql import functions as F
+
 from gridtally.operators.anomalies import anomaly_top_households, detect_anomalies, household_baseline
 from gridtally.operators.rollups import household_days
 from gridtally.session import materialize
@@ -76,7 +78,7 @@ def test_shuffled_join_equals_broadcast(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = find(spark, rows, max_broadcast_households=0, hot_share=0.01)
+        shuffled = find(spark, rows, max_broadcast_bytes=0, hot_share=0.01)
         assert "SortMergeJoin" in plan_of(shuffled)
         assert rows_of(shuffled) == expected
     finally:
@@ -90,13 +92,41 @@ def test_hot_household_is_spread_over_several_keys(spark):
     raw = readings(spark, *skewed())
     baseline = materialize(household_baseline(household_days(raw)), "baseline")
     joined = join_households(
-        raw, baseline, F.lit(True), ["mean_consumption"], max_broadcast_households=0, hot_share=0.01
+        raw, baseline, F.lit(True), ["mean_consumption"], max_broadcast_bytes=0, hot_share=0.01
     )
     assert joined.count() == raw.count()
     logical = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "part" in logical and "xxhash64" in logical
 
 
+def test_long_names_are_not_broadcast(spark):
+    limit = 20 * 120  # twenty rows with short names
+    for name, way in (("H", "BroadcastHashJoin"), ("H" * 500, "SortMergeJoin")):
+        rows = [row for i in range(20) for row in hours(f"{name}{i:02d}", [1] * 19 + [30])]
+        found = find(spark, rows, max_broadcast_bytes=limit, hot_share=0.5)
+        joins = [line for line in plan_of(found).splitlines() if "Join" in line and "lclid" in line]
+        assert way in joins[0]
+        assert found.count() == 20
+
+
+def test_unwanted_readings_go_before_the_shuffle(spark):
+    from gridtally.operators.household_join import join_households, perhaps_wanted
+
+    raw = readings(spark, *[row for i in range(2000) for row in hours(f"H{i:04d}", [1, 2])])
+    baseline = materialize(household_baseline(household_days(raw)), "baseline")
+    wanted = F.col("lclid") < "H0100"
+    chosen = baseline.where(wanted)
+    left = perhaps_wanted(raw, chosen, 100)
+    assert left.columns == raw.columns
+    assert left.where("lclid < 'H0100'").count() == 200
+    assert left.count() < 1000  # of 4000; an eighth of 3800 by chance
+    joined = join_households(raw, baseline, wanted, ["mean_consumption"], max_broadcast_bytes=0)
+    lines = plan_of(joined).splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(lclid" in line]
+    assert any("getbit" in line for line in lines[shuffles[0] :])
+    assert joined.count() == 200
+
+
 def test_top_households_break_ties_by_name(spark):
     found = find(spark, skewed(8))
     top = [tuple(row) for row in anomaly_top_households(found, 3).collect()]

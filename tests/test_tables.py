@@ -8,6 +8,7 @@ from gridtally.operators import rollups
 from gridtally.operators.cleaning import clean_readings, deduplicate, identified
 from gridtally.plans.pipeline import ingest, load, run_pipeline, table_counts
 from gridtally.schema import DATASETS, RAW_TABLE, READING
+from gridtally.session import materialize
 from gridtally.sources import tables
 from gridtally.streaming.incremental import ingest_new_files
 from helpers import D, date, plan_of, readings, rows_of, time, write_file
@@ -172,3 +173,28 @@ def test_ingest_of_the_same_files_twice(spark, tmp_path):
     once = rows_of(tables.read_raw(spark, warehouse))
     ingest(spark, folder, warehouse)
     assert rows_of(tables.read_raw(spark, warehouse)) == once and len(once) == 15
+
+
+def test_ranges_follow_the_bytes_of_the_files(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(200_000).selectExpr("id", "uuid() AS name").write.parquet(path)
+    rows = spark.read.parquet(path)
+    size = sum(file.stat().st_size for file in (tmp_path / "rows").glob("*.parquet"))
+    many = tables.by_ranges(rows, "id", range_bytes=size // 40)
+    assert many.rdd.getNumPartitions() >= 40
+    assert many.count() == 200_000
+    assert tables.by_ranges(rows, "id").rdd.getNumPartitions() <= 8
+    # A source without a size goes by the session.
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,), (2,)]), "id long")
+    assert tables.by_ranges(unknown, "id").rdd.getNumPartitions() <= 8
+
+
+def test_an_append_has_as_many_ranges_as_its_bytes_ask_for(spark, tmp_path, monkeypatch):
+    rows = readings(spark, *[("A", f"2024-01-{d:02d} {h:02d}:00", 1) for d in range(1, 29) for h in range(24)])
+    stored = materialize(rows, "readings")
+    assert tables.append_readings(stored, f"{tmp_path}/usual") == 28 * 24
+    monkeypatch.setattr(tables, "RANGE_BYTES", 100)
+    assert tables.append_readings(stored, f"{tmp_path}/small") == 28 * 24
+    count = lambda name: len(list((tmp_path / name).rglob("*.parquet")))
+    assert count("small") > 8 >= count("usual")
+    assert rows_of(tables.read_raw(spark, f"{tmp_path}/small")) == rows_of(tables.read_raw(spark, f"{tmp_path}/usual"))

@@ -73,7 +73,7 @@ def test_forced_join_shuffles(spark):
 
     rows = readings(spark, *[("A", f"2024-01-01 {h:02d}:00", "1") for h in range(24)], ("B", "2024-01-01 00:00", "1"))
     stats = spark.createDataFrame([("A", 24, 1.0), ("B", 1, 1.0)], "lclid string, reading_count long, m double")
-    joined = join_households(rows, stats, F.lit(True), ["m"], max_broadcast_households=0, hot_share=0.2)
+    joined = join_households(rows, stats, F.lit(True), ["m"], max_broadcast_bytes=0, hot_share=0.2)
     assert joined.count() == 25
     assert "SortMergeJoin" in plan_of(joined)
 
