@@ -51,9 +51,10 @@ def main(arguments: list[str] | None = None) -> None:
     elif options.step == "ingest-new":
         for glob in globs:
             stream = "".join(c if c.isalnum() else "_" for c in glob)
-            ingest_new_files(
+            counts = ingest_new_files(
                 spark, options.source, options.warehouse, glob, options.max_kwh, stream_name=stream
             )
+            print(glob, counts)
     elif options.step == "transform":
         pipeline.transform_stored(spark, options.warehouse, options.max_kwh)
     elif options.step == "load":

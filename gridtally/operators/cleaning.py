@@ -70,3 +70,12 @@ def run_profile(readings: DataFrame, max_kwh: float = MAX_PLAUSIBLE_KWH) -> Data
         F.count_if(is_complete() & is_plausible(max_kwh)).alias("clean_count"),
         F.countDistinct("lclid").cast("int").alias("household_count"),
     )
+
+
+def intake_counts(max_kwh: float = MAX_PLAUSIBLE_KWH) -> list[Column]:
+    """Rows read, those with household, day and value, and those plausible too."""
+    return [
+        F.count("*").alias("read"),
+        F.count_if(is_identified()).alias("identified"),
+        F.count_if(is_identified() & is_plausible(max_kwh)).alias("plausible"),
+    ]

@@ -11,8 +11,7 @@ from gridtally.operators.cleaning import (
     clean_readings,
     deduplicate,
     identified,
-    is_identified,
-    is_plausible,
+    intake_counts,
 )
 from gridtally.operators.rollups import (
     daily_rollup,
@@ -54,12 +53,7 @@ def ingest(
     """
     require_utc(spark)
     seen = Observation()
-    readings = read_csv_readings(spark, source, *globs).observe(
-        seen,
-        F.count("*").alias("read"),
-        F.count_if(is_identified()).alias("identified"),
-        F.count_if(is_identified() & is_plausible(max_kwh)).alias("plausible"),
-    )
+    readings = read_csv_readings(spark, source, *globs).observe(seen, *intake_counts(max_kwh))
     added = append_readings(deduplicate(identified(readings), max_kwh), warehouse)
     return {**seen.get, "added": added}
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from gridtally.operators.cleaning import deduplicate, identified
+from gridtally.operators.cleaning import deduplicate, identified, intake_counts
 from gridtally.schema import MAX_PLAUSIBLE_KWH, RAW_TABLE
 from gridtally.session import require_utc
 from gridtally.sources.csv_readings import (
@@ -24,13 +24,14 @@ def ingest_new_files(
     glob: str = "*.csv",
     max_kwh: float = MAX_PLAUSIBLE_KWH,
     stream_name: str = "readings",
-) -> None:
+) -> dict[str, int]:
     """Add the readings of files that no earlier run has seen, then stop.
 
     The daily run over a growing folder then costs what is new, not the whole
     history. The stream's checkpoint, kept beside the raw table, remembers the files;
     use one ``stream_name`` per source and glob. A batch that is repeated after a
-    failure adds nothing twice.
+    failure adds nothing twice. Returns the counts of ``ingest``, over all batches of
+    this run.
     """
     require_utc(spark)
     header = csv_header(spark, source, glob)
@@ -43,8 +44,14 @@ def ingest_new_files(
         maxFileAge="36500d",
     )
 
+    counts = dict.fromkeys(("read", "identified", "plausible", "added"), 0)
+
     def add(rows: DataFrame, _batch_id: int) -> None:
-        append_readings(deduplicate(identified(typed_readings(rows)), max_kwh), warehouse)
+        seen = Observation()
+        readings = typed_readings(rows).observe(seen, *intake_counts(max_kwh))
+        added = append_readings(deduplicate(identified(readings), max_kwh), warehouse)
+        for name, count in {**seen.get, "added": added}.items():
+            counts[name] += count
 
     stream = (
         files.csv(source)
@@ -54,3 +61,4 @@ def ingest_new_files(
         .start()
     )
     stream.awaitTermination()
+    return counts

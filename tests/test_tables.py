@@ -158,13 +158,14 @@ def test_incremental_ingest_reads_each_file_once(spark, tmp_path):
 
     warehouse, folder = f"{tmp_path}/warehouse", tmp_path / "in"
     write_file(folder, "a.csv", HEADER, "A,2024-01-01,1,2024-01-01 00:00:00")
-    ingest_new_files(spark, str(folder), warehouse)
+    assert ingest_new_files(spark, str(folder), warehouse) == dict(read=1, identified=1, plausible=1, added=1)
     # A late file that is months older than the first, and overlaps it.
-    write_file(folder, "b.csv", HEADER, "A,2024-01-01,7,2024-01-01 00:00:00", "B,2024-01-01,2,2024-01-01 00:00:00")
+    write_file(folder, "b.csv", HEADER, "A,2024-01-01,7,2024-01-01 00:00:00", "B,2024-01-01,2,2024-01-01 00:00:00", ",2024-01-01,2,", "C,2024-01-01,-2,")
     os.utime(folder / "b.csv", (1_600_000_000, 1_600_000_000))
-    ingest_new_files(spark, str(folder), warehouse)
-    ingest_new_files(spark, str(folder), warehouse)
-    assert [(r[0], r[2]) for r in rows_of(tables.read_raw(spark, warehouse))] == [("A", D(1)), ("B", D(2))]
+    assert ingest_new_files(spark, str(folder), warehouse) == dict(read=4, identified=3, plausible=2, added=2)
+    assert set(ingest_new_files(spark, str(folder), warehouse).values()) == {0}
+    found = [(r[0], r[2]) for r in rows_of(tables.read_raw(spark, warehouse))]
+    assert found == [("A", D(1)), ("B", D(2)), ("C", D(-2))]
 
 
 def test_ingest_of_the_same_files_twice(spark, tmp_path):
