@@ -23,7 +23,7 @@ def parse(arguments: list[str] | None) -> argparse.Namespace:
     common.add_argument("--max-kwh", type=float, default=MAX_PLAUSIBLE_KWH)
     files = argparse.ArgumentParser(add_help=False)
     files.add_argument("source")
-    files.add_argument("--glob", action="append", help="one per file layout, default *.csv")
+    files.add_argument("--glob", action="append", help="one per file layout, default all *.csv of any layout")
     steps = parser.add_subparsers(dest="step", required=True)
     for step, parents in {
         "check": [files],
@@ -42,14 +42,14 @@ def parse(arguments: list[str] | None) -> argparse.Namespace:
 def main(arguments: list[str] | None = None) -> None:
     options = parse(arguments)
     spark = build_session()
-    globs = getattr(options, "glob", None) or ["*.csv"]
+    globs = getattr(options, "glob", None) or []
     if options.step == "check":
-        for glob in globs:
+        for glob in globs or ["*.csv"]:
             print(f"{len(available_files(spark, options.source, glob))} files match {glob}")
     elif options.step == "ingest":
         print(pipeline.ingest(spark, options.source, options.warehouse, *globs, max_kwh=options.max_kwh))
     elif options.step == "ingest-new":
-        for glob in globs:
+        for glob in globs or ["*.csv"]:
             stream = "".join(c if c.isalnum() else "_" for c in glob)
             counts = ingest_new_files(
                 spark, options.source, options.warehouse, glob, options.max_kwh, stream_name=stream

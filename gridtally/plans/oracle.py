@@ -263,6 +263,12 @@ def oracle_sql() -> dict[str, str]:
         "household_histogram_all": histogram(STATS),
         "csv_ingest": distinct_keys(EVENTS),
         "csv_ingest_half_hour": distinct_keys(HALF_HOURS),
+        "csv_mixed_folder": distinct_keys(EVENTS),
+        "rejected_readings": f"""
+            SELECT CONCAT_WS(',', CASE WHEN lclid IS NULL THEN 'lclid' END, CASE WHEN day IS NULL THEN 'day' END,
+                             CASE WHEN energy_kwh IS NULL THEN 'energy_kwh' END) AS reason,
+                   {READING}, COUNT(*) AS copies
+            FROM ({DIRTY}) WHERE lclid IS NULL OR day IS NULL OR energy_kwh IS NULL GROUP BY ALL""",
         "pipeline_counts": f"""
             SELECT COUNT(*) AS read_count, COUNT(*) FILTER (WHERE known) AS identified_count,
                    COUNT(*) FILTER (WHERE known AND energy_kwh BETWEEN 0 AND 100) AS plausible_count,

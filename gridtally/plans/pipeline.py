@@ -26,10 +26,11 @@ from gridtally.operators.rollups import (
 from gridtally.plans.states import refresh
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
 from gridtally.session import materialize, require_utc
-from gridtally.sources.csv_readings import read_csv_readings
+from gridtally.sources.csv_readings import readings_of, rejected_of, scan_layouts
 from gridtally.sources.jdbc import write_jdbc_dataset
 from gridtally.sources.tables import (
     append_readings,
+    append_rejected,
     load_dataset,
     read_dataset,
     read_raw,
@@ -49,13 +50,19 @@ def ingest(
     """Read the files of ``source`` and add the readings that are new.
 
     Returns the rows read, those of them with household, day and value, those that
-    are plausible too, and the readings added. They are counted while reading.
+    are plausible too, and the readings added. They are counted while reading. If some
+    rows lack one of the three, a second scan stores them, with their file and what they
+    lack, in the table of rejected readings.
     """
     require_utc(spark)
     seen = Observation()
-    readings = read_csv_readings(spark, source, *globs).observe(seen, *intake_counts(max_kwh))
+    scans = scan_layouts(spark, source, *globs)
+    readings = readings_of(scans).observe(seen, *intake_counts(max_kwh))
     added = append_readings(deduplicate(identified(readings), max_kwh), warehouse)
-    return {**seen.get, "added": added}
+    counts = seen.get
+    if counts["read"] > counts["identified"]:
+        append_rejected(rejected_of(scans), warehouse)
+    return {**counts, "added": added}
 
 
 def transform(

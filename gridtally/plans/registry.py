@@ -151,6 +151,33 @@ def csv_ingest_half_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.deduplicate(cleaning.identified(read_csv_readings(spark, folder)))
 
 
+def csv_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder with files of both layouts and of two orders of columns."""
+    folder, readings = new_folder(spark, "csv"), events(spark, sf_dir)
+    day = F.dayofmonth("day")
+    write_reading_csv(readings.where(day <= 10), f"{folder}/plain")
+    swapped = dict(zip(("timestamp", "energy_kwh", "day", "lclid"), reversed(READING_HEADER)))
+    later = readings.where(day.between(11, 20))
+    _write_csv(later.select(*[F.col(old).alias(new) for old, new in swapped.items()]), f"{folder}/swapped")
+    write_half_hour_csv(readings.where(day > 20), f"{folder}/half_hour")
+    return cleaning.deduplicate(cleaning.identified(read_csv_readings(spark, f"{folder}/*")))
+
+
+def rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of the rows that an ingest leaves out, after reading the files twice."""
+    folder, warehouse = new_folder(spark, "csv"), new_folder(spark, "warehouse")
+    write_reading_csv(dirty(spark, sf_dir), folder)
+    ingest(spark, folder, warehouse)
+    ingest(spark, folder, warehouse)
+    text = F.from_json("fields", ", ".join(f"`{name}` string" for name in READING_HEADER))
+    fields = [
+        text[name].cast(kind).alias(column)
+        for name, column, kind in zip(READING_HEADER, READING.names, ("string", "date", ENERGY, "timestamp"))
+    ]
+    rows = tables.read_rejected(spark, warehouse).select("reason", *fields, "copies")
+    return rows.groupBy("reason", *READING.names).agg(F.sum("copies").alias("copies"))
+
+
 def pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an ingest reports of files with gaps, negative values and repeated keys."""
     folder, warehouse = new_folder(spark, "csv"), new_folder(spark, "warehouse")
@@ -297,6 +324,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "day_hour_heatmap_years": lambda s, d: reports.day_hour_heatmap(_lineitem_hourly(s, d)),
         "csv_ingest": csv_ingest,
         "csv_ingest_half_hour": csv_ingest_half_hour,
+        "csv_mixed_folder": csv_mixed_folder,
+        "rejected_readings": rejected_readings,
         "pipeline_counts": pipeline_counts,
         "idempotent_append": idempotent_append,
         "incremental_ingest": incremental_ingest,

@@ -35,6 +35,7 @@ ANOMALY_THRESHOLD = 3.0
 ANOMALY_TYPE = "outlier"
 
 RAW_TABLE = "raw.energy_consumption"
+REJECTED_TABLE = "raw.rejected_readings"
 ANALYTICS_TABLES = {
     "hourly": "analytics.hourly_consumption",
     "daily": "analytics.daily_consumption",
@@ -79,6 +80,17 @@ def _rollup(period: str, period_type: T.DataType) -> T.StructType:
     )
 
 
+# Lines of files that were left out of the raw table.
+REJECTED = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("fields", T.StringType()),
+        T.StructField("copies", T.LongType()),
+    ]
+)
+
+
 DATASETS: dict[str, T.StructType] = {
     "hourly": _rollup("hour", T.TimestampType()),
     "daily": _rollup("day", T.DateType()),

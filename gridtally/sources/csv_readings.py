@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from gridtally.operators.cleaning import is_identified
 from gridtally.schema import (
     ENERGY,
     HALF_HOUR_HEADER,
@@ -50,20 +55,115 @@ def read_csv_readings(spark: SparkSession, path: str, *globs: str) -> DataFrame:
     """Typed readings from the files of one folder.
 
     Columns are bound by the names in the header, in whatever order they stand.
-    Values that do not parse become NULL. The files under one glob must share their
-    header: Spark compares the first line of every file while scanning it and stops
-    with an error if one differs. Pass one glob per layout to read a folder that
-    holds several.
+    Values that do not parse become NULL. Without globs the first line of every
+    ``*.csv`` file is read beforehand, so layouts and orders of columns may be mixed.
+    With globs the files under each must share their header, which saves that job:
+    Spark then compares the headers while scanning and stops if one differs.
+    """
+    return readings_of(scan_layouts(spark, path, *globs))
+
+
+def readings_of(scans: list[DataFrame]) -> DataFrame:
+    """Typed readings of tables of strings, each in either layout."""
+    return _union([typed_readings(rows) for rows in scans])
+
+
+def rejected_of(scans: list[DataFrame]) -> DataFrame:
+    """The rows of scanned files that have no household, day or value.
+
+    One row per different line of a file: ``source_file``; ``reason``, the names of what
+    is missing or does not parse, comma-joined; ``fields``, the texts of the line as a JSON
+    object without empty ones; ``copies``, how many lines are equal.
     """
-    parts = []
-    for glob in globs or ("*.csv",):
+    return _union([rejected_rows(rows, rows.columns, file_of(rows)) for rows in scans])
+
+
+def rejected_rows(rows: DataFrame, header: list[str], file: Column) -> DataFrame:
+    """The same of one table of strings, with the column that tells a row's file."""
+    text = F.struct(*[F.col(f"`{name}`") for name in header])
+    lines = rows.select(file.alias("source_file"), F.to_json(text).alias("fields"), *_typed(rows))
+    missing = [F.when(F.col(name).isNull(), F.lit(name)) for name in ("lclid", "day", "energy_kwh")]
+    rejected = lines.where(~is_identified()).withColumn("reason", F.concat_ws(",", *missing))
+    return rejected.groupBy("source_file", "reason", "fields").agg(F.count("*").alias("copies"))
+
+
+def scan_layouts(spark: SparkSession, path: str, *globs: str) -> list[DataFrame]:
+    """The rows of the files as strings, one table per header."""
+    if not globs:
+        return _scan_by_header(spark, path, "*.csv")
+    scans = []
+    for glob in globs:
         header = csv_header(spark, path, glob)
         validate_header(header)
-        parts.append(typed_readings(_scan(spark, path, glob, header)))
-    readings = parts[0]
-    for part in parts[1:]:
-        readings = readings.unionByName(part)
-    return readings
+        scans.append(_scan(spark, path, glob, header))
+    return scans
+
+
+def first_lines(spark: SparkSession, path: str, glob: str) -> list[tuple[str, str]]:
+    """File and first line that is not blank, of every file that has one.
+
+    A file is one task, which stops after its first lines. The driver gets a line per
+    file; Spark's listing of the folder holds as many entries there.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    largest = listed.agg(F.max("length")).first()[0]
+    if not largest:
+        return []
+    # Files as long as a whole split, and as costly to open, are never cut or packed. The
+    # session is a new one, so that others keep their settings.
+    probe = spark.newSession()
+    probe.conf.set("spark.sql.files.maxPartitionBytes", str(largest))
+    probe.conf.set("spark.sql.files.openCostInBytes", str(largest))
+    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    lines = probe.read.option("pathGlobFilter", glob).text(path)
+    found = lines.select(file_of(lines).alias("file"), "value").mapInArrow(
+        _first_line, "file string, value string"
+    )
+    return [(row["file"], row["value"]) for row in found.collect()]
+
+
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for place, line in enumerate(batch.column("value").to_pylist()):
+            if line.strip():
+                yield batch.slice(place, 1)
+                return
+
+
+def _scan_by_header(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:
+    header = csv_header(spark, path, glob)
+    files: dict[str, list[str]] = {}
+    for file, line in first_lines(spark, path, glob):
+        files.setdefault(line, []).append(file)
+    if len(files) < 2:
+        validate_header(header)
+        return [_scan(spark, path, glob, header)]
+    scans = []
+    by_count = sorted(files.items(), key=lambda item: (-len(item[1]), item[0]))
+    others = [file for _, listed in by_count[1:] for file in listed]
+    for place, (line, listed) in enumerate(by_count):
+        names = _names(spark, line)
+        validate_header(names)
+        # The most frequent header is that of all files but the others', so no list is
+        # longer than it has to be. The condition leaves files out before any is opened.
+        rows = _scan(spark, path, glob, names)
+        rows = rows.where(file_of(rows).isin(listed) if place else ~file_of(rows).isin(others))
+        scans.append(rows)
+    return scans
+
+
+def _names(spark: SparkSession, line: str) -> list[str]:
+    """The column names of a header line, split as the scan splits it."""
+    return spark.read.options(**CSV_OPTIONS).csv(spark.sparkContext.parallelize([line], 1)).columns
+
+
+def file_of(rows: DataFrame) -> Column:
+    """The file that a scanned row stands in, also if a header has a column of such a name."""
+    return rows.metadataColumn("_metadata")["file_path"]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_schema(header: list[str]) -> T.StructType:
@@ -72,6 +172,10 @@ def text_schema(header: list[str]) -> T.StructType:
 
 def typed_readings(rows: DataFrame) -> DataFrame:
     """Readings from rows of strings in either layout."""
+    return rows.select(*_typed(rows))
+
+
+def _typed(rows: DataFrame) -> list[Column]:
     present = {name.lower() for name in rows.columns}
     if present.issuperset(name.lower() for name in HALF_HOUR_HEADER):
         household, time, energy = HALF_HOUR_HEADER
@@ -83,12 +187,12 @@ def typed_readings(rows: DataFrame) -> DataFrame:
         timestamp = F.lit(None).cast("timestamp")
         if time in present:
             timestamp = _time(time)
-    return rows.select(
+    return [
         F.col(household).alias("lclid"),
         day.alias("day"),
         _field(energy).try_cast(ENERGY).alias("energy_kwh"),
         timestamp.alias("timestamp"),
-    )
+    ]
 
 
 # A cast alone takes a time for one of today, a year for its first day, and a zone.

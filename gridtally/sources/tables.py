@@ -23,6 +23,8 @@ from gridtally.schema import (
     RAW_TABLE,
     READING,
     READING_KEY,
+    REJECTED,
+    REJECTED_TABLE,
     conform,
 )
 from gridtally.session import materialize
@@ -163,6 +165,27 @@ def new_readings(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.join(seen, same, "left_anti")
 
 
+def append_rejected(rejected: DataFrame, warehouse: str) -> int:
+    """Add the rejected lines of files that are not stored yet; returns how many.
+
+    A line is known by its file and its fields, so reading a file again adds nothing.
+    """
+    path = table_path(warehouse, REJECTED_TABLE)
+    stored = stored_table(rejected.sparkSession, path, REJECTED)
+    if stored is not None:
+        rejected = rejected.join(stored, ["source_file", "fields"], "left_anti")
+    added = Observation()
+    counted = conform(rejected, REJECTED).observe(added, F.count("*").alias("rows"))
+    counted.write.mode("append").parquet(path)
+    return added.get["rows"]
+
+
+def read_rejected(spark: SparkSession, warehouse: str) -> DataFrame:
+    """The rejected lines of all files; none before the first."""
+    stored = stored_table(spark, table_path(warehouse, REJECTED_TABLE), REJECTED)
+    return spark.createDataFrame([], REJECTED) if stored is None else stored
+
+
 # --- derived datasets ------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from gridtally.operators.cleaning import deduplicate, identified, intake_counts
 from gridtally.schema import MAX_PLAUSIBLE_KWH, RAW_TABLE
@@ -10,11 +10,13 @@ from gridtally.session import require_utc
 from gridtally.sources.csv_readings import (
     CSV_OPTIONS,
     csv_header,
+    file_of,
+    rejected_rows,
     text_schema,
     typed_readings,
     validate_header,
 )
-from gridtally.sources.tables import append_readings, table_path
+from gridtally.sources.tables import append_readings, append_rejected, table_path
 
 
 def ingest_new_files(
@@ -50,11 +52,18 @@ def ingest_new_files(
         seen = Observation()
         readings = typed_readings(rows).observe(seen, *intake_counts(max_kwh))
         added = append_readings(deduplicate(identified(readings), max_kwh), warehouse)
+        if seen.get["read"] > seen.get["identified"]:
+            append_rejected(rejected_rows(rows, header, F.col(file)), warehouse)
         for name, count in {**seen.get, "added": added}.items():
             counts[name] += count
 
+    # A micro-batch no longer knows the files of its rows.
+    rows = files.csv(source)
+    file = "source_file"
+    while file in {name.lower() for name in header}:
+        file += "_"
     stream = (
-        files.csv(source)
+        rows.select("*", file_of(rows).alias(file))
         .writeStream.foreachBatch(add)
         .option("checkpointLocation", f"{table_path(warehouse, RAW_TABLE)}_files/{stream_name}")
         .trigger(availableNow=True)
