@@ -113,33 +113,68 @@ def phrase_candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
     return led.select("doc_id", "h", "wid", "start").distinct()
 
 
-def proximity_matches(postings: DataFrame, probes: DataFrame, span: int = 2 * WINDOW) -> DataFrame:
-    """``(doc_id, h, wid, start)``: places of a window's rarest term that have all of its
-    other probes within ``span`` words, in any order."""
-    placed = postings.join(probes, "term").select("doc_id", "h", "wid", "probes", "term", "offset", "pos")
-    # Places fall into blocks of span words; a neighbour is in the same block or the next one.
+def proximity_candidates(lists: DataFrame, probes: DataFrame, span: int) -> DataFrame:
+    """``(doc_id, h, wid, pos)``: places of a window's rarest term that have each of its
+    next rarest ones at most some ``span`` words away.
+
+    Places fall into blocks of ``span`` words; what is near lies in the same block or in
+    one beside it, so lists are intersected by block instead of by place.
+    """
     block = F.floor(F.col("pos") / span)
-    first = probes.groupBy("wid").agg(F.min(F.struct("offset", "term")).alias("lead"))
-    led = placed.join(first, "wid")
-    anchors = led.where((F.col("offset") == F.col("lead.offset")) & (F.col("term") == F.col("lead.term")))
-    anchors = anchors.select(
-        "doc_id", "h", "wid", "probes", F.col("pos").alias("start"),
-        F.explode(F.array(block - 1, block, block + 1)).alias("block"),
-    )
-    others = placed.select(
-        F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("wid").alias("w"),
-        "offset", "pos", block.alias("b"),
-    )
-    near = anchors.join(
-        others,
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("wid") == F.col("w"))
-        & (F.col("block") == F.col("b")) & (F.abs(F.col("pos") - F.col("start")) <= span),
-    )
-    near = near.select("doc_id", "h", "wid", "start", "probes", "offset").distinct()
-    complete = near.groupBy("doc_id", "h", "wid", "start").agg(
-        F.count("*").alias("n"), F.max("probes").alias("probes")
-    )
-    return complete.where("n = probes").drop("n", "probes")
+    led = lists.join(probes.where("rank = 0"), "term").select("doc_id", "h", "wid", "probes", "pos").distinct()
+    most = probes.agg(F.max("rank")).first()[0] or 0
+    for rank in range(1, most + 1):
+        step = probes.where(F.col("rank") == rank).select(F.col("wid").alias("w"), "term")
+        expected = led.join(step, F.col("wid") == F.col("w")).withColumn(
+            "block", F.explode(F.array(block - 1, block, block + 1))
+        )
+        of_rank = lists.join(step.select("term").distinct(), "term", "left_semi").select(
+            F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("term").alias("t"), block.alias("b")
+        )
+        there = expected.join(
+            of_rank.distinct(),
+            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+            & (F.col("block") == F.col("b")) & (F.col("term") == F.col("t")),
+            "left_semi",
+        )
+        # A place may be near in two blocks.
+        led = there.select("doc_id", "h", "wid", "probes", "pos").distinct().unionByName(
+            led.where(F.col("probes") <= rank)
+        )
+    return led.select("doc_id", "h", "wid", "pos")
+
+
+def proximity_matches(docs: DataFrame, windows: DataFrame, span: int = 2 * WINDOW) -> DataFrame:
+    """``(doc_id, h, wid, pos)``: places of a window's rarest term that lie in ``span``
+    consecutive words which hold every word of the window.
+
+    Order and further words between them do not matter, and a word that a window repeats
+    needs to stand there once. Candidates come from the index, rarest terms first; what is
+    left is compared with the words around it. Every exact occurrence is one of these
+    matches, if ``span`` is not below the window.
+    """
+    vocabulary, postings = build_index(docs, window_terms(windows))
+    probes = rarest_probes(windows, vocabulary, postings)
+    lists = short_lists(postings, probes)
+    candidates = materialize(proximity_candidates(lists, probes, span), "proximity_candidates")
+    named = candidates.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "wid", "pos")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    # The list of texts with a candidate grows with the input, so it is never broadcast.
+    wanted = named.select("d", "g").distinct().hint("shuffle_hash")
+    texts = keyed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "h"])
+    listed = materialize(texts.select("doc_id", "h", words(F.col("text")).alias("doc_words")), "candidate_texts")
+    first = F.greatest(F.col("pos") - (span - 1), F.lit(0))
+    # Words from ``span - 1`` before the place to as many after it; the text ends here.
+    around = F.slice("doc_words", first + 1, F.col("pos") - first + span).alias("around")
+    cut = listed.join(named, same).select("doc_id", "h", "wid", "pos", around)
+    whole = cut.join(windows, "wid").where(F.size(F.array_except("words", "around")) == 0)
+
+    def holds_all(start: Column) -> Column:
+        return F.size(F.array_except(F.col("words"), F.slice(F.col("around"), start, span))) == 0
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - (span - 1), F.lit(1)))
+    return whole.where(F.exists(starts, holds_all)).select("doc_id", "h", "wid", "pos")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -199,6 +234,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def near_passages(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = 2 * WINDOW
+) -> DataFrame:
+    """``(doc_id, h, item_id)``, distinct: items of which ``span`` consecutive words of a
+    document hold all words of a window, in any order and with others between them.
+
+    Rows of ``docs`` that repeat id and text are one document, ``h`` is the hash of its
+    text. Null and empty texts have no words and match nothing; items without an id are
+    left out.
+    """
+    windows, uses = item_windows(items, window)
+    found = materialize(proximity_matches(docs, windows, span), "proximity_matches")
+    matched = found.select("doc_id", "h", "wid").distinct().join(uses.where("item_id IS NOT NULL"), "wid")
+    return matched.select("doc_id", "h", "item_id").distinct()
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of an item occurs."""
     columns = docs.columns
