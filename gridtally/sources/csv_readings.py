@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -105,29 +106,46 @@ def first_lines(spark: SparkSession, path: str, glob: str) -> list[tuple[str, st
     A file is one task, which stops after its first lines. The driver gets a line per
     file; Spark's listing of the folder holds as many entries there.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    largest = listed.agg(F.max("length")).first()[0]
-    if not largest:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    listed = files.where("length > 0").select(file_of(files).alias("file"), "length").collect()
+    if not listed:
         return []
-    # Files as long as a whole split, and as costly to open, are never cut or packed. The
+    # Files as long as a whole split, and as costly to open, are not cut or packed. The
     # session is a new one, so that others keep their settings.
+    largest = str(max(row["length"] for row in listed))
     probe = spark.newSession()
-    probe.conf.set("spark.sql.files.maxPartitionBytes", str(largest))
-    probe.conf.set("spark.sql.files.openCostInBytes", str(largest))
+    probe.conf.set("spark.sql.files.maxPartitionBytes", largest)
+    probe.conf.set("spark.sql.files.openCostInBytes", largest)
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     lines = probe.read.option("pathGlobFilter", glob).text(path)
-    found = lines.select(file_of(lines).alias("file"), "value").mapInArrow(
-        _first_line, "file string, value string"
-    )
-    return [(row["file"], row["value"]) for row in found.collect()]
+    found = _headers_in(lines, _first_line)
+    # A cluster that packs files all the same hides some behind others: these are read whole.
+    hidden = [row["file"] for row in listed if row["file"] not in found]
+    if hidden:
+        found |= _headers_in(lines.where(file_of(lines).isin(hidden)), _first_line_of_each)
+    return list(found.items())
+
+
+def _headers_in(lines: DataFrame, pick: Callable) -> dict[str, str]:
+    """The first lines that ``pick`` finds; where a file was cut, only its beginning counts."""
+    start = lines.metadataColumn("_metadata")["file_block_start"]
+    rows = lines.select(file_of(lines).alias("file"), start.alias("start"), "value")
+    found = rows.mapInArrow(pick, "file string, start long, value string").where("start = 0")
+    return {row["file"]: row["value"] for row in found.collect()}
 
 
 def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from islice(_first_line_of_each(batches), 1)
+
+
+def _first_line_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
     for batch in batches:
-        for place, line in enumerate(batch.column("value").to_pylist()):
-            if line.strip():
+        columns = (batch.column(name).to_pylist() for name in ("file", "start", "value"))
+        for place, (file, start, line) in enumerate(zip(*columns)):
+            if line.strip() and (file, start) not in seen:
+                seen.add((file, start))
                 yield batch.slice(place, 1)
-                return
 
 
 def _scan_by_header(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:

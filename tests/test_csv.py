@@ -132,6 +132,18 @@ def test_first_lines_read_one_task_a_file(spark, tmp_path):
     assert sorted(line for _, line in found) == [f"name{number}" for number in range(5)]
 
 
+def test_first_lines_where_files_are_cut_and_packed(spark, tmp_path, monkeypatch):
+    for number in range(6):
+        write_file(tmp_path, f"{number}.csv", f"name{number}", *["x" * 50] * (3 + 30 * number))
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    monkeypatch.setattr(type(session.conf), "set", lambda *_: None)
+    monkeypatch.setattr(type(session), "newSession", lambda _: session)
+    found = first_lines(spark, str(tmp_path), "*.csv")
+    assert sorted(line for _, line in found) == [f"name{number}" for number in range(6)]
+
+
 def test_rejected_rows_name_file_and_reason(spark, tmp_path):
     write_file(tmp_path, "half.csv", "LCLid,tstp,energy(kWh/hh)", *["A,2012-10-12 01:30:00.0000000,Null"] * 2)
     folder = write_file(
