@@ -54,8 +54,15 @@ def _with_hours(readings: DataFrame) -> DataFrame:
     return readings.withColumn("midnight", F.date_trunc("day", "timestamp")).withColumn("hours", bit)
 
 
-def days_of(state: DataFrame) -> DataFrame:
-    """``household_days`` from their state."""
+def one_row_a_day(state: DataFrame) -> bool:
+    """Whether every time lies on its ``day``, so that a stored state has each household and day once."""
+    return state.where(F.col("midnight") != F.col("day").cast("timestamp")).isEmpty()
+
+
+def days_of(state: DataFrame, once: bool = False) -> DataFrame:
+    """``household_days`` from their state; nothing is summed or shuffled if each stands there ``once``."""
+    if once:
+        return conform(state, HOUSEHOLD_DAY)
     days = state.groupBy("lclid", "day").agg(
         F.sum("reading_count").alias("reading_count"),
         F.sum("total_kwh").alias("total_kwh"),
@@ -89,7 +96,7 @@ def hourly_rollup(readings: DataFrame) -> DataFrame:
     return hourly_of(hour_sums(readings), _with_hours(readings))
 
 
-def hourly_of(sums: DataFrame, seen: DataFrame) -> DataFrame:
+def hourly_of(sums: DataFrame, seen: DataFrame, once: bool = False) -> DataFrame:
     """The hourly rollup from hour sums, also partial ones, and the hours of households."""
     merged = sums.groupBy("hour").agg(
         F.sum("total_kwh").alias("total_consumption"),
@@ -97,15 +104,18 @@ def hourly_of(sums: DataFrame, seen: DataFrame) -> DataFrame:
         F.max("max_kwh").alias("max_consumption"),
         F.min("min_kwh").alias("min_consumption"),
     )
-    return conform(merged.join(households_per_hour(seen), "hour", "left"), DATASETS["hourly"])
+    return conform(merged.join(households_per_hour(seen, once), "hour", "left"), DATASETS["hourly"])
 
 
-def households_per_hour(seen: DataFrame) -> DataFrame:
+def households_per_hour(seen: DataFrame, once: bool = False) -> DataFrame:
     """Number of distinct households in each hour, from the bits in ``hours``.
 
-    ``seen`` has ``lclid, midnight, hours`` in any number of rows.
+    ``seen`` has ``lclid, midnight, hours`` in any number of rows, or each household and
+    midnight ``once``.
     """
-    household_days = seen.groupBy("lclid", "midnight").agg(F.bit_or("hours").alias("hours"))
+    household_days = seen
+    if not once:
+        household_days = seen.groupBy("lclid", "midnight").agg(F.bit_or("hours").alias("hours"))
     counts = [F.sum(F.getbit("hours", F.lit(hour)).cast("bigint")) for hour in range(25)]
     days = household_days.groupBy("midnight").agg(F.array(*counts).alias("counts"))
     hours = days.select("midnight", F.posexplode("counts").alias("hour", "household_count"))

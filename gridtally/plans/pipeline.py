@@ -15,7 +15,6 @@ from gridtally.operators.cleaning import (
 )
 from gridtally.operators.rollups import (
     daily_rollup,
-    days_of,
     hour_sums,
     hourly_of,
     household_day_state,
@@ -23,7 +22,7 @@ from gridtally.operators.rollups import (
     monthly_rollup,
     weekly_rollup,
 )
-from gridtally.plans.states import refresh
+from gridtally.plans.states import merged_days, refresh
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
 from gridtally.session import materialize, require_utc
 from gridtally.sources.csv_readings import readings_of, rejected_of, scan_layouts
@@ -78,17 +77,17 @@ def transform(
     require_utc(readings.sparkSession)
     clean = clean_readings(readings, max_kwh)
     state = materialize(household_day_state(clean), "household_days", folder)
-    baseline = materialize(household_baseline(days_of(state)), "household_baseline", folder)
-    return datasets_of(state, hour_sums(clean), clean, baseline)
+    days, once = merged_days(state, folder)
+    baseline = materialize(household_baseline(days), "household_baseline", folder)
+    return datasets_of(days, state, once, hour_sums(clean), clean, baseline)
 
 
 def datasets_of(
-    state: DataFrame, hours: DataFrame, readings: DataFrame, baseline: DataFrame
+    days: DataFrame, seen: DataFrame, once: bool, hours: DataFrame, readings: DataFrame, baseline: DataFrame
 ) -> dict[str, DataFrame]:
-    """The six datasets from household days, hour sums, and readings with all outliers."""
-    days = days_of(state)
+    """The six datasets from household days and their state, hour sums, and readings with all outliers."""
     return {
-        "hourly": hourly_of(hours, state),
+        "hourly": hourly_of(hours, seen, once),
         "daily": daily_rollup(days),
         "weekly": weekly_rollup(days),
         "monthly": monthly_rollup(days),
@@ -114,7 +113,9 @@ def transform_stored(
     require_utc(spark)
     processed = processed_folder(warehouse)
     states = refresh(spark, warehouse, f"{processed}/states", max_kwh)
-    datasets = datasets_of(states.days, states.hours, states.candidates, states.baseline)
+    datasets = datasets_of(
+        states.days, states.seen, states.once, states.hours, states.candidates, states.baseline
+    )
     found = Observation()
     datasets["anomalies"] = datasets["anomalies"].observe(found, F.count("*").alias("anomalies"))
     run_together(

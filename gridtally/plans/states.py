@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gridtally.functions.periods import month_of
 from gridtally.operators.anomalies import household_baseline, score_of, scored_readings
 from gridtally.operators.cleaning import clean_readings
-from gridtally.operators.rollups import days_of, hour_sums, household_day_state
+from gridtally.operators.rollups import days_of, hour_sums, household_day_state, one_row_a_day
 from gridtally.schema import (
     ANOMALY_THRESHOLD,
     CANDIDATE,
@@ -46,9 +46,14 @@ _TABLES = {"days": HOUSEHOLD_DAY_STATE, "hours": HOUR_SUM, "candidates": CANDIDA
 
 @dataclass(frozen=True)
 class States:
-    """The states of all months, and which months were read to bring them up to date."""
+    """The states of all months, and which months were read to bring them up to date.
+
+    ``days`` are the household days, ``seen`` their state, ``once`` whether that has each once.
+    """
 
     days: DataFrame
+    seen: DataFrame
+    once: bool
     hours: DataFrame
     candidates: DataFrame
     baseline: DataFrame
@@ -56,6 +61,16 @@ class States:
     rescored: list[dt.date]
 
 
+def merged_days(state: DataFrame, folder: str | None = None) -> tuple[DataFrame, bool]:
+    """The household days of a stored state, and whether it has each once.
+
+    Where times lie on other days they are summed once, and stored for all that read them.
+    """
+    once = one_row_a_day(state)
+    days = days_of(state, once)
+    return (days if once else materialize(days, "merged_days", folder)), once
+
+
 def _write(spark: SparkSession, path: str, name: str, rows: DataFrame) -> str:
     """A folder per month below a new one; ``rows`` has ``month``."""
     own = snapshots.new_data(name)
@@ -147,12 +162,13 @@ def refresh(
             for month in changed:
                 months[month] = {"files": files[month]}
             fresh = readings(changed)
-            state = household_day_state(fresh)
-            store("days", state.withColumn("month", _month(F.col("day"))), changed)
+            fresh_days = household_day_state(fresh)
+            store("days", fresh_days.withColumn("month", _month(F.col("day"))), changed)
             # An hour may have readings in several months, by their day.
             store("hours", hour_sums(fresh, _month(F.col("day"))), changed)
-        days = _read(spark, path, months, "days")
-        baseline = materialize(household_baseline(days_of(days)), "household_baseline")
+        state = _read(spark, path, months, "days")
+        days, once = merged_days(state)
+        baseline = materialize(household_baseline(days), "household_baseline")
         known = {m: own for m, own in months.items() if m not in changed}
         moved = _moved(_read(spark, path, known, "reach"), baseline, threshold) if known else []
         stale = sorted({*changed, *moved})
@@ -175,6 +191,8 @@ def refresh(
         raise
     return States(
         days=days,
+        seen=state,
+        once=once,
         hours=_read(spark, path, months, "hours"),
         candidates=_read(spark, path, months, "candidates"),
         baseline=baseline,
