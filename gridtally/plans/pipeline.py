@@ -24,7 +24,7 @@ from gridtally.operators.rollups import (
 )
 from gridtally.plans.states import merged_days, refresh
 from gridtally.schema import DATASETS, MAX_PLAUSIBLE_KWH
-from gridtally.session import materialize, require_utc
+from gridtally.session import bounded_scans, materialize, require_utc, stored_size
 from gridtally.sources.csv_readings import readings_of, rejected_of, scan_layouts
 from gridtally.sources.jdbc import write_jdbc_dataset
 from gridtally.sources.tables import (
@@ -118,9 +118,10 @@ def transform_stored(
     )
     found = Observation()
     datasets["anomalies"] = datasets["anomalies"].observe(found, F.count("*").alias("anomalies"))
-    run_together(
-        spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
-    )
+    with bounded_scans(spark, *stored_size(states.seen)):
+        run_together(
+            spark, [partial(write_dataset, df, processed, name) for name, df in datasets.items()]
+        )
     clean = states.baseline.agg(
         F.coalesce(F.sum("reading_count"), F.lit(0)).alias("clean"), F.count("*").alias("households")
     ).first()

@@ -33,7 +33,7 @@ from gridtally.schema import (
     MAX_PLAUSIBLE_KWH,
     REACH,
 )
-from gridtally.session import materialize, shuffles_removed
+from gridtally.session import bounded_scans, materialize, shuffles_removed, stored_size
 from gridtally.sources import snapshots
 from gridtally.sources.tables import raw_months, read_raw
 
@@ -153,33 +153,36 @@ def refresh(
         for month in of:
             months[month][name] = places.get(month)
 
-    def readings(of: list[str]) -> DataFrame:
-        days = [dt.date.fromisoformat(month) for month in of]
-        return clean_readings(read_raw(spark, warehouse, months=days), max_kwh)
+    def raw_readings(of: list[str]) -> DataFrame:
+        return read_raw(spark, warehouse, months=[dt.date.fromisoformat(month) for month in of])
 
     try:
         if changed:
             for month in changed:
                 months[month] = {"files": files[month]}
-            fresh = readings(changed)
+            raw = raw_readings(changed)
+            fresh = clean_readings(raw, max_kwh)
             fresh_days = household_day_state(fresh)
-            store("days", fresh_days.withColumn("month", _month(F.col("day"))), changed)
-            # An hour may have readings in several months, by their day.
-            store("hours", hour_sums(fresh, _month(F.col("day"))), changed)
+            with bounded_scans(spark, raw.count(), sum(files[month][1] for month in changed)):
+                store("days", fresh_days.withColumn("month", _month(F.col("day"))), changed)
+                # An hour may have readings in several months, by their day.
+                store("hours", hour_sums(fresh, _month(F.col("day"))), changed)
         state = _read(spark, path, months, "days")
-        days, once = merged_days(state)
-        baseline = materialize(household_baseline(days), "household_baseline")
+        with bounded_scans(spark, *stored_size(state)):
+            days, once = merged_days(state)
+            baseline = materialize(household_baseline(days), "household_baseline")
         known = {m: own for m, own in months.items() if m not in changed}
         moved = _moved(_read(spark, path, known, "reach"), baseline, threshold) if known else []
         stale = sorted({*changed, *moved})
         if stale:
-            rows = fresh if stale == changed else readings(stale)
+            rows = fresh if stale == changed else clean_readings(raw_readings(stale), max_kwh)
             scored = scored_readings(rows.withColumn("timestamp", F.struct("timestamp", "day")), baseline, CANDIDATE_SCORE)
             found = scored.select("lclid", "timestamp.timestamp", "energy_kwh", _month(F.col("timestamp.day")))
             store("candidates", found.withColumn("energy_kwh", F.col("energy_kwh").cast(ENERGY)), stale)
             own = _read(spark, path, {m: months[m] for m in stale}, "days")
             reach = _reach(own, baseline)
-            store("reach", reach.withColumn("month", F.col("in_month")), stale)
+            with bounded_scans(spark, *stored_size(own)):
+                store("reach", reach.withColumn("month", F.col("in_month")), stale)
         if changed or stale or not number or content.get("rules") != rules or set(content["months"]) != set(months):
             named = [place for own in months.values() for key, place in own.items() if key != "files" and place]
             # Folders are named whole as well, so that they go when no month lies in them.

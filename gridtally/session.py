@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+# Rows of a stored table that one task sums: some 230 bytes of memory each, where each is a group.
+ROWS_PER_TASK = 2_000_000
 
 
 def build_session(app_name: str = "gridtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -84,6 +87,31 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+@contextmanager
+def bounded_scans(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Scans that start inside take about ROWS_PER_TASK rows a task at most.
+
+    ``rows`` and ``size``, in bytes, are those of the table. A split is cut by bytes, and
+    well-packed sums take a few bytes a row, so that a usual split holds tens of millions.
+    """
+    before = spark.conf.get(SPLIT_BYTES, None)
+    usual = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    spark.conf.set(SPLIT_BYTES, str(max(min(usual, size * ROWS_PER_TASK // max(rows, 1)), 1)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SPLIT_BYTES)
+        else:
+            spark.conf.set(SPLIT_BYTES, before)
+
+
+def stored_size(stored: DataFrame) -> tuple[int, int]:
+    """Rows, from the footers of its files, and bytes of a stored table."""
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stored.count(), size
+
+
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -27,7 +27,7 @@ from gridtally.schema import (
     REJECTED_TABLE,
     conform,
 )
-from gridtally.session import materialize
+from gridtally.session import ROWS_PER_TASK, materialize
 from gridtally.sources import snapshots
 
 # Bytes of what is stored, by the planner's estimate, that go to one range of a table.
@@ -137,7 +137,9 @@ def _add_readings(batch: DataFrame, path: str) -> int:
     order = ("month", *READING_KEY)
     added = Observation()
     arranged = by_ranges(stamped, *order).observe(added, F.count("*").alias("rows"))
-    arranged.sortWithinPartitions(*order).write.mode("append").partitionBy("month").parquet(path)
+    writer = arranged.sortWithinPartitions(*order).write.mode("append").partitionBy("month")
+    # A task cannot take less than a group of rows within a file.
+    writer.option("maxRecordsPerFile", ROWS_PER_TASK).parquet(path)
     return added.get["rows"]
 
 

@@ -9,6 +9,7 @@ from gridtally.operators.cleaning import clean_readings
 from gridtally.operators.rollups import household_day_state, one_row_a_day
 from gridtally.plans import pipeline
 from gridtally.schema import READING
+from gridtally.session import SPLIT_BYTES, bounded_scans, stored_size
 from helpers import plan_of, rows_of
 
 DIRECT = ("daily", "weekly", "monthly", "household_stats")
@@ -43,3 +44,26 @@ def test_datasets_read_household_days_without_summing_them(spark, late):
     assert rows_of(datasets["hourly"].select("hour", "household_count")) == rows_of(seen)
     stats = readings.groupBy("lclid").agg(F.countDistinct("day").cast("int").alias("n"), F.sum("energy_kwh").cast("decimal(20,4)"))
     assert rows_of(datasets["household_stats"].select("lclid", "days_count", "total_consumption")) == rows_of(stats)
+
+
+def test_a_task_sums_a_bounded_number_of_stored_rows(spark, tmp_path, monkeypatch):
+    """Before, a task took 128 MB of files, whatever the rows in them."""
+    monkeypatch.setattr("gridtally.session.ROWS_PER_TASK", 100)
+    stored = spark.range(0, 1000, 1, 10)
+    stored.write.parquet(str(tmp_path / "rows"))
+    usual = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    for name, value in usual.items():
+        spark.conf.set(name, value)
+    try:
+        def tasks():
+            return spark.read.schema("id long").parquet(str(tmp_path / "rows")).rdd.getNumPartitions()
+
+        table = spark.read.schema("id long").parquet(str(tmp_path / "rows"))
+        before = spark.conf.get(SPLIT_BYTES)
+        assert tasks() == 1 and stored_size(table)[0] == 1000
+        with bounded_scans(spark, *stored_size(table)):
+            assert tasks() >= 10
+        assert spark.conf.get(SPLIT_BYTES) == before and tasks() == 1
+    finally:
+        for name in usual:
+            spark.conf.unset(name)
