@@ -7,8 +7,8 @@ filters drop pairs that cannot reach the similarity, the rest is verified on the
 A line goes if an earlier line (by doc_id, null last, then place, then a hash of the
 text) is similar, whether that one stays or not. Only DataFrame functions are used.
 
-Parity bits of the words bound the difference of two lines from below, so that the words
-of few pairs only are fetched: the numbers of the wanted lines meet the texts once a
+Parity bits of the words bound the difference of two lines from below, four times as many
+in long lines, so that the words of few pairs only are fetched: the numbers of the wanted lines meet the texts once a
 round, and only these lines are cut out.
 
 Equal sets are one class from the start. Each class is compared with the earliest one
@@ -32,6 +32,9 @@ MOST = 63
 _LEVEL_BITS = 57
 # Parity bits are chosen by the bits of a word's hash that its bucket does not use.
 _PARITY_SHIFT = 24
+# Lines of more words set most of 64 parity bits whatever the words; they carry 256.
+LONG = 80
+_WIDE = ("s0", "s1", "s2")
 _LAST = 9223372036854775807
 _PLACE = ("doc_id", "h", "line_no", "at")
 
@@ -108,6 +111,15 @@ def _apart(x: str, y: str) -> Column:
     return F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
 
 
+def _wide_apart(x: str, y: str) -> Column:
+    """The same by 256 bits, of which ``bits`` is the sum; null unless both lines are long."""
+    last, found = F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")), F.lit(0)
+    for name in _WIDE:
+        odd = F.col(f"{x}{name}").bitwiseXOR(F.col(f"{y}{name}"))
+        last, found = last.bitwiseXOR(odd), found + F.bit_count(odd)
+    return found + F.bit_count(last)
+
+
 def _prefix(percent: int) -> Column:
     """How many of ``n`` keys must be indexed: two similar lines share one of theirs."""
     return F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
@@ -121,7 +133,9 @@ def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranked = lines.select(*_PLACE, rarity_keys(F.col("line"), levels).alias("keys"))
     marked = ranked.select(
         *_PLACE, F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
-        parity_bits(F.col("keys")).alias("bits"), "keys",
+        parity_bits(F.col("keys")).alias("bits"),
+        *[F.when(F.size("keys") > LONG, bits).alias(name) for name, bits in zip(_WIDE, _sketch_bits(F.col("keys")))],
+        "keys",
     )
     prefix = F.slice("keys", F.lit(1), _prefix(percent)).alias("prefix")
     return marked.select(*[c for c in marked.columns if c != "keys"], prefix)
@@ -133,17 +147,20 @@ def _fits(percent: int) -> Column:
     # Shared words: at most the smaller prefix up to here, and the shorter rest.
     most = F.least("xi", "yi") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
     enough = most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
-    return (F.col("yc") < F.col("xc")) & long_enough & enough & (_apart("x", "y") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    most_apart = (F.col("xn") + F.col("yn")) * (100 - percent)
+    near = _apart("x", "y") * (100 + percent) <= most_apart
+    wide = F.coalesce(_wide_apart("x", "y") * (100 + percent) <= most_apart, F.lit(True))
+    return (F.col("yc") < F.col("xc")) & long_enough & enough & near & wide
 
 
 def lines_and_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The places and fingerprints of all lines, and the first line of each class, both stored.
 
-    The second has ``c, h1, h2``, place, ``n, bits, prefix``; ``c`` numbers the classes in
+    The second has ``c, h1, h2``, place, ``n``, bits, ``prefix``; ``c`` numbers the classes in
     the order of their first lines. Prefixes of other lines are not kept.
     """
     lines, folder = written(indexed_lines(docs, percent), "lines")
-    first = F.min(F.struct("at", "h", "doc_id", "line_no", "n", "bits", "prefix")).alias("first")
+    first = F.min(F.struct("at", "h", "doc_id", "line_no", "n", "bits", *_WIDE, "prefix")).alias("first")
     leading, leaders = written(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*"), "class_leaders")
     places = materialize(lines.select(*_PLACE, "h1", "h2"), "line_places")
     forget(lines, folder)
@@ -153,19 +170,20 @@ def lines_and_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     return places, rows
 
 
-def prefix_index(rows: DataFrame) -> DataFrame:
-    """``key, c, n, bits, i``: a row for each prefix word of the classes."""
-    entries = rows.select("c", "n", "bits", F.posexplode("prefix").alias("i", "key"))
+def prefix_index(rows: DataFrame, *more: str) -> DataFrame:
+    """``key, c, n``, bits and ``i``: a row for each prefix word of the classes."""
+    entries = rows.select("c", "n", "bits", *_WIDE, *more, F.posexplode("prefix").alias("i", "key"))
     return entries.withColumn("i", F.col("i") + 1)
 
 
-def _side(index: DataFrame, name: str) -> DataFrame:
-    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", "bits", "i")])
+def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
+    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", "bits", *_WIDE, "i", *more)])
 
 
-def _similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """``x, y``: classes that share a prefix word and pass the filters."""
-    pairs = x.join(y, "key").where(_fits(percent))
+def _similar(x: DataFrame, y: DataFrame, percent: int, order: Column | None = None) -> DataFrame:
+    """``x, y``: classes that share a prefix word and pass the filters, and the ``order`` if given."""
+    fits = _fits(percent)
+    pairs = x.join(y, "key").where(fits if order is None else fits & order)
     return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
 
 
@@ -184,7 +202,10 @@ def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _sketch(words: Column) -> list[Column]:
     """``s0`` to ``s3``: 256 parity bits of the word numbers of a line."""
+    return [bits.alias(f"s{i}") for i, bits in enumerate(_sketch_bits(words))]
+
 
+def _sketch_bits(words: Column) -> list[Column]:
     def bits(number: int) -> Column:
         def bit(word: Column) -> Column:
             place = F.shiftright(word, _PARITY_SHIFT)
@@ -193,7 +214,7 @@ def _sketch(words: Column) -> list[Column]:
 
         return F.aggregate(words, F.lit(0).cast("long"), lambda found, word: found.bitwiseXOR(bit(word)))
 
-    return [bits(i).alias(f"s{i}") for i in range(4)]
+    return [bits(i) for i in range(4)]
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,8 +268,12 @@ def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> D
     leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
     pairs = materialize(_similar(_side(index, "x"), _side(leading, "y"), percent), "first_pairs")
     found = confirmed(pairs, rows, docs, percent)
-    left = rows.join(found, rows["c"] == found["x"], "left_anti")
-    rest = _similar(_side(prefix_index(left), "x"), _side(index, "y"), percent)
+    # One shuffled index is both sides. Matched classes have the order -1 as x, after nothing:
+    # a filter would part the two.
+    order = F.when(F.col("x").isNull(), F.col("c")).otherwise(-1)
+    marked = rows.join(found, F.col("c") == F.col("x"), "left").withColumn("o", order).drop("x")
+    dealt = prefix_index(marked, "o").repartition("key")
+    rest = _similar(_side(dealt, "x", "o"), _side(dealt, "y", "o"), percent, (F.col("yc") < F.col("xo")) & (F.col("yo") <= F.col("xc")))
     rest = materialize(rest.join(pairs, ["x", "y"], "left_anti"), "other_pairs")
     return found.unionByName(confirmed(rest, rows, docs, percent))
 
