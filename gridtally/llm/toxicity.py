@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtally.llm.wordbytes import Words, blocks, mixed, powers, utf8
+from gridtally.llm.wordbytes import Words, blocks, mixed, powers, prefix_sums, utf8
 
 # The bound of the training sample: rows per label, and bytes of a text in it.
 SAMPLE_ROWS = {0: 1800, 1: 600}
@@ -42,11 +42,12 @@ NOISE = 0.002
 RATE = 0.3
 DECAY = 1e-3
 SEED = 11
-# Words and texts that training handles at a time.
+# Words, texts and bytes that training handles at a time; a byte needs about 100 times as much.
 _WORDS = 1 << 17
 _TEXTS = 64
+_TRAINED_BYTES = 1 << 17
 # Bytes that are scored at a time; a task needs about 100 times as much.
-_SCORED_BYTES = 1 << 19
+_SCORED_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,7 @@ def _units(words: Words) -> tuple[np.ndarray, np.ndarray]:
     number = np.cumsum(number, dtype=np.int32) - 1
     covered = np.zeros(len(data) + 1, dtype=np.int32)
     np.cumsum(inside, out=covered[1:])
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[: len(data)], out=sums[1:])
+    sums = prefix_sums(data)
     back = powers(len(data), inverse=True)
     of, buckets = [], []
     for n in NGRAMS:
@@ -148,7 +148,7 @@ class _Vocabulary:
 
     def __init__(self, texts: list[bytes]):
         hashes, lengths, pieces, counts = [], [], [], []
-        for low, high in blocks(texts):
+        for low, high in blocks(texts, _TRAINED_BYTES):
             found = _text_words(texts[low:high])
             counts.append(found.counts)
             own = found.hashes()
@@ -177,17 +177,17 @@ class _Vocabulary:
             times.append(often.astype(np.int32))
         self.text, self.word, self.times = (np.concatenate(x) for x in (text, word, times))
 
-    def units(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Distinct word, bucket and share of the units of each, a block of words at a time."""
+    def units(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """A block of distinct words at a time: which, word (from 0 in the block) and bucket of their units, and each word's share."""
         for low in range(0, self.size, _WORDS):
             pieces = [
                 self._bytes[b : b + n].tobytes()
                 for b, n in zip(self._begin[low : low + _WORDS].tolist(), self._length[low : low + _WORDS].tolist())
             ]
-            for first, last in blocks(pieces):
+            for first, last in blocks(pieces, _TRAINED_BYTES):
                 of, bucket = _units(Words([b" " + b" ".join(pieces[first:last])], "plain"))
                 share = 1.0 / np.bincount(of, minlength=last - first)
-                yield of + np.int32(low + first), bucket, share[of]
+                yield slice(low + first, low + last), of, bucket, share
 
 
 class _OwnWords:
@@ -306,13 +306,14 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     toxic = labels[found.text] > 0
     of_words = np.bincount(found.word, minlength=found.size), np.bincount(found.word[toxic], minlength=found.size)
     in_texts, in_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for own, buckets, _ in found.units():
-        in_texts += np.bincount(buckets, weights=of_words[0][own], minlength=BUCKETS)
-        in_toxic += np.bincount(buckets, weights=of_words[1][own], minlength=BUCKETS)
+    for block, own, bucket, _ in found.units():
+        in_texts += np.bincount(bucket, weights=of_words[0][block][own], minlength=BUCKETS)
+        in_toxic += np.bincount(bucket, weights=of_words[1][block][own], minlength=BUCKETS)
     known = (in_toxic >= LEAST_TEXTS).astype(float)
     # Units of other buckets keep a zero vector; they only count among those of their word.
-    kept = [[x[known[buckets] > 0] for x in (own, buckets, share)] for own, buckets, share in found.units()]
-    of, bucket, share = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int32),) * 3
+    kept = [
+        (block, own[known[bucket] > 0], bucket[known[bucket] > 0], share) for block, own, bucket, share in found.units()
+    ]
     # Rarer units move further for the same gradient, as in adaptive methods, but for the rarest.
     stride = known * np.sqrt(in_texts) / (in_texts + SHRINK)
     rng = np.random.default_rng(seed)
@@ -325,10 +326,21 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
     largest = [0.0] * len(params)
     has_words = found.counts > 0
 
+    def to_words(by_bucket: np.ndarray) -> np.ndarray:
+        out = np.zeros(found.size)
+        for block, own, bucket, share in kept:
+            out[block] = np.bincount(own, weights=by_bucket[bucket], minlength=len(share)) * share
+        return out
+
+    def to_buckets(by_word: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for block, own, bucket, share in kept:
+            out += np.bincount(bucket, weights=(by_word[block] * share)[own], minlength=BUCKETS)
+        return out
+
     def window_scores(params: list[np.ndarray]) -> list[np.ndarray]:
         by_bucket = params[0] @ (params[1][:, 1] - params[1][:, 0]).T
-        by_word = [np.bincount(of, weights=b[bucket] * share, minlength=found.size) for b in by_bucket.T]
-        return [term.means(own) for term, own in zip(terms, by_word)]
+        return [term.means(to_words(own)) for term, own in zip(terms, by_bucket.T)]
 
     def calibrated(params: list[np.ndarray]) -> tuple[np.ndarray, float]:
         worst = [_worst(term, own) for term, own in zip(terms, window_scores(params))]
@@ -357,7 +369,7 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
         of_bucket = []
         for term, part in zip(terms, parts):
             by_word = term.to_words(gradient[term.text] * part)
-            of_bucket.append(np.bincount(bucket, weights=by_word[of] * share, minlength=BUCKETS) * known)
+            of_bucket.append(to_buckets(by_word))
         slopes = np.stack(of_bucket)
         toward = slopes @ params[0]
         steps = [
@@ -367,9 +379,11 @@ def train(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed:
         ]
         for i, step in enumerate(steps):
             # One scale for all of a matrix, so that rare units move less than frequent ones.
-            moments[i] = 0.8 * moments[i] + 0.2 * step
-            largest[i] = max(0.9 * largest[i], np.abs(moments[i]).max())
-            params[i] = params[i] * (1 - DECAY) - RATE * moments[i] / (largest[i] + 1e-12)
+            moments[i] *= 0.8
+            moments[i] += 0.2 * step
+            largest[i] = max(0.9 * largest[i], moments[i].max(), -moments[i].min())
+            params[i] *= 1 - DECAY
+            params[i] -= RATE * moments[i] / (largest[i] + 1e-12)
     scale, bias = calibrated(params)
     weights = params[0] @ (params[1][:, 1] - params[1][:, 0]).T * scale
     return Model(weights.astype(np.float32), bias)

@@ -22,6 +22,8 @@ class _Cache(dict):
 _powers = _Cache()
 
 BLOCK_BYTES = 2 * 1024 * 1024
+# Powers are kept for so many bytes or multiples of it, 16 bytes each.
+_POWERS_STEP = 1 << 18
 
 
 def powers(length: int, inverse: bool = False) -> np.ndarray:
@@ -29,9 +31,11 @@ def powers(length: int, inverse: bool = False) -> np.ndarray:
     name = "inverse" if inverse else "base"
     known = _powers.get(name)
     if known is None or len(known) <= length:
-        step = np.full(max(length, BLOCK_BYTES) + 1, _INVERSE if inverse else _BASE, dtype=np.uint64)
-        step[0] = 1
-        known = _powers[name] = np.cumprod(step, dtype=np.uint64)
+        size = -(-max(length, 1) // _POWERS_STEP) * _POWERS_STEP + 1
+        known = np.full(size, _INVERSE if inverse else _BASE, dtype=np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        _powers[name] = known
     return known
 
 
@@ -79,6 +83,17 @@ def blocks(texts: list[bytes], size: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes of ``data``, without further arrays of 64 bits a byte."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    own = sums[1:]
+    own[:] = data
+    own += np.uint64(1)
+    own *= powers(len(data))[: len(data)]
+    np.cumsum(own, out=own)
+    return sums
+
+
 class Words:
     """The lower-cased words of some texts: text, start and end in ``data``, and hash."""
 
@@ -95,9 +110,7 @@ class Words:
 
     def prefix(self) -> np.ndarray:
         """Hashes of all prefixes of the data, for hashes of any stretch of it."""
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(len(self.data))[: len(self.data)], out=sums[1:])
-        return sums
+        return prefix_sums(self.data)
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word."""
