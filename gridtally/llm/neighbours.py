@@ -5,8 +5,8 @@ random rotation and cut to its signs. From the packed signs and three scalars th
 inner product with any query is estimated together with a bound of its error: a query
 is cut to four bits a component, and bits in common are counted. Queries and codes meet
 in blocks of bounded size; in each block the vectors whose upper bound reaches the k-th
-best score so far, at first of the best estimates, are reranked with the original
-vectors, and the best of all blocks are merged.
+best score so far, at first that of the best estimates of the whole block, are reranked
+with the original vectors, and the best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ QUERY_BITS = 4
 CODE_BLOCK = 8192
 QUERY_BLOCK = 1024
 _SLICE, _CHUNK = 128, 2048
+# Of so many best estimates for each wanted neighbour the scores set the first level.
+_FIRST = 4
+# Pairs whose vectors are laid side by side at a time.
+_PAIRS = 8192
 
 INDEX = "vec_id long, dim int, code binary, norm double, align double, shift double, vector binary"
 
@@ -96,6 +100,32 @@ def _words(packed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(padded).view(np.uint64)
 
 
+def _common(planes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The sum of the levels of each query where each code has a bit set, counted in packed words."""
+    found = np.empty((planes.shape[1], code.shape[1]), dtype=np.float32)
+    rows = 32
+    for low in range(0, len(found), rows):
+        own = planes[:, low : low + rows]
+        total = np.zeros((own.shape[1], code.shape[1]), dtype=np.uint32)
+        both, bits = np.empty(total.shape, dtype=np.uint64), np.empty(total.shape, dtype=np.uint8)
+        for plane in own[::-1]:
+            total <<= 1
+            for word in range(len(code)):
+                np.bitwise_and(plane[:, word, None], code[word], out=both)
+                total += np.bitwise_count(both, out=bits)
+        found[low : low + rows] = total
+    return found
+
+
+def _products(x: np.ndarray, at: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``at`` of x and ``of`` of y, but for the order of additions."""
+    out = np.empty(len(at))
+    for low in range(0, len(at), _PAIRS):
+        part = slice(low, low + _PAIRS)
+        out[part] = np.einsum("ij,ij->i", x[at[part]], y[of[part]])
+    return out
+
+
 def _search_block(
     queries: pd.DataFrame, codes: pd.DataFrame, center: np.ndarray, k: int, bits: int, epsilon: float, seed: int
 ) -> pd.DataFrame:
@@ -109,10 +139,12 @@ def _search_block(
     vectors = np.frombuffer(b"".join(codes.vector), dtype=np.float64).reshape(-1, dim)
     code = _words(np.frombuffer(b"".join(codes.code), dtype=np.uint8).reshape(len(codes), -1))
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.float32)
+    code = np.ascontiguousarray(code.T)
     norm, align, shift = (codes[c].to_numpy() for c in ("norm", "align", "shift"))
     spread = (norm * np.sqrt(np.maximum(1 - align**2, 0)) / align * epsilon / np.sqrt(width - 1)).astype(np.float32)
     factor = (norm / (align * np.sqrt(width))).astype(np.float32)
     shift = shift.astype(np.float32)
+    longest = np.linalg.norm(vectors, axis=1).max()
     ids = codes.vec_id.to_numpy()
     q_ids = queries.vec_id.to_numpy()
     q_vectors = np.frombuffer(b"".join(queries.vector), dtype=np.float64).reshape(-1, dim)
@@ -129,38 +161,44 @@ def _search_block(
         # The error of a code grows with the query's length, that of the query with its step.
         length = np.linalg.norm(rest, axis=1).astype(np.float32)[:, None]
         rounding = (epsilon * step * np.sqrt(width / 12)).astype(np.float32)[:, None]
+        # What rounding of numbers adds to estimates, and to sums in another order.
+        size = np.maximum(np.linalg.norm(own, axis=1) * longest, 1)
+        unsure, slack = (1e-5 * size).astype(np.float32)[:, None], 1e-9 * size
+        estimate = np.empty((len(own), len(ids)), dtype=np.float32)
+        for begin in range(0, len(ids), _CHUNK):
+            at = slice(begin, begin + _CHUNK)
+            common = _common(planes, code[:, at])
+            estimate[:, at] = (twice * common + least * ones[at] + offset) * factor[at] + shift[at] + plain
         rows, columns, scores = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         level = np.full(len(own), -np.inf)
+        if len(ids) > k:
+            # The scores of the best estimates of the whole block give a first level.
+            most = min(_FIRST * k, len(ids))
+            first = np.argpartition(-estimate, most - 1, axis=1)[:, :most]
+            near, place = np.repeat(np.arange(len(own)), most), first.ravel()
+            sure = _products(vectors, place, own, near)
+            sure[(ids[place] == own_ids[near]) | ~np.isfinite(sure)] = -np.inf
+            level = -np.partition(-sure.reshape(len(own), most), k - 1, axis=1)[:, k - 1] - slack
         for begin in range(0, len(ids), _CHUNK):
             at = slice(begin, begin + _CHUNK)
-            common = np.zeros((len(own), len(ids[at])), dtype=np.float32)
-            for j in range(QUERY_BITS):
-                for word in range(code.shape[1]):
-                    both = planes[j][:, word, None] & code[at, word][None, :]
-                    common += np.bitwise_count(both) * np.float32(2**j)
-            estimate = (twice * common + least * ones[at] + offset) * factor[at] + shift[at] + plain
-            error = length * spread[at] + rounding * factor[at] + np.float32(1e-5)
+            most = estimate[:, at] + (length * spread[at] + rounding * factor[at] + unsure)
             other = own_ids[:, None] != ids[at][None, :]
-            if not np.isfinite(level).all():
-                # The k best estimates give a first level.
-                first = np.argsort(np.where(other, -estimate, np.inf), axis=1, kind="stable")[:, :k]
-                sure = (vectors[first + begin] * own[:, None, :]).sum(axis=2)
-                sure[~np.take_along_axis(other, first, axis=1)] = -np.inf
-                if first.shape[1] == k:
-                    level = np.maximum(level, sure.min(axis=1) - 1e-9)
-            near, place = np.nonzero((estimate + error >= level[:, None].astype(np.float32)) & other)
+            near, place = np.nonzero(~(most < level[:, None].astype(np.float32)) & other)
+            place += begin
+            may = ~(_products(vectors, place, own, near) < level[near] - slack[near])
+            near, place = near[may], place[may]
             exact = np.zeros(len(near))
             for d in range(dim):  # one order of additions, so equal vectors have equal scores
-                exact += vectors[place + begin, d] * own[near, d]
+                exact += vectors[place, d] * own[near, d]
             rows = np.concatenate([rows, near])
-            columns, scores = np.concatenate([columns, place + begin]), np.concatenate([scores, exact])
+            columns, scores = np.concatenate([columns, place]), np.concatenate([scores, exact])
             order = np.lexsort((ids[columns], -scores, rows))
             rows, columns, scores = rows[order], columns[order], scores[order]
             best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
             rows, columns, scores = rows[best], columns[best], scores[best]
             # The score of the k-th best, of queries that have so many.
             last = np.flatnonzero(np.bincount(rows, minlength=len(own)) == k)
-            level[last] = np.maximum(level[last], scores[np.searchsorted(rows, last) + k - 1] - 1e-9)
+            level[last] = np.maximum(level[last], scores[np.searchsorted(rows, last) + k - 1] - slack[last])
         found.append((q_ids[low + rows], ids[columns], scores))
     query_id, vec_id, score = (np.concatenate(x) for x in zip(*found))
     return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
