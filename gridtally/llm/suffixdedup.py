@@ -6,7 +6,8 @@ all suffixes of a corpus in one place is out of the question, so strings are dea
 each window of MIN_BYTES bytes belongs to the smallest hash among its GRAM-byte pieces
 (its anchor), and windows in a row with one anchor are one segment. Equal windows have
 equal anchors, so each group of segments with one anchor is complete in itself, and
-segments whose anchor occurs once need not move. In a group the windows are ranked by
+segments whose anchor occurs once need not move. Segments of an anchor that all have the
+same content are settled by their places: no text is sent. In other groups the windows are ranked by
 their MIN_BYTES bytes (ranks of prefixes, doubled) and ties by place: all but the first
 place of a rank are repeated. Anchors of more than MOST_SEGMENTS segments never
 meet in one task: their windows are dealt by hashes of all of their bytes instead.
@@ -178,8 +179,8 @@ def _ordered(ids: list[int], data: bytes, ends: list[int]) -> tuple[np.ndarray,
 
 
 def _anchors(chunks: DataFrame, min_bytes: int) -> DataFrame:
-    """``chunk, anchor, twice, contents``: the different anchors of each chunk, whether it
-    has more than one segment of it, and how many different ones."""
+    """``chunk, anchor, twice, contents, content``: the different anchors of each chunk, whether it
+    has more than one segment of it, how many different ones, and the content if there is one only."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,36 +189,61 @@ def _anchors(chunks: DataFrame, min_bytes: int) -> DataFrame:
                 found = Segments(data, ends, min_bytes)
                 anchors, counts = np.unique(found.anchor, return_counts=True)
                 # Equal contents have equal anchors, so every anchor is among the first ones.
-                _, contents = np.unique(found.anchor[found.first_of_content()], return_counts=True)
+                first = found.first_of_content()
+                _, one, contents = np.unique(found.anchor[first], return_index=True, return_counts=True)
+                content = found.content[first][one].view(np.int64)
                 if len(anchors):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(anchors), chunk)), pa.array(anchors.view(np.int64)),
                             pa.array(counts > 1), pa.array(contents.astype(np.int64)),
+                            pa.array(content, mask=contents > 1),
                         ],
-                        ["chunk", "anchor", "twice", "contents"],
+                        ["chunk", "anchor", "twice", "contents", "content"],
                     )
 
-    schema = "chunk long, anchor long, twice boolean, contents long"
+    schema = "chunk long, anchor long, twice boolean, contents long, content long"
     return chunks.select("chunk", "blob", "ids", "ends").mapInArrow(find, schema)
 
 
+def _repeated(anchors: DataFrame) -> DataFrame:
+    """``chunk, repeated, alike, hot``: the anchors of each chunk that occur again, of segments that
+    differ, of segments that are all the same, and of too many to meet in one task."""
+    # A row per anchor and chunk at most, however often it occurs.
+    same = Window.partitionBy("anchor")
+    content = F.col("content")
+    one = (F.count(content).over(same) == F.count("*").over(same)) & (F.min(content).over(same) == F.max(content).over(same))
+    seen = anchors.select(
+        "chunk", "anchor", F.min("chunk").over(same).alias("lo"), F.max("chunk").over(same).alias("hi"), "twice",
+        (F.sum("contents").over(same) > MOST_SEGMENTS).alias("hot"), one.alias("alike"),
+    )
+    hot, alike, anchor = F.col("hot"), F.col("alike"), F.col("anchor")
+    return seen.where("lo < hi OR twice").groupBy("chunk").agg(
+        F.collect_list(F.when(~hot & ~alike, anchor)).alias("repeated"),
+        F.collect_list(F.when(~hot & alike, anchor)).alias("alike"),
+        F.collect_list(F.when(hot, anchor)).alias("hot"),
+    )
+
+
 def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
-    """SEGMENTS: the first segment of each content in a chunk whose anchor is repeated."""
+    """SEGMENTS: the first segment of each content in a chunk whose anchor is repeated; those
+    of anchors in ``alike`` have no text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob, ids, _, ends, repeated in _rows(batch):
-                if not repeated:
+            for chunk, blob, ids, _, ends, repeated, alike in _rows(batch):
+                if not repeated and not alike:
                     continue
                 data, _, _ = _unpacked((blob, ids, ends))
                 order, data, ends = _ordered(ids, data, ends)
                 found = Segments(data, ends, min_bytes)
-                wanted = np.isin(found.anchor, np.asarray(repeated, dtype=np.int64).view(np.uint64))
+                differ = np.isin(found.anchor, np.asarray(repeated, dtype=np.int64).view(np.uint64))
+                wanted = differ | np.isin(found.anchor, np.asarray(alike, dtype=np.int64).view(np.uint64))
                 first, _ = found.leads(np.asarray(ids, dtype=np.int64)[order])
                 at = np.flatnonzero(wanted & first)
                 begins = np.concatenate([[0], found.ends[:-1]])
-                texts = [data[s:e] for s, e in zip(found.start[at].tolist(), found.end[at].tolist())]
+                places = zip(found.start[at].tolist(), found.end[at].tolist(), differ[at].tolist())
+                texts = [data[s:e] if text else None for s, e, text in places]
                 ids_of = np.asarray(ids, dtype=np.int64)[order][found.doc[at]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,7 +254,7 @@ def _segments(listed: DataFrame, min_bytes: int) -> DataFrame:
                     ["chunk", "anchor", "content", "doc_id", "at", "text"],
                 )
 
-    columns = listed.select("chunk", "blob", "ids", "known", "ends", "repeated")
+    columns = listed.select("chunk", "blob", "ids", "known", "ends", "repeated", "alike")
     return columns.mapInArrow(cut, SEGMENTS)
 
 
@@ -289,9 +315,10 @@ def _verdicts(segments: DataFrame, min_bytes: int) -> DataFrame:
             out, open_ = [], []
             for row in rows:
                 chunk, anchor, content, doc_id, at, _ = row
-                place = first.setdefault((anchor, content), (doc_id, at))
-                if place == (doc_id, at):
+                if (anchor, content) not in first:
+                    first[anchor, content] = (doc_id, at)
                     contents[anchor] = contents.get(anchor, 0) + 1
+                if first[anchor, content] == (doc_id, at):
                     open_.append(row)
                 else:
                     out.append((chunk, content, anchor, None))
@@ -429,27 +456,19 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, texts: bool = Tr
     """
     chunks = _chunks(docs)
     anchors = _anchors(chunks, min_bytes)
-    # A row per anchor and chunk at most, however often it occurs.
-    same = Window.partitionBy("anchor")
-    seen = anchors.select(
-        "chunk", "anchor", F.min("chunk").over(same).alias("lo"), F.max("chunk").over(same).alias("hi"), "twice",
-        (F.sum("contents").over(same) > MOST_SEGMENTS).alias("hot"),
-    )
-    repeated = seen.where("lo < hi OR twice").groupBy("chunk").agg(
-        F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("repeated"),
-        F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
-    )
-    repeated = materialize(repeated, "repeated_anchors")
-    # The same columns and the same kind of join as at the end, so chunks are shuffled once.
-    listed = chunks.join(repeated.select("chunk", "repeated"), "chunk", "left")
+    repeated = materialize(_repeated(anchors), "repeated_anchors")
+    # The same columns and the same kind of join as at the end, so chunks are shuffled once. Lists
+    # of anchors and verdicts grow with the input: they are merged at any size, never broadcast.
+    listed = chunks.join(repeated.select("chunk", "repeated", "alike").hint("merge"), "chunk", "left")
     verdicts = _verdicts(_segments(listed, min_bytes), min_bytes)
     hot = repeated.where(F.size("hot") > 0).select("chunk", F.col("hot").alias("repeated"))
     if not hot.isEmpty():
         # Only chunks with such an anchor are cut a second time.
-        verdicts = verdicts.unionByName(_window_verdicts(_segments(chunks.join(hot, "chunk"), min_bytes), min_bytes))
+        cut = chunks.join(hot, "chunk").withColumn("alike", F.array().cast("array<long>"))
+        verdicts = verdicts.unionByName(_window_verdicts(_segments(cut, min_bytes), min_bytes))
     verdict = F.struct("content", "mask")
     verdicts = verdicts.groupBy("chunk").agg(F.collect_list(verdict).alias("verdicts"))
-    return _kept(chunks.join(verdicts, "chunk", "left"), min_bytes, texts)
+    return _kept(chunks.join(verdicts.hint("merge"), "chunk", "left"), min_bytes, texts)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
