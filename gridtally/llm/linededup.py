@@ -12,14 +12,13 @@ in long lines, so that the words of few pairs only are fetched: the numbers of t
 round, and only these lines are cut out.
 
 Equal sets are one class from the start. Each class is compared with the earliest one
-of each prefix word and the one before it there first, in one pass over the index; only
-classes without a match so far are compared with all earlier ones, so a large group of
-similar lines costs two pairs per line and word.
+of each prefix word first; only classes without a match so far are compared with all
+earlier ones, so a large group of similar lines costs a pair per line and word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridtally.llm.common import forget, written
 from gridtally.session import materialize
@@ -142,20 +141,19 @@ def indexed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return marked.select(*[c for c in marked.columns if c != "keys"], prefix)
 
 
-def _fits(percent: int, y: str = "y", any_word: bool = False) -> Column:
+def _fits(percent: int, any_word: bool = False) -> Column:
     """Order, length, positional and parity filter of x and y, which share the words at ``xi`` and ``yi``.
 
     Similar lines pass at the first word they share; with ``any_word`` they pass at any.
     """
-    xn, yn, xi, yi = (F.col(name) for name in ("xn", f"{y}n", "xi", f"{y}i"))
-    long_enough = F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent
+    long_enough = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
     # Shared words: this one and at most the shorter rest; before this one none, or the smaller prefix.
-    most = (F.least(xi, yi) if any_word else F.lit(1)) + F.least(xn - xi, yn - yi)
-    enough = most * (100 + percent) >= (xn + yn) * percent
-    most_apart = (xn + yn) * (100 - percent)
-    near = _apart("x", y) * (100 + percent) <= most_apart
-    wide = F.coalesce(_wide_apart("x", y) * (100 + percent) <= most_apart, F.lit(True))
-    return (F.col(f"{y}c") < F.col("xc")) & long_enough & enough & near & wide
+    most = (F.least("xi", "yi") if any_word else F.lit(1)) + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
+    enough = most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    most_apart = (F.col("xn") + F.col("yn")) * (100 - percent)
+    near = _apart("x", "y") * (100 + percent) <= most_apart
+    wide = F.coalesce(_wide_apart("x", "y") * (100 + percent) <= most_apart, F.lit(True))
+    return (F.col("yc") < F.col("xc")) & long_enough & enough & near & wide
 
 
 def lines_and_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -185,28 +183,13 @@ def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", "bits", *_WIDE, "i", *more)])
 
 
-def _similar(x: DataFrame, y: DataFrame, percent: int, order: Column | None = None) -> DataFrame:
+def _similar(x: DataFrame, y: DataFrame, percent: int, order: Column | None = None, any_word: bool = False) -> DataFrame:
     """``x, y``: classes that share a prefix word and pass the filters, and the ``order`` if given."""
-    fits = _fits(percent)
+    fits = _fits(percent, any_word)
     pairs = x.join(y, "key").where(fits if order is None else fits & order)
     return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
 
 
-def first_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """``x, y``: each class and, of each of its prefix words, the earliest class and the one before it
-    that pass the filters; the index is shuffled once and no group of it meets itself."""
-    columns = ("c", "n", "bits", *_WIDE, "i")
-    entry, by_order = F.struct(*columns), Window.partitionBy("key").orderBy("c")
-    ranked = index.select(
-        *[F.col(c).alias("x" + c) for c in columns],
-        F.first(entry).over(by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("y"),
-        F.lag(entry).over(by_order).alias("z"),
-    )
-    sides = ranked.select(*[f"x{c}" for c in columns], *[F.col(f"{y}.{c}").alias(y + c) for y in "yz" for c in columns])
-    met = F.array_compact(F.array(*[F.when(_fits(percent, y, any_word=True), F.col(f"{y}c")) for y in "yz"]))
-    return sides.select(F.col("xc").alias("x"), F.explode(met).alias("y")).distinct()
-
-
 def fetched_words(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``c, words``: the numbers of the words of the first lines of ``classes``."""
     marks = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line_no", "c")).alias("marks"))
@@ -283,7 +266,10 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
 
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the classes that an earlier line of another class matches."""
-    pairs = materialize(first_pairs(prefix_index(rows), percent), "first_pairs")
+    index = prefix_index(rows)
+    first = index.groupBy("key").agg(F.min("c").alias("c"))
+    leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
+    pairs = materialize(_similar(_side(index, "x"), _side(leading, "y"), percent, any_word=True), "first_pairs")
     found = confirmed(pairs, rows, docs, percent)
     # One shuffled index is both sides. Matched classes have the order -1 as x, after nothing:
     # a filter would part the two.
