@@ -31,6 +31,11 @@ HASHES = 2
 SEED = 3
 # Numbers of 64 parity bits each that sketch a set.
 SKETCH = 16
+# Members of a key that its others are compared with in the first round after the smallest one,
+# and the growth of their number: a round costs more than that many pairs a member.
+FIRST_RANKS = 64
+# Rows of edges or labels for a task that stores them; each costs far less than a task.
+ROWS_PER_FILE = 100_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, subs array<long>"
@@ -171,13 +176,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, label``: the smallest node reachable by edges ``a, b``, stored.
 
     Each round takes the smallest label of the neighbours and then that label's label,
-    so long chains shrink quickly.
+    so long chains shrink quickly. Few edges are stored by few tasks: their files are
+    small enough to be joined without a shuffle.
     """
+    files = 2 * edges.count() // ROWS_PER_FILE + 1
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    both = materialize(both.distinct(), f"{name}_edges")
-    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), f"{name}_labels")
+    both = materialize(both.distinct().coalesce(files), f"{name}_edges")
+    lowest = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+    labels = materialize(lowest.coalesce(files), f"{name}_labels")
     while True:
         theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("near"))
         nearest = both.join(theirs, "other").groupBy("node").agg(F.min("near").alias("near"))
@@ -186,25 +194,39 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         )
         jumps = labels.select(F.col("node").alias("lower"), F.col("label").alias("jump"))
         moved = lowered.join(jumps, "lower").select("node", F.col("label").alias("old"), F.least("lower", "jump").alias("label"))
-        moved = materialize(moved, f"{name}_labels")
+        moved = materialize(moved.coalesce(files), f"{name}_labels")
         labels = moved.select("node", "label")
         if moved.where("label < old").isEmpty():
             return labels
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("root"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = labels.select(F.col("node").alias("root"), F.col("label").alias("known"))
-    joined = members.join(named, "root", "left")
+    joined = members.drop("label").join(named, "root", "left")
     return joined.withColumn("label", F.coalesce("known", "root")).drop("known")
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of keys that hold more than one component, stored."""
-    labelled = _labelled(members.select("key", "root", "n"), labels)
+    """Members of keys that hold more than one component."""
+    labelled = _labelled(members, labels)
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return materialize(labelled.join(split.select("key"), "key", "left_semi"), "open_members")
+    return labelled.join(split.select("key"), "key", "left_semi")
+
+
+def _ranked(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The open members with their ranks in their keys, from 1, and sketches, stored for all rounds."""
+    key = Window.partitionBy("key")
+    ranked = _labelled(members, labels).select(
+        "key", "root", "label", F.row_number().over(key.orderBy("root")).alias("rank"),
+        F.min("label").over(key).alias("lo"), F.max("label").over(key).alias("hi"),
+    )
+    sketches = sets.select("root", "n", *[f"p{i}" for i in range(SKETCH)])
+    return materialize(ranked.where("lo < hi").drop("lo", "hi").join(sketches, "root"), "open_members")
+
+
+def _side(members: DataFrame, side: str) -> DataFrame:
+    columns = ["label", "rank", "n", *[f"p{i}" for i in range(SKETCH)]]
+    return members.select("key", F.col("root").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
 def near_duplicates(
@@ -243,31 +265,31 @@ def near_duplicates(
     several = several.join(members.select(F.col("root").alias("b")).distinct(), "b", "left_semi").select("a", "b")
     edges = materialize(confirmed(done, sets, percent).unionByName(several).distinct(), "links")
     labels = components(edges, "components")
-    low, high = 0, 16
+    low, high = 0, FIRST_RANKS
+    # Ranks and sketches do not change, and closed keys stay closed.
+    open_ = _ranked(members.select("key", "root"), labels, sets)
     while True:
-        open_ = _open_members(members, labels)
-        largest = open_.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        largest = open_.agg(F.max("rank")).first()[0] or 0
         if largest - 1 <= low:
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("root", "label"))
-        ranked = open_.select("key", "root", "label").withColumn("rank", rank)
-        first = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "key", F.col("root").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra")
-        )
-        other = ranked.select("key", F.col("root").alias("b"), F.col("label").alias("lb"), F.col("rank").alias("rb"))
-        left, right = first.join(_sketch(sets, "a"), "a"), other.join(_sketch(sets, "b"), "b")
-        apart = (F.col("la") != F.col("lb")) & (F.col("rb") > F.col("ra")) & (F.col("a") != F.col("b"))
+        left = _side(open_.where((F.col("rank") > low) & (F.col("rank") <= high)), "a")
+        apart = (F.col("a_label") != F.col("b_label")) & (F.col("b_rank") > F.col("a_rank")) & (F.col("a") != F.col("b"))
         # The sketches are part of the join, so pairs that cannot be similar are not made.
         met = left.withColumnRenamed("key", "k").join(
-            right, (F.col("k") == F.col("key")) & apart & _possible(percent)
+            _side(open_, "b"), (F.col("k") == F.col("key")) & apart & _possible(percent)
         )
         new = materialize(met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         links = materialize(confirmed(new, sets, percent), "links")
         done = done.unionByName(new)
-        if not links.isEmpty():
+        linked = not links.isEmpty()
+        if linked:
             edges = edges.unionByName(links)
             labels = components(edges, "components")
-        low, high = high, high * 32
+        if largest - 1 <= high:
+            break
+        if linked:
+            open_ = materialize(_open_members(open_, labels), "open_members")
+        low, high = high, high * FIRST_RANKS
     return _result(tagged, labels)
 
 
