@@ -461,10 +461,13 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, texts: bool = Tr
     # of anchors and verdicts grow with the input: they are merged at any size, never broadcast.
     listed = chunks.join(repeated.select("chunk", "repeated", "alike").hint("merge"), "chunk", "left")
     verdicts = _verdicts(_segments(listed, min_bytes), min_bytes)
-    hot = repeated.where(F.size("hot") > 0).select("chunk", F.col("hot").alias("repeated"))
+    hot = repeated.where(F.size("hot") > 0).select("chunk", "hot")
     if not hot.isEmpty():
-        # Only chunks with such an anchor are cut a second time.
-        cut = chunks.join(hot, "chunk").withColumn("alike", F.array().cast("array<long>"))
+        # Only chunks with such an anchor are cut a second time, where they are read. An anchor
+        # stands for MOST_SEGMENTS segments and a number for a chunk, so both lists are short.
+        anchors = hot.select(F.explode("hot").alias("anchor")).agg(F.collect_set("anchor").alias("repeated"))
+        cut = chunks.join(F.broadcast(hot.select("chunk")), "chunk", "left_semi").join(F.broadcast(anchors))
+        cut = cut.withColumn("alike", F.array().cast("array<long>"))
         verdicts = verdicts.unionByName(_window_verdicts(_segments(cut, min_bytes), min_bytes))
     verdict = F.struct("content", "mask")
     verdicts = verdicts.groupBy("chunk").agg(F.collect_list(verdict).alias("verdicts"))
