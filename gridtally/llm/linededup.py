@@ -18,7 +18,7 @@ earlier ones, so a large group of similar lines costs a pair per line and word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridtally.llm.common import forget, written
 from gridtally.session import materialize
@@ -35,6 +35,7 @@ _PARITY_SHIFT = 24
 # Lines of more words set most of 64 parity bits whatever the words; they carry 256.
 LONG = 80
 _WIDE = ("s0", "s1", "s2")
+_ENTRY = ("c", "n", "bits", *_WIDE, "i")
 _LAST = 9223372036854775807
 _PLACE = ("doc_id", "h", "line_no", "at")
 
@@ -74,7 +75,8 @@ def _bucket(number: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """The level of each bucket, a byte for each: the driver gets BUCKETS small rows at most."""
-    word = F.explode(F.split(F.lower("text"), r" |\n")).alias("word")
+    # Split at one character: a pattern of two takes a third more time.
+    word = F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word")
     counts = docs.select(word).groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2("n") * STEPS), F.lit(MOST)).cast("int")
     levels = bytearray(BUCKETS)
@@ -180,12 +182,24 @@ def prefix_index(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
-    return index.select("key", *[F.col(c).alias(name + c) for c in ("c", "n", "bits", *_WIDE, "i", *more)])
+    return index.select("key", *[F.col(c).alias(name + c) for c in (*_ENTRY, *more)])
 
 
-def _similar(x: DataFrame, y: DataFrame, percent: int, order: Column | None = None, any_word: bool = False) -> DataFrame:
+def first_pairs(index: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``x, y``: classes and the earliest one of each of their prefix words, where these pass the filters.
+
+    The index is shuffled and sorted once; each row has the first of its word carried along.
+    """
+    so_far = Window.partitionBy("key").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Column by column and named afterwards: a struct or another name would be shuffled beside them.
+    met = index.select("*", *[F.first(c).over(so_far).alias(f"y{c}") for c in _ENTRY])
+    pairs = met.withColumnsRenamed({c: f"x{c}" for c in _ENTRY}).where(_fits(percent, any_word=True))
+    return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
+
+
+def _similar(x: DataFrame, y: DataFrame, percent: int, order: Column | None = None) -> DataFrame:
     """``x, y``: classes that share a prefix word and pass the filters, and the ``order`` if given."""
-    fits = _fits(percent, any_word)
+    fits = _fits(percent)
     pairs = x.join(y, "key").where(fits if order is None else fits & order)
     return pairs.select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
 
@@ -266,17 +280,15 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
 
 def matched_lines(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``x``: the classes that an earlier line of another class matches."""
-    index = prefix_index(rows)
-    first = index.groupBy("key").agg(F.min("c").alias("c"))
-    leading = first.join(rows, "c").withColumn("i", F.array_position("prefix", F.col("key")).cast("int"))
-    pairs = materialize(_similar(_side(index, "x"), _side(leading, "y"), percent, any_word=True), "first_pairs")
+    pairs = materialize(first_pairs(prefix_index(rows), percent), "first_pairs")
     found = confirmed(pairs, rows, docs, percent)
-    # One shuffled index is both sides. Matched classes have the order -1 as x, after nothing:
-    # a filter would part the two.
-    order = F.when(F.col("x").isNull(), F.col("c")).otherwise(-1)
-    marked = rows.join(found, F.col("c") == F.col("x"), "left").withColumn("o", order).drop("x")
+    # One shuffled index is both sides. A matched class has more than any number of words as ``o``
+    # and is no x: a filter would part the two. The order of y always holds.
+    over = F.when(F.col("x").isNull(), 0).otherwise(2**31 - 1)
+    marked = rows.join(found, F.col("c") == F.col("x"), "left").withColumn("o", over).drop("x")
     dealt = prefix_index(marked, "o").repartition("key")
-    rest = _similar(_side(dealt, "x", "o"), _side(dealt, "y", "o"), percent, (F.col("yc") < F.col("xo")) & (F.col("yo") <= F.col("xc")))
+    open_x = (F.col("xo") < F.col("yn")) & (F.col("yo") >= -F.col("xn"))
+    rest = _similar(_side(dealt, "x", "o"), _side(dealt, "y", "o"), percent, open_x)
     rest = materialize(rest.join(pairs, ["x", "y"], "left_anti"), "other_pairs")
     return found.unionByName(confirmed(rest, rows, docs, percent))
 
