@@ -6,10 +6,12 @@ node of the trie are neighbours, so ranges of the sorted sequences are shards of
 size whatever prefix, turn or conversation is common, and only nodes on the border of
 two shards are shared. Conversations that are the same are one sequence before that.
 
-A shard numbers its turns densely and packs the trie into two arrays: the child of
-state s by turn c is t = BASE[s] + c if CHECK[t] = s. Sequences walk it to add up what a
-node holds. Shared nodes are merged over all shards and get the sums of their subtrees
-by doubling jumps to their ancestors; what hangs below them is final in its shard.
+A shard numbers its turns densely, spells the numbers in a few digits and packs the trie
+into two arrays: the child of state s by digit c is t = BASE[s] + c if CHECK[t] = s. Few
+digits keep sisters close, so the arrays stay within a bound whatever turns recur.
+Sequences walk it to add up what a node holds. Shared nodes are merged over all shards and
+get the sums of their subtrees by doubling jumps to their ancestors; what hangs below them
+is final in its shard.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from gridtally.session import materialize
 TURN = 40  # bytes of a turn: digest and length
 # Turns of a shard, about; a single longer sequence is a shard's own.
 SHARD_TURNS = 200_000
+# Digits that spell the number of a turn; places before the end of a trie that are tried for sisters.
+RADIX, WINDOW = 64, 256
 # Ids that are joined to one piece before they are hashed.
 PIECE = 4_096
 STEP, PREFIX = 5, 9
@@ -137,13 +141,17 @@ def distinct_sequences(conversations: DataFrame) -> DataFrame:
 
 
 class DoubleArray:
-    """BASE and CHECK of a trie; state 0 is the root, symbols count from 1."""
+    """BASE and CHECK of a trie; state 0 is the root, symbols count from 1.
+
+    Sisters take no more new places than from the first to the last of their symbols, and
+    all other states fill free ones.
+    """
 
     def __init__(self, size: int):
         self.base = np.zeros(max(2, size), dtype=np.int64)
         self.check = np.full(max(2, size), -1, dtype=np.int64)
         self.check[0] = 0
-        self._free = 1  # no free place before this one
+        self._free, self._end = 1, 1  # no free place before the first, none taken from the second on
 
     def _reach(self, place: int) -> None:
         if place >= len(self.base):
@@ -153,29 +161,30 @@ class DoubleArray:
 
     def add_only(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """States of children that have no sister: they fill free places, in one go."""
-        places = np.flatnonzero(self.check[self._free :] < 0)[: len(parents)] + self._free
-        if len(places) < len(parents):
-            more = len(parents) - len(places)
-            end = len(self.check)
-            self._reach(end + more - 1)
-            places = np.concatenate([places, np.arange(end, end + more)])
+        far = self._free + 2 * len(parents)
+        while True:
+            self._reach(far)
+            places = np.flatnonzero(self.check[self._free : far] < 0)[: len(parents)] + self._free
+            if len(places) == len(parents):
+                break
+            far += far - self._free
         self.base[parents] = places - symbols
         self.check[places] = parents
         if len(places):
             self._free = int(places[-1]) + 1
+            self._end = max(self._end, self._free)
         return places
 
     def add_sisters(self, parent: int, symbols: np.ndarray) -> np.ndarray:
-        """States of the children of one state, at the first base where all places are free."""
-        span, least = symbols - symbols[0], self._free
-        self._reach(least + int(span[-1]) + 64)
-        tries = np.flatnonzero(self.check[least:] < 0)[:64] + least
-        for start in [*tries.tolist(), len(self.check)]:
-            self._reach(start + int(span[-1]))
-            if (self.check[start + span] < 0).all():
-                break
+        """States of the children of one state, near the end, at the first base where all places are free."""
+        span, low = symbols - symbols[0], max(self._free, self._end - WINDOW)
+        self._reach(self._end + int(span[-1]))
+        tries = np.flatnonzero(self.check[low : self._end] < 0) + low
+        fits = np.flatnonzero((self.check[tries[:, None] + span] < 0).all(axis=1))
+        start = int(tries[fits[0]]) if len(fits) else self._end
         self.base[parent] = start - symbols[0]
         self.check[start + span] = parent
+        self._end = max(self._end, start + int(span[-1]) + 1)
         return start + span
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -237,67 +246,67 @@ def shard_nodes(rows: pd.DataFrame, before: bytes | None, after: bytes | None) -
     starts = np.cumsum(lengths) - lengths
     values = np.frombuffer(b"".join(packs), dtype=np.dtype((np.void, TURN)))
     letters, symbols = np.unique(values, return_inverse=True) if len(values) else (values, np.zeros(0, np.int64))
-    # Dense ids in the order of their first use, so that sisters lie close.
-    first = np.full(len(letters), len(values), dtype=np.int64)
-    np.minimum.at(first, symbols, np.arange(len(values)))
-    rank = np.empty(len(letters), dtype=np.int64)
-    rank[np.argsort(first, kind="stable")] = np.arange(1, len(letters) + 1)
-    symbols = rank[symbols.reshape(-1)]
-    sizes = np.zeros(len(letters) + 1, dtype=np.int64)
     raw = np.frombuffer(letters.tobytes(), dtype=np.uint8).reshape(-1, TURN)
-    sizes[rank] = np.ascontiguousarray(raw[:, 32:]).view(">i8").reshape(-1)
-    trie = build(symbols, starts, lengths)
-
-    total = len(trie.check)
-    convs, least = np.zeros(total, np.int64), np.full(total, np.iinfo(np.int64).max)
-    depths, own_bytes = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    ends = np.full(total, "", dtype=object)
+    sizes = np.ascontiguousarray(raw[:, 32:]).view(">i8").reshape(-1).astype(np.int64)
+    symbols, digits = symbols.reshape(-1), 1
+    while RADIX**digits < len(letters):
+        digits += 1
+    # Numbers stand in the order of the bytes, so rows that share digits stand together.
+    spelled = np.stack([symbols // RADIX**d % RADIX + 1 for d in reversed(range(digits))], axis=-1).reshape(-1)
+    trie = build(spelled, starts * digits, lengths * digits)
+
+    # Nodes are numbered level by level, and in a level in the order of the rows.
     count, ids, last = rows.n.to_numpy(), rows.conv_id.to_numpy(), rows.ends.to_numpy()
-    at, states, depth, levels = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64), 0, []
+    at, states, own, depth, total = np.arange(len(rows)), *np.zeros((2, len(rows)), dtype=np.int64), 0, 0
+    levels, parts = [], []
     while len(at):
-        np.add.at(convs, states, count[at])
-        np.minimum.at(least, states, ids[at])
-        depths[states] = depth
+        first = np.flatnonzero(np.diff(states, prepend=-1) != 0)
+        above = own[first]
+        own = total + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+        ends = np.full(len(first), NOBODY, dtype=object)
         over = lengths[at] == depth
-        ends[states[over]] = last[at[over]]
-        levels.append(np.unique(states))
-        at, states = at[~over], states[~over]
-        letter = symbols[starts[at] + depth]
-        states = trie.step(states, letter)
-        own_bytes[states] = sizes[letter]
+        ends[own[over] - total] = last[at[over]]
+        told = sizes[symbols[starts[at[first]] + depth - 1]] if depth else np.zeros(1, np.int64)
+        parts.append((
+            above, np.full(len(first), depth), np.add.reduceat(count[at], first), np.minimum.reduceat(ids[at], first),
+            told, ends,
+        ))
+        levels.append(slice(total, total + len(first)))
+        total += len(first)
+        at, states, own = at[~over], states[~over], own[~over]
+        for digit in range(digits):
+            states = trie.step(states, spelled[(starts[at] + depth) * digits + digit])
         depth += 1
-    ends[ends == ""] = NOBODY
+    above, depths, convs, least, own_bytes, ends = (np.concatenate(x) for x in zip(*parts))
 
-    # Keys of the nodes on the border: prefixes of the first and of the last sequence.
+    # Keys of the nodes on the border: prefixes of the first and of the last sequence,
+    # which are the first and the last node of each level that they reach.
     keys = np.full(total, None, dtype=object)
     for row, other in ((0, before), (len(rows) - 1, after)):
         shared = _common(packs[row], other) if other is not None else 0
-        state, digest = np.zeros(1, np.int64), hashlib.sha256()
+        digest = hashlib.sha256()
         keys[0] = digest.hexdigest()
         for d in range(shared):
-            state = trie.step(state, symbols[starts[row] + d : starts[row] + d + 1])
             digest.update(packs[row][d * TURN : (d + 1) * TURN])
-            keys[state[0]] = digest.hexdigest()
+            keys[levels[d + 1].stop - 1 if row else levels[d + 1].start] = digest.hexdigest()
 
-    nodes = np.concatenate(levels)
     shared = np.array([k is not None for k in keys])
-    parents = trie.check
     children, leaves, saved = (np.zeros(total, np.int64) for _ in range(3))
     for level in reversed(levels):
-        closed = level[~shared[level]]
+        closed = ~shared[level]
         # A shared node may have children elsewhere, so it is no leaf here.
-        leaves[closed[children[closed] == 0]] = 1
-        saved[closed] += (convs[closed] - 1) * own_bytes[closed]
-        np.add.at(children, parents[closed], 1)
-        np.add.at(leaves, parents[closed], leaves[closed])
-        np.add.at(saved, parents[closed], saved[closed])
-    above = parents[nodes]
-    root = nodes == 0
+        leaves[level] += closed & (children[level] == 0)
+        saved[level] += closed * (convs[level] - 1) * own_bytes[level]
+        up = above[level][closed]
+        np.add.at(children, up, 1)
+        np.add.at(leaves, up, leaves[level][closed])
+        np.add.at(saved, up, saved[level][closed])
+    root = np.arange(total) == 0
     return pd.DataFrame({
-        "shard": rows.shard.iloc[0], "node": keys[nodes], "parent": np.where(root, None, keys[above]),
-        "depth": depths[nodes], "conv_id": least[nodes], "parent_conv_id": least[above],
-        "n_convs": convs[nodes], "n_children": children[nodes], "n_leaves": leaves[nodes],
-        "saved_tokens": saved[nodes], "ends": ends[nodes], "bytes": own_bytes[nodes],
+        "shard": rows.shard.iloc[0], "node": keys, "parent": np.where(root, None, keys[above]),
+        "depth": depths, "conv_id": least, "parent_conv_id": least[above],
+        "n_convs": convs, "n_children": children, "n_leaves": leaves,
+        "saved_tokens": saved, "ends": ends, "bytes": own_bytes,
     })
 
 
@@ -338,6 +347,23 @@ def _merged(border: DataFrame) -> DataFrame:
     return full
 
 
+def sharded(found: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+    """``found`` with ``shard``, stored: ranges of ``turns`` that ascend with it.
+
+    Ranges hold even numbers of sequences, and are cut where these have more turns than a
+    shard takes; a shard passes that number by less than the turns of its first sequence.
+    """
+    most = TURN * shard_turns
+    size = found.agg(F.sum(F.octet_length("turns")).alias("bytes")).first()["bytes"] or 0
+    # A third more, so that few ranges are cut.
+    ranges = max(-(-size * 4 // (most * 3)), found.sparkSession.sparkContext.defaultParallelism)
+    ordered = found.repartitionByRange(ranges, "turns").withColumn("range", F.spark_partition_id().cast("long"))
+    line = Window.partitionBy("range").orderBy("turns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = F.greatest(F.sum(F.octet_length("turns")).over(line), F.lit(1))
+    part = F.floor((so_far - 1) / most)
+    return materialize(ordered.withColumn("shard", F.shiftleft("range", 32) + part).drop("range"), "shards")
+
+
 def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """A row per node of the trie of ``conv_id, turns`` (see ``sequences``).
 
@@ -346,12 +372,7 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> Dat
     turns end at the root. No conversations give no nodes, not even a root. The turns
     of one conversation, 40 bytes each, are one value and meet in one task.
     """
-    spark = conversations.sparkSession
-    found = distinct_sequences(conversations)
-    turns = found.agg(F.sum(F.octet_length("turns")).alias("bytes")).first()["bytes"] or 0
-    shards = max(-(-turns // (TURN * shard_turns)), spark.sparkContext.defaultParallelism)
-    ordered = found.repartitionByRange(shards, "turns").withColumn("shard", F.spark_partition_id().cast("long"))
-    ordered = materialize(ordered, "shards")
+    ordered = sharded(distinct_sequences(conversations), shard_turns)
     # A row per shard.
     span = ordered.groupBy("shard").agg(F.min("turns").alias("first"), F.max("turns").alias("last"))
     line = Window.orderBy("shard")

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridtally.llm import prefixtrie
@@ -98,6 +99,60 @@ def test_double_array_holds_exactly_its_prefixes():
         assert to[0] == -1
 
 
+def test_double_array_grows_with_its_trie():
+    # The root takes every other place, and no two free ones stand together for 25 pairs of sisters.
+    words = sorted([(c, d) for c in range(2, 52, 2) for d in (1, 2)] + [(c, 1) for c in range(52, 402, 2)])
+    starts, lengths = np.arange(len(words)) * 2, np.full(len(words), 2)
+    trie = prefixtrie.build(np.array(words).reshape(-1), starts, lengths)
+    assert (trie.check >= 0).sum() == 1 + 200 + len(words) and len(trie.check) < 2000
+
+
+def test_shard_of_many_different_turns_equals_dictionary(monkeypatch):
+    draw = random.Random(6)
+    turn = lambda: draw.randbytes(32) + draw.randint(0, 99).to_bytes(8, "big")
+    own, common = set(), [turn() for _ in range(300)]
+    for _ in range(400):
+        first = [turn() for _ in range(8)]
+        for _ in range(5):
+            rest = [draw.choice(common) if draw.random() < 0.3 else turn() for _ in range(draw.randint(1, 4))]
+            own.add(tuple(first[: draw.randint(0, 8)] + rest))
+    own = sorted(own)
+    rows = pd.DataFrame({"turns": [b"".join(s) for s in own], "n": 1, "conv_id": range(len(own)), "ends": "x", "shard": 0})
+    kept, build = [], prefixtrie.build
+    monkeypatch.setattr(prefixtrie, "build", lambda *args: kept.append(build(*args)) or kept[-1])
+    found = prefixtrie.shard_nodes(rows, None, None)
+    members, children, leaves, saved = (defaultdict(int) for _ in range(4))
+    least = {}
+    for number, path in enumerate(own):
+        for d in range(len(path) + 1):
+            least.setdefault(path[:d], number)
+            members[path[:d]] += 1
+    for path in least:
+        children[path[:-1]] += path != ()
+    for path in least:
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += children[path] == 0
+            saved[path[:d]] += (members[path] - 1) * int.from_bytes(path[-1][32:], "big") if path else 0
+    nodes = sorted((least[p], len(p), members[p], children[p], leaves[p], saved[p]) for p in least)
+    columns = ["conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    assert sorted(found[columns].itertuples(index=False, name=None)) == nodes
+    assert len(kept[0].check) < 8 * len(nodes)
+
+
+def test_long_sequences_that_stand_together_are_cut_by_turns(spark):
+    # Most turns lie in few sequences of one prefix, which a range by rows takes together.
+    rows = [(c, t, "user", str(t if t < 200 else (t, c))) for c in range(30) for t in range(204)]
+    rows += [(c, t, "user", str((t, c))) for c in range(30, 1200) for t in range(2)]
+    frame = spark.createDataFrame([(*row, 1, "n", "k") for row in rows], SCHEMA)
+    found = prefixtrie.distinct_sequences(materialize(prefixtrie.sequences(frame), "turns"))
+    shards = prefixtrie.sharded(found, 1000).selectExpr("shard", "turns").collect()
+    sizes, line = defaultdict(int), sorted(shards, key=lambda r: r.turns)
+    for row in shards:
+        sizes[row.shard] += len(row.turns) // prefixtrie.TURN
+    assert len(shards) == 1200 and sum(sizes.values()) == len(rows) and max(sizes.values()) < 1204
+    assert [r.shard for r in line] == sorted(r.shard for r in shards)
+
+
 def test_many_ids_of_one_key_are_hashed_in_pieces(spark):
     ids = list(range(-50, 3000))
     frame = spark.createDataFrame([("hot", i) for i in ids] + [("one", 5)], "key string, conv_id long").repartition(5)
