@@ -32,6 +32,8 @@ SHARD_TURNS = 200_000
 RADIX, WINDOW = 64, 256
 # Ids that are joined to one piece before they are hashed.
 PIECE = 4_096
+# Long sequences may follow many short ones: pages are measured each 100 rows, not up to 10,000 later.
+PAGES = {"parquet.page.size.row.check.max": "100"}
 STEP, PREFIX = 5, 9
 NOBODY = hashlib.sha256(b"").hexdigest()
 
@@ -129,12 +131,12 @@ def distinct_sequences(conversations: DataFrame) -> DataFrame:
     """``turns`` (packed), ``n, conv_id, ends`` per distinct sequence, stored."""
     keyed = materialize(
         conversations.select("conv_id", packed(F.col("turns")).alias("turns")).withColumn("key", F.sha2("turns", 256)),
-        "keyed_conversations",
+        "keyed_conversations", **PAGES,
     )
     own = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("conv_id").alias("conv_id"), F.first("turns").alias("turns")
     )
-    return materialize(own.join(ends_digests(keyed.select("key", "conv_id")), "key").drop("key"), "distinct_sequences")
+    return materialize(own.join(ends_digests(keyed.select("key", "conv_id")), "key").drop("key"), "distinct_sequences", **PAGES)
 
 
 # --- a shard -----------------------------------------------------------------
@@ -361,7 +363,7 @@ def sharded(found: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     line = Window.partitionBy("range").orderBy("turns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = F.greatest(F.sum(F.octet_length("turns")).over(line), F.lit(1))
     part = F.floor((so_far - 1) / most)
-    return materialize(ordered.withColumn("shard", F.shiftleft("range", 32) + part).drop("range"), "shards")
+    return materialize(ordered.withColumn("shard", F.shiftleft("range", 32) + part).drop("range"), "shards", **PAGES)
 
 
 def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
@@ -406,7 +408,7 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> Dat
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``prefix_trie`` of the whole of ``conversations``, rebuilt."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return prefix_trie(rebuilt(materialize(sequences(turns), "conversation_turns")))
+    return prefix_trie(rebuilt(materialize(sequences(turns), "conversation_turns", **PAGES)))
 
 
 OP13_SQL = r"""

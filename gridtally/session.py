@@ -112,15 +112,15 @@ def stored_size(stored: DataFrame) -> tuple[int, int]:
     return stored.count(), size
 
 
-def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     It goes to ``folder``, replacing what is there under ``name``, or to a new place
     in the shared folder. What follows survives the loss of executors without
     recomputing ``df``, and the planner knows the true size of the table. The shuffle
-    files of the write are removed.
+    files of the write are removed. ``options`` go to the writer.
     """
     path = new_folder(df.sparkSession, name) if folder is None else f"{folder}/{name}"
     with shuffles_removed(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,6 +28,10 @@ def test_materialized_table_is_read_back(spark):
     assert shared_folder(spark) in stored.inputFiles()[0]
 
 
+def test_writer_options_reach_the_files(spark):
+    assert ".gz" in materialize(spark.range(5), "packed", compression="gzip").inputFiles()[0]
+
+
 def test_storing_a_table_leaves_no_setting_behind(spark):
     before = spark.conf.get(SHUFFLE_CLEANUP)
     stored = materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "cleaned")
